@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import suffix_dedup
+from quire.llm import byte_bpe, suffix_dedup, telephony, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +30,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op1_suffix_array_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+@query("op3_byte_bpe")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.digest(byte_bpe.encode_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
+
+
+@query("op9_warc")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.round_trip(table(spark, sf_dir, "pages")))
+
+
+@query("op10_media_columns")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telephony.digest(telephony.media_columns(table(spark, sf_dir, "documents")))
