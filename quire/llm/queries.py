@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import byte_bpe, suffix_dedup, telephony, warc
+from quire.llm import byte_bpe, chosen_path, suffix_dedup, telephony, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +46,25 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_media_columns")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.digest(telephony.media_columns(table(spark, sf_dir, "documents")))
+
+
+#: Five-word shingles of a text (of all its words, if fewer), as in the kernel's definition of a word.
+SHINGLES = r"""
+    tokens AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-/:-@\[-^`{-\x7f]+') AS w FROM documents),
+    grams AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM tokens),
+    shingle AS (SELECT DISTINCT doc_id, g FROM grams)"""
+
+OP2_SQL = f"""
+WITH RECURSIVE {SHINGLES},
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+    shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingle a JOIN shingle b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (SELECT s.a, s.b FROM shared s JOIN sizes x ON x.doc_id = s.a JOIN sizes y ON y.doc_id = s.b WHERE s.n >= 0.8 * (x.n + y.n - s.n) - 1e-9),
+    reach AS (SELECT doc_id AS v, doc_id AS r FROM documents UNION SELECT reach.v, links.b FROM reach JOIN links ON links.a = reach.r)
+SELECT d.doc_id, (SELECT min(r) FROM reach WHERE v = d.doc_id) AS class_id, (SELECT count(*) FROM links WHERE a = d.doc_id) AS n_links FROM documents d
+"""
+
+
+@query("op2_ngram_jaccard_join", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
