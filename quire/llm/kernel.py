@@ -104,11 +104,19 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words_of(column: pa.Array) -> Words:
-    """Words of a (chunk of a) string column."""
+ASCII_LOWER = np.arange(256, dtype=np.uint8)
+ASCII_LOWER[65:91] += 32
+
+
+def words_of(column: pa.Array, ascii_only: bool = False) -> Words:
+    """Words of a (chunk of a) string column; ``ascii_only`` lower-cases ASCII letters alone, which keeps all byte places."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    data, offsets = utf8(pc.utf8_lower(pc.fill_null(column, "")))
+    if ascii_only:
+        data, offsets = utf8(column)
+        data = ASCII_LOWER[data]
+    else:
+        data, offsets = utf8(pc.utf8_lower(pc.fill_null(column, "")))
     n = len(data)
     inside = IS_WORD[data]
     begins, ends = inside.copy(), inside.copy()
