@@ -39,7 +39,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.llm.kernel import BYTE_HASH, M2, U64, mix, scramble, utf8
 
@@ -345,6 +345,7 @@ def _stage(length: int, shards: int):
                 "kept_sha256": pa.array(digests, pa.string()),
                 "spans": pa.array(bounds, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
                 "kept": pa.array(kept_text, pa.binary()),
+                "rest": texts["rest"],
             }
         )
 
@@ -354,9 +355,9 @@ def _stage(length: int, shards: int):
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>, kept binary"
 
 
-def batched(docs: DataFrame, batch_bytes: int, max_batches: int = 1 << 17) -> tuple[DataFrame, int]:
-    """doc_id, text and ``batch``: ranges of doc_id of about ``batch_bytes`` each (more when ``max_batches`` would be passed)."""
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def batched(docs: DataFrame, rest: Column, batch_bytes: int, max_batches: int = 1 << 17) -> tuple[DataFrame, int]:
+    """doc_id, text, rest and ``batch``: ranges of doc_id of about ``batch_bytes`` each (more when ``max_batches`` would be passed)."""
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = min(max(1, math.ceil(total / batch_bytes)), max_batches)
     bounds = []
@@ -371,11 +372,11 @@ def batched(docs: DataFrame, batch_bytes: int, max_batches: int = 1 << 17) -> tu
     return own.withColumn("batch", batch_of(F.coalesce("doc_id", F.lit(-(1 << 63)))) if len(bounds) else F.lit(0)), len(bounds) + 1
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, batch_bytes: int = 8 << 20) -> DataFrame:
-    """One row a document: sizes, removed spans (bytes), the kept bytes and their digest."""
+def remove_repeats(docs: DataFrame, length: int = 100, batch_bytes: int = 8 << 20, rest: Column | None = None) -> DataFrame:
+    """One row a document: sizes, removed spans (bytes), the kept bytes and their digest, and ``rest``, any column to carry along."""
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
-    texts, n = batched(docs, batch_bytes)
+    texts, n = batched(docs, F.lit(None).cast("boolean") if rest is None else rest, batch_bytes)
     shards = max(8, n)
     ask_runs, ask_suffixes, remove = _stage(length, shards)
 
@@ -385,7 +386,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, batch_bytes: int = 8 << 2
     by_batch = texts.groupBy("batch")
     first = scan(by_batch.applyInArrow(ask_runs, MESSAGE))
     second = scan(by_batch.cogroup(first.groupBy("batch")).applyInArrow(ask_suffixes, MESSAGE))
-    return by_batch.cogroup(first.unionByName(second).groupBy("batch")).applyInArrow(remove, RESULT)
+    return by_batch.cogroup(first.unionByName(second).groupBy("batch")).applyInArrow(remove, f"{RESULT}, rest {texts.schema['rest'].dataType.simpleString()}")
 
 
 def digest(kept: DataFrame) -> DataFrame:
