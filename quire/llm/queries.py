@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import byte_bpe, chosen_path, suffix_dedup, telephony, templates, toxicity, warc
+from quire.llm import byte_bpe, chosen_path, compact_windows, suffix_dedup, telephony, templates, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return templates.digest(templates.find_leaks(docs, table(spark, sf_dir, "benchmark")))
+
+
+@query("op6_substring_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.near_duplicate_passages(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_passages", "n_words")
