@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import byte_bpe, chosen_path, compact_windows, suffix_dedup, telephony, templates, toxicity, warc
+from quire.llm import byte_bpe, chosen_path, compact_windows, licenses, suffix_dedup, telephony, templates, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,41 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_substring_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact_windows.near_duplicate_passages(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_passages", "n_words")
+
+
+_TEMPLATES = ", ".join(f"({k}, '{name}', '{text}')" for k, name, text in licenses.template_rows())
+OP5_SQL = f"""
+WITH templates(template, license, text) AS (VALUES {_TEMPLATES}),
+    own AS (SELECT doc_id, coalesce(source, '') || '/' || coalesce(lang, '') || '/' || (doc_id // 500) || '/' || doc_id || '.md' AS path, text FROM documents),
+    spoken AS (SELECT path, text FROM own WHERE regexp_matches(text, '{licenses.HINT}')),
+    lines AS (SELECT path, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM spoken),
+    units AS (SELECT path, n, text FROM lines WHERE regexp_matches(text, '{licenses.HINT}') UNION ALL SELECT path, -1, text FROM spoken),
+    terms AS (SELECT path, n, word, 1 + ln(count(*)) AS tf FROM (SELECT path, n, unnest(regexp_extract_all(lower(text), '{licenses.WORD}')) AS word FROM units) GROUP BY ALL),
+    shown AS (SELECT template, word, 1 + ln(count(*)) AS tf FROM (SELECT template, unnest(regexp_extract_all(lower(text), '{licenses.WORD}')) AS word FROM templates) GROUP BY ALL),
+    n AS (SELECT (SELECT count(*) FROM units) + (SELECT count(*) FROM templates) AS total),
+    idf AS (SELECT word, ln((1 + total) / (1 + count(*))) + 1 AS idf FROM (SELECT word FROM terms WHERE word IN (SELECT word FROM shown) UNION ALL SELECT word FROM shown), n GROUP BY word, total),
+    weights AS (SELECT template, word, tf * idf AS w FROM shown JOIN idf USING (word)),
+    norms AS (SELECT template, sqrt(sum(w * w)) AS norm FROM weights GROUP BY template),
+    weighed AS (SELECT path, n, word, tf * coalesce(idf, ln(1 + total) + 1) AS w FROM terms LEFT JOIN idf USING (word), n AS t),
+    lengths AS (SELECT path, n, sqrt(sum(w * w)) AS length FROM weighed GROUP BY ALL),
+    cosines AS (SELECT path, n, template, license, round(sum(a.w * b.w / norm) / length, 6) AS similarity FROM weighed a JOIN weights b USING (word) JOIN norms USING (template) JOIN templates USING (template)
+        JOIN lengths USING (path, n) GROUP BY path, n, template, license, length HAVING round(sum(a.w * b.w / norm) / length, 6) >= 0.6),
+    best AS (SELECT path, CASE WHEN n < 0 THEN 'file' ELSE 'header' END AS kind, license, similarity FROM cosines
+        QUALIFY row_number() OVER (PARTITION BY path, kind ORDER BY similarity DESC, template) = 1),
+    kept AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, license, similarity FROM best WHERE kind = 'file' QUALIFY row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, path) = 1),
+    headers AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY path ORDER BY kind DESC) = 1),
+    above AS (SELECT path, array_to_string(string_split(path, '/')[1:k], '/') AS dir, k FROM own, range(0, 4) r(k)),
+    nearest AS (SELECT path, dir, license, similarity FROM above JOIN kept USING (dir) QUALIFY row_number() OVER (PARTITION BY path ORDER BY k DESC) = 1)
+SELECT o.doc_id, coalesce(h.license, i.license) AS license, coalesce(h.similarity, i.similarity) AS similarity,
+    CASE WHEN h.path IS NOT NULL THEN h.kind WHEN i.path IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin, CASE WHEN h.path IS NULL THEN i.dir END AS from_dir
+FROM own o LEFT JOIN headers h USING (path) LEFT JOIN nearest i USING (path)
+"""
+
+
+@query("op5_license_scans", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    part = lambda c: F.coalesce(F.col(c), F.lit(""))
+    path = F.concat_ws("/", part("source"), part("lang"), F.floor(F.col("doc_id") / 500).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
+    found = licenses.scan(docs.select(path.alias("path"), "text"))
+    return found.select(F.regexp_extract("path", r"(\d+)\.md$", 1).cast("bigint").alias("doc_id"), "license", "similarity", "origin", "from_dir")
