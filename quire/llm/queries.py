@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import byte_bpe, chosen_path, compact_windows, licenses, suffix_dedup, telephony, templates, toxicity, warc
+from quire.llm import byte_bpe, chosen_path, compact_windows, html_blocks, licenses, suffix_dedup, telephony, templates, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +123,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat_ws("/", part("source"), part("lang"), F.floor(F.col("doc_id") / 500).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
     found = licenses.scan(docs.select(path.alias("path"), "text"))
     return found.select(F.regexp_extract("path", r"(\d+)\.md$", 1).cast("bigint").alias("doc_id"), "license", "similarity", "origin", "from_dir")
+
+
+@query("op7_html_extraction")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_blocks.main_text(pages, html_blocks.fit(pages)).select("page_id", "url", "text", "n_chars")
