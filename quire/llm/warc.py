@@ -34,6 +34,7 @@ from quire.llm import shared
 
 MAGIC = b"WARC/1.1\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+NO_ID = -(1 << 63)
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -59,12 +60,18 @@ def _record(kind: str, page_id, url: str, payload: bytes, refers_to) -> bytes:
 
 
 def planned(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, and of equal payloads the page_id that carries them (``carrier``)."""
+    """page_id, url, payload, and of equal payloads the page_id that carries them (``carrier``).
+
+    Only ids and digests are shuffled. The revisits are written down first, so that Spark knows their size
+    and joins them to the pages by broadcast, or, beyond its limit, by a shuffle on page_id and digest."""
     own = pages.select(
-        F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.encode(F.col("html").cast("string"), "UTF-8"), F.lit(b"")).alias("payload")
+        F.coalesce(F.col("page_id").cast("bigint"), F.lit(NO_ID)).alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.encode(F.col("html").cast("string"), "UTF-8"), F.lit(b"")).alias("payload")
     ).withColumn("sha1", F.sha1("payload"))
-    carriers = own.groupBy("sha1").agg(F.max("page_id").alias("carrier"))
-    return own.join(carriers, "sha1").drop("sha1")
+    slim = own.select("page_id", "sha1")
+    carriers = slim.groupBy("sha1").agg(F.max("page_id").alias("carrier"), F.count("*").alias("n")).where("n > 1").drop("n")
+    revisits = shared.written(slim.join(carriers, "sha1").where("page_id <> carrier").distinct())
+    null = lambda x: F.when(F.col(x) != NO_ID, F.col(x)).alias(x)
+    return own.join(revisits, ["page_id", "sha1"], "left").select(null("page_id"), "url", "payload", F.coalesce("carrier", "page_id").alias("carrier"), F.col("carrier").isNotNull().alias("again"))
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 32 << 20) -> int:
@@ -82,11 +89,11 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 32 << 20)
             fs.move(temp, posixpath.join(root, f"part-{part:06d}-{number:05d}.warc"))
 
         for batch in batches:
-            for page_id, url, payload, carrier in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for page_id, url, payload, carrier, again in zip(*(x.to_pylist() for x in batch.columns)):
                 if out is None:
                     temp = posixpath.join(root, f".part-{part:06d}-{number:05d}-{attempt}")
                     out = fs.open_output_stream(temp)
-                kind = "response" if page_id == carrier else "revisit"
+                kind = "revisit" if again else "response"
                 out.write(_record(kind, page_id, url, payload, carrier))
                 n += 1
                 if out.tell() >= archive_bytes:
@@ -96,7 +103,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 32 << 20)
             close()
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
-    rows = planned(pages).select("page_id", "url", "payload", "carrier").mapInArrow(run, "n bigint")
+    rows = planned(pages).mapInArrow(run, "n bigint")
     return rows.agg(F.sum("n")).first()[0] or 0
 
 
