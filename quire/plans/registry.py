@@ -1,12 +1,12 @@
-"""Queries by name, each with the DuckDB SQL that must give the same rows."""
+"""Queries by name, each with the DuckDB SQL that must give the same rows.
 
-from __future__ import annotations
-
-from collections.abc import Callable
+The names start with the inventory's operator ids. Notes, links and findings are bound to the driver's
+tables in ``tables``; the operators themselves know nothing of these.
+"""
 
-from pyspark.sql import DataFrame, SparkSession
+from __future__ import annotations
 
-Query = Callable[[SparkSession, str], DataFrame]
+from quire.plans import graph, nav, quality, scalars, schema, search
+from quire.plans.tables import ORACLES, QUERIES
 
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "graph", "nav", "quality", "scalars", "schema", "search"]
