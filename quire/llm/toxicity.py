@@ -3,7 +3,7 @@
 Each word has a log-odds score between toxic and clean labelled documents, with an
 informative Dirichlet prior from the counts of the whole corpus. A word
 stands for itself and its prefixes of a few lengths, hashed into a table of
-fixed size, and takes the score of the feature with the most evidence; a constant drift makes the
+fixed size, and takes the score of the feature with the surest evidence; a margin and a constant drift keep the
 expected score of clean text negative. A linear scan finds all maximal-scoring
 segments of a document; extreme-value statistics of clean labelled documents (a
 segment of score S in n words has significance lambda S - ln(K n)) make the scores of short
@@ -30,10 +30,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from quire.llm.kernel import Words, pieces, utf8, words_of
 
-SLOTS = 1 << 18
+SLOTS = 1 << 20
 #: Features of a word: itself (0) and its leading bytes.
-PREFIXES = (0, 4, 6, 8)
-PRIOR, SURE, DRIFT, CLIP, TEXT = 5.0, 3.0, 0.1, 4.0, 1 << 20
+PREFIXES = (0, 4, 5, 6, 7)
+#: Occurrences in the prior, occurrences counted a document, deviations taken off an estimate, log-odds that count as none, drift, largest score of a word.
+PRIOR, CAP, SURE, MARGIN, DRIFT, CLIP, TEXT = 500.0, 4, 1.5, 0.8, 0.1, 4.0, 1 << 20
 BINS, LOW, HIGH = 400, -20.0, 60.0
 
 
@@ -45,39 +46,40 @@ def features(words: Words) -> np.ndarray:
         if n:
             longer = words.end - words.start > n
             h = np.where(longer, words.span_hash(words.start, np.minimum(words.start + n, words.end)) ^ np.uint64(n * 0x9E3779B97F4A7C15 % 2**64), h)
-        out[k] = (h >> np.uint64(40)).astype(np.int64) % SLOTS
+        out[k] = (h >> np.uint64(36)).astype(np.int64) % SLOTS
     return out
 
 
 def counts(column: pa.Array) -> np.ndarray:
-    """Documents that hold each slot, and at the end the number of documents."""
+    """Occurrences of each slot, at most ``CAP`` a document, and at the end their total."""
     words = words_of(column)
     doc = words.doc() * SLOTS
     out = np.zeros(SLOTS + 1, np.int64)
-    for_all = np.concatenate([doc + slots for slots in features(words)])
-    for_all.sort()
-    new = np.ones(len(for_all), bool)
-    new[1:] = for_all[1:] != for_all[:-1]
-    out[:SLOTS] = np.bincount(for_all[new] % SLOTS, minlength=SLOTS)
-    out[SLOTS] = len(column)
+    every = np.concatenate([doc + slots for slots in features(words)])
+    every.sort()
+    new = np.flatnonzero(np.concatenate([np.ones(min(len(every), 1), bool), every[1:] != every[:-1]]))
+    times = np.minimum(np.diff(np.append(new, len(every))), CAP)
+    out[:SLOTS] = np.bincount(every[new] % SLOTS, times, minlength=SLOTS).astype(np.int64)
+    out[SLOTS] = out[:SLOTS].sum()
     return out
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, corpus: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds ratio of each slot's share of documents, with a Dirichlet prior in proportion to the corpus, and its z-score."""
-    share = (corpus[:SLOTS] + 0.5) / (corpus[SLOTS] + 1.0)
-    prior, rest = PRIOR * share + 0.5, PRIOR * (1 - share) + 0.5
+    """Log-odds ratio of each slot's share of the occurrences, with a Dirichlet prior in proportion to the corpus, and its z-score."""
+    prior = PRIOR * corpus[:SLOTS] / max(corpus[SLOTS], 1) + 0.5
     a, b = toxic[:SLOTS] + prior, clean[:SLOTS] + prior
-    ratio = np.log(a / (toxic[SLOTS] - toxic[:SLOTS] + rest)) - np.log(b / (clean[SLOTS] - clean[:SLOTS] + rest))
-    return ratio, ratio / np.sqrt(1 / a + 1 / b)
+    ratio = np.log(a / (toxic[SLOTS] + prior.sum() - a)) - np.log(b / (clean[SLOTS] + prior.sum() - b))
+    return ratio, ratio / np.sqrt(CAP / a + CAP / b)
 
 
 def word_scores(slots: np.ndarray, ratio: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """Score of each word: the log-odds of its feature of the largest |z|, shrunk to none below ``SURE`` deviations."""
-    best = np.abs(z)[slots].argmax(0)
-    own = slots[best, np.arange(slots.shape[1])]
-    sure = np.clip((np.abs(z[own]) - SURE) / 2, 0, 1)
-    return np.clip(ratio[own], -CLIP, CLIP) * sure - DRIFT
+    """Score of each word: the log-odds of its feature with the surest evidence, less its deviation and a margin.
+
+    Words a little more usual in toxic documents (as in longer ones) score nothing, so that the expected score of clean text is the drift, below zero."""
+    sure = np.maximum(np.abs(ratio) * (1 - SURE / np.maximum(np.abs(z), 1e-9)) - MARGIN, 0).astype(np.float32) * np.sign(ratio)
+    own = sure[slots]
+    best = own[np.abs(own).argmax(0), np.arange(slots.shape[1])]
+    return np.clip(best, -CLIP, CLIP).astype(np.float64) - DRIFT
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -166,7 +168,7 @@ def logistic(x: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[float
 
 # ------------------------------------------------------------------ Spark jobs
 
-PARTS = 64
+PARTS = 256
 
 
 def _texts(docs: DataFrame, *more) -> DataFrame:
@@ -196,12 +198,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Model:
                 if len(own := text.filter(pa.array(label == value))):
                     for i, j in pieces(utf8(own)[1], TEXT):
                         sums[1 + value] += counts(own.slice(i, j - i))
-        rows = [(k, p, x.tobytes()) for k in range(3) for p, x in enumerate(np.array_split(sums[k], PARTS)) if x.any()]
+        rows = [(k, p, x.astype(np.uint32).tobytes()) for k in range(3) for p, x in enumerate(np.array_split(sums[k], PARTS)) if x.any()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], names=["kind", "part", "sums"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x, np.int64) for x in table["sums"].to_pylist()], axis=0)
+        total = np.zeros(1, np.int64)
+        for x in table["sums"].to_pylist():
+            total = total + np.frombuffer(x, np.uint32)
         return pa.table({"kind": table["kind"][:1], "part": table["part"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
     schema = "kind int, part int, sums binary"
