@@ -393,8 +393,9 @@ def train(pages: list[list[Block]], steps: int = 320, batch: int = 32, seed: int
 
 def fit(pages: DataFrame, sample: int = 200, longest: int = 200_000) -> Labeller:
     """Trains on at most ``sample`` pages (by hash of the id) of at most ``longest`` characters."""
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("html").cast("string").alias("html")).where(F.char_length("html") <= longest)
-    rows = rows.orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(sample).collect()
+    own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("html").cast("string").alias("html")).where(F.char_length("html") <= longest)
+    chosen = own.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).distinct()  # ids first: the html of the sample alone goes to the driver
+    rows = own.join(F.broadcast(chosen), "page_id").orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(sample).collect()
     return train([blocks_of(r.html) for r in rows])
 
 
