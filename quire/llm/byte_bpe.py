@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from quire.llm.kernel import pieces, utf8
 
 #: Pieces kept between batches, pieces encoded at once, and bytes of text cut at once.
-CACHE, AT_ONCE, TEXT = 250_000, 16_384, 3 << 20
+CACHE, AT_ONCE, TEXT = 300_000, 32_768, 3 << 20
 
 ENCODE = """
 WITH RECURSIVE state(p, i, t, j, u, live) AS (
@@ -70,6 +70,7 @@ class PieceCoder:
         self.byte_id = np.array([ranks[bytes([x])] for x in range(256)], np.int32)
         self.ids: dict[str, bytes] = {}
         self.bytes: dict[str, bytes] = {}
+        self.old: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
 
     def _store(self, name: str, table: pa.Table) -> None:
         self.db.register("given", table)
@@ -78,11 +79,15 @@ class PieceCoder:
 
     def learn(self, pieces_: set[str]) -> None:
         """Adds the pieces that aren't known yet."""
-        new = sorted(x for x in pieces_ if x not in self.ids)
-        if len(self.ids) + len(new) > CACHE:  # of the old pieces, those in use stay
-            used = [x for x in pieces_ if x in self.ids]
-            self.ids = {x: self.ids[x] for x in used}
-            self.bytes = {x: self.bytes[x] for x in used}
+        if len(self.ids) > CACHE:  # two generations: what is used again moves to the younger one
+            self.old = self.ids, self.bytes
+            self.ids, self.bytes = {}, {}
+        ids, decoded = self.old
+        missing = [x for x in pieces_ if x not in self.ids]
+        for x in missing:
+            if x in ids:
+                self.ids[x], self.bytes[x] = ids[x], decoded[x]
+        new = sorted(x for x in missing if x not in self.ids)
         for at in range(0, len(new), AT_ONCE):
             some = new[at : at + AT_ONCE]
             data, offsets = utf8(pa.array(some, pa.large_string()))
