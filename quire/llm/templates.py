@@ -14,8 +14,8 @@ The benchmark is cut into blocks of at most ``block_tokens`` tokens. Only a bloc
 size is thereby bounded, is sent to all executors; more blocks mean more passes over
 the documents, not larger broadcasts. Documents are never shuffled.
 
-Null and empty texts are clean; null items are ignored; items of fewer tokens than
-a window are one window; repeated rows get repeated results; an empty benchmark leaves every document
+Null and empty texts are clean; null items and items without words are ignored; an item of
+fewer tokens than a window is a window of its own length, wherever it stands in a document; repeated rows get repeated results; an empty benchmark leaves every document
 clean; extra columns are ignored.
 """
 
@@ -80,7 +80,8 @@ def windows(words: Words, kind: np.ndarray, template: np.ndarray, size: int) ->
 class Block:
     """Benchmark items: template windows in order of hash with item and place, and each item's tokens."""
 
-    ids: list
+    ids: list  # number and item_id of each item
+    size: int
     hash: np.ndarray
     item: np.ndarray
     place: np.ndarray
@@ -100,11 +101,12 @@ class Block:
         order = keep[np.argsort(hashes[keep], kind="stable")]
         bitmap = np.zeros(1 << MAP_BITS, bool)
         bitmap[(hashes[order] >> U64(64 - MAP_BITS)).astype(np.int64)] = True
-        return cls(ids, hashes[order], item[order], order - words.first[item[order]], np.bincount(item[keep], minlength=len(ids)), words.first, kind, words.hash, bitmap, names)
+        return cls(ids, size, hashes[order], item[order], order - words.first[item[order]], np.bincount(item[keep], minlength=len(ids)), words.first, kind, words.hash, bitmap, names)
 
 
-def leaks(block: Block, column: pa.Array, size: int, run: int, coverage: float):
+def leaks(block: Block, column: pa.Array, run: int, coverage: float):
     """(document, item, covered share of the item's windows, tokens in a row, whether no slot changed) of each leak."""
+    size = block.size
     words, kind, template = canonical(column, block.names)
     hashes, ok = windows(words, kind, template, size)
     if not len(block.hash) or not len(hashes):
@@ -143,22 +145,31 @@ def leaks(block: Block, column: pa.Array, size: int, run: int, coverage: float):
 LEAK = "array<struct<item_id:bigint,coverage:double,tokens:int,verbatim:boolean>>"
 
 
+def _of_items(items: list[tuple[int, str]], window: int) -> list[Block]:
+    """Blocks of some items by the length of their windows, each with and without placeholders for names (text in capitals has none)."""
+    lengths = np.minimum(np.diff(words_of(pa.array([x for _, x in items], pa.string())).first), window)
+    out = []
+    for size in sorted({int(n) for n in lengths if n}, reverse=True):
+        own = [k for k, n in enumerate(lengths) if n == size]
+        out += [Block.of([(k, items[k][0]) for k in own], [items[k][1] for k in own], size, names) for names in (True, False)]
+    return out
+
+
 def _blocks(benchmark: DataFrame, window: int, block_tokens: int):
-    """Blocks of whole items, with and without placeholders for names (text in capitals has none); the driver holds one at a time."""
-    ids, texts, size = [], [], 0
+    """Blocks of whole items; the driver holds those of ``block_tokens`` tokens at a time."""
+    items, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("text is not null").orderBy("item_id", "text")
     for item_id, text in rows.toLocalIterator():
-        ids.append(item_id)
-        texts.append(text)
+        items.append((item_id, text))
         size += len(text.split())
         if size >= block_tokens:
-            yield [Block.of(ids, texts, window, names) for names in (True, False)]
-            ids, texts, size = [], [], 0
-    if ids:
-        yield [Block.of(ids, texts, window, names) for names in (True, False)]
+            yield _of_items(items, window)
+            items, size = [], 0
+    if items:
+        yield _of_items(items, window)
 
 
-def _marked(docs: DataFrame, blocks: list[Block], window: int, run: int, coverage: float) -> DataFrame:
+def _marked(docs: DataFrame, blocks: list[Block], run: int, coverage: float) -> DataFrame:
     """``docs`` with a column ``leaks``, added to those it has."""
     shared = docs.sparkSession.sparkContext.broadcast(blocks)
     struct = pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("tokens", pa.int32()), ("verbatim", pa.bool_())])
@@ -168,8 +179,8 @@ def _marked(docs: DataFrame, blocks: list[Block], window: int, run: int, coverag
             text = batch.column(batch.schema.get_field_index("text"))
             for i, j in pieces(utf8(text)[1], TEXT):
                 found: dict[int, dict[int, dict]] = {}
-                for d, x, share, in_a_row, verbatim in (y for b in shared.value for y in leaks(b, text.slice(i, j - i), window, run, coverage)):
-                    row = {"item_id": shared.value[0].ids[x], "coverage": share, "tokens": in_a_row, "verbatim": verbatim}
+                for (x, item_id), (d, share, in_a_row, verbatim) in ((b.ids[y[1]], (y[0], *y[2:])) for b in shared.value for y in leaks(b, text.slice(i, j - i), run, coverage)):
+                    row = {"item_id": item_id, "coverage": share, "tokens": in_a_row, "verbatim": verbatim}
                     best = found.setdefault(d, {}).get(x)
                     if best is None or (share, in_a_row, verbatim) > (best["coverage"], best["tokens"], best["verbatim"]):
                         found[d][x] = row
@@ -189,7 +200,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, run: int
     """``docs`` with its leaks (item_id, covered share, tokens in a row, whether verbatim) in ``__leaks``."""
     out = docs
     for blocks in _blocks(benchmark, window, block_tokens):
-        out = _marked(out, blocks, window, run, coverage)
+        out = _marked(out, blocks, run, coverage)
     return out if "__leaks" in out.columns else out.withColumn("__leaks", F.array().cast(LEAK))
 
 
