@@ -1,15 +1,15 @@
 """Byte-level BPE as recursive DuckDB queries inside Spark partitions.
 
-A partition cuts its texts into pieces with the vocabulary's pattern and encodes
-each distinct piece once. In DuckDB a piece is a set of rows (piece, position,
+A partition cuts its texts into pieces with the vocabulary's pattern (the usual one by classes of
+characters over whole batches, any other by ``regex``) and encodes each distinct piece once. In DuckDB a piece is a set of rows (piece, position,
 token, next position, next token); a recursive query joins them to the merge
 table, contracts each piece's leftmost pair of least rank, and goes on with the
 pieces that changed until no pair is left. An ordered aggregation over the
 token rows gives a piece's ids, another over their bytes decodes them. The ids
 and the decoded bytes of a document are those of its pieces in order.
 
-Nothing is shuffled: a document needs only its own partition. The memory of known
-pieces is a cache of bounded size. Null texts are empty (no ids); repeated rows
+Nothing is shuffled: a document needs only its own partition. Known pieces are kept in a cache of
+bounded size, two Arrow columns from which a document's pieces are taken; when it is full, the less used half goes. Null texts are empty (no ids); repeated rows
 give repeated results; extra columns are ignored. A piece may have up to 2^23 bytes.
 """
 
@@ -21,29 +21,30 @@ from collections.abc import Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
 from quire.llm.kernel import pieces, utf8
 
 #: Pieces kept between batches, pieces encoded at once, and bytes of text cut at once.
-CACHE, AT_ONCE, TEXT = 300_000, 32_768, 3 << 20
+CACHE, AT_ONCE, TEXT = 600_000, 32_768, 4 << 20
 
 ENCODE = """
-WITH RECURSIVE state(p, i, t, j, u, live) AS (
-    SELECT p, i, t, j, u, true FROM start
+WITH RECURSIVE state(p, i, t, j, u, rank, live) AS (
+    SELECT s.p, s.i, s.t, s.j, s.u, m.rank, true FROM start s LEFT JOIN merges m ON m.a = s.t AND m.b = s.u
     UNION ALL
-    (WITH pair AS (SELECT s.p, s.i, s.t, s.j, s.u, m.rank FROM state s LEFT JOIN merges m ON m.a = s.t AND m.b = s.u WHERE s.live),
-    best AS (SELECT p, min((rank::BIGINT << 46) | (i::BIGINT << 23) | j) AS k FROM pair WHERE rank IS NOT NULL GROUP BY p),
+    (WITH best AS (SELECT p, min((rank::BIGINT << 46) | (i::BIGINT << 23) | j) AS k FROM state WHERE rank IS NOT NULL GROUP BY p),
     found AS (SELECT p, (k >> 46)::INT AS t, ((k >> 23) & 8388607)::INT AS i, (k & 8388607)::INT AS j FROM best),
-    right_ AS (SELECT f.p, f.t, f.i, f.j, q.j AS j2, q.u AS u2 FROM found f JOIN pair q ON q.p = f.p AND q.i = f.j)
-    SELECT a.p, a.i,
-        CASE WHEN a.i = r.i THEN r.t ELSE a.t END,
-        CASE WHEN a.i = r.i THEN r.j2 ELSE a.j END,
-        CASE WHEN a.i = r.i THEN r.u2 WHEN a.j = r.i THEN r.t ELSE a.u END,
-        r.p IS NOT NULL
-    FROM pair a LEFT JOIN right_ r ON r.p = a.p
-    WHERE r.p IS NULL OR a.i <> r.j)
+    right_ AS (SELECT f.p, f.t, f.i, f.j, q.j AS j2, q.u AS u2 FROM state q JOIN found f ON q.p = f.p AND q.i = f.j),
+    new AS (SELECT a.p, a.i,
+        CASE WHEN a.i = r.i THEN r.t ELSE a.t END AS t,
+        CASE WHEN a.i = r.i THEN r.j2 ELSE a.j END AS j,
+        CASE WHEN a.i = r.i THEN r.u2 WHEN a.j = r.i THEN r.t ELSE a.u END AS u,
+        a.rank, a.i = r.i OR a.j = r.i AS changed, r.p IS NOT NULL AS live
+    FROM state a LEFT JOIN right_ r ON r.p = a.p WHERE a.live AND (r.p IS NULL OR a.i <> r.j))
+    SELECT n.p, n.i, n.t, n.j, n.u, CASE WHEN n.changed THEN m.rank ELSE n.rank END, n.live
+    FROM new n LEFT JOIN merges m ON m.a = CASE WHEN n.changed THEN n.t END AND m.b = n.u)
 )
 SELECT s.p, list(s.t ORDER BY s.i) AS ids, string_agg(v.hex, '' ORDER BY s.i) AS decoded
 FROM state s JOIN vocabulary v ON v.id = s.t WHERE NOT s.live GROUP BY s.p ORDER BY s.p
@@ -56,11 +57,71 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+#: The usual pattern (a fixed value of the public vocabularies), which ``usual_pieces`` cuts by.
+USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
+
+
+def character_classes() -> np.ndarray:
+    """The class of every code point, as ``regex`` sees it."""
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    out = np.zeros(0x110000, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for m in regex.finditer(pattern, every):
+            gap = 0x800 * np.array([m.start() >= 0xD800, m.end() > 0xD800])
+            out[m.start() + gap[0] : m.end() + gap[1]] = kind
+    return out
+
+
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the code points of UTF-8 bytes."""
+    place = np.flatnonzero((data & 0xC0) != 0x80)
+    value = data[place].astype(np.int32)
+    for size, least, bits in ((2, 0xC0, 0x1F), (3, 0xE0, 0x0F), (4, 0xF0, 0x07)):
+        at = np.flatnonzero((value >= least) & (data[place] < (0xE0, 0xF0, 0x100)[size - 2]) & (data[place] >= least))
+        if len(at):
+            code = data[place[at]].astype(np.int32) & bits
+            for k in range(1, size):
+                code = code << 6 | data[np.minimum(place[at] + k, len(data) - 1)] & 0x3F
+            value[at] = np.minimum(code, 0x10FFFF)
+    return place, value
+
+
+def usual_pieces(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Where the pieces of some texts (bytes and offsets) begin: runs of a class, with the space before them, and contractions."""
+    place, value = code_points(data)
+    n = len(place)
+    if not n:
+        return place
+    kind = classes[value]
+    first = np.zeros(n + 1, bool)  # of a text
+    first[np.searchsorted(place, offsets)] = True
+    begin = first[:n].copy()
+    begin[1:] |= kind[1:] != kind[:-1]
+    # the last character of white space before something else is apart: a space joins what follows
+    after = np.flatnonzero(begin & ~first[:n] & (kind != SPACE))
+    after = after[kind[after - 1] == SPACE]
+    begin[after - 1] = True
+    begin[after[value[after - 1] == 32]] = False
+    # contractions, where a piece begins with the apostrophe
+    at = np.flatnonzero(begin[: n - 1] & (value[: n - 1] == ord("'")) & ~first[1:n] & (kind[1:] == LETTER))
+    if len(at):
+        one = value[at + 1]
+        two = np.where(first[at + 2], 0, value[np.minimum(at + 2, n - 1)])
+        short = np.isin(one, [ord(x) for x in "stmd"])
+        long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        stop = (at + 2 + long)[short | long]
+        begin[at[short | long] + 1] = False
+        begin[stop[~first[stop] & (kind[np.minimum(stop, n - 1)] == LETTER)]] = True
+    return place[begin]
+
+
 class PieceCoder:
     """Encodes distinct pieces; one for each Python worker."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.split = regex.compile(pattern).findall
+        self.classes = character_classes() if pattern == USUAL else None
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         token, rank = list(ranks), list(ranks.values())
         merges = [(ranks[x[:k]], ranks[x[k:]], n) for x, n in ranks.items() for k in range(1, len(x)) if x[:k] in ranks and x[k:] in ranks]
@@ -68,29 +129,29 @@ class PieceCoder:
         self._store("merges", pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "rank": pa.array(n, pa.int32())}))
         self._store("vocabulary", pa.table({"id": pa.array(rank, pa.int32()), "hex": [x.hex() for x in token]}))
         self.byte_id = np.array([ranks[bytes([x])] for x in range(256)], np.int32)
-        self.ids: dict[str, bytes] = {}
-        self.bytes: dict[str, bytes] = {}
-        self.old: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        self._reset([], pa.array([], pa.large_binary()), pa.array([], pa.large_binary()), np.zeros(0, np.int64))
+
+    def _reset(self, known: list[bytes], ids: pa.Array, decoded: pa.Array, uses: np.ndarray) -> None:
+        self.place, self.ids, self.decoded, self.uses = dict(zip(known, range(len(known)))), ids, decoded, uses
 
     def _store(self, name: str, table: pa.Table) -> None:
         self.db.register("given", table)
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def learn(self, pieces_: set[str]) -> None:
-        """Adds the pieces that aren't known yet."""
-        if len(self.ids) > CACHE:  # two generations: what is used again moves to the younger one
-            self.old = self.ids, self.bytes
-            self.ids, self.bytes = {}, {}
-        ids, decoded = self.old
-        missing = [x for x in pieces_ if x not in self.ids]
-        for x in missing:
-            if x in ids:
-                self.ids[x], self.bytes[x] = ids[x], decoded[x]
-        new = sorted(x for x in missing if x not in self.ids)
+    def places(self, distinct: list[bytes]) -> np.ndarray:
+        """Where the cache has some distinct pieces, after adding those it hasn't."""
+        if len(self.place) > CACHE:
+            keep = np.sort(np.argsort(-self.uses, kind="stable")[: CACHE // 2])
+            known = pa.array(list(self.place), pa.large_binary()).take(keep).to_pylist()
+            self._reset(known, self.ids.take(keep), self.decoded.take(keep), self.uses[keep] // 2)
+        out = np.fromiter((self.place.get(x, -1) for x in distinct), np.int64, len(distinct))
+        missing = np.flatnonzero(out < 0)
+        new = [distinct[k] for k in missing]
+        ids, decoded = [self.ids], [self.decoded]
         for at in range(0, len(new), AT_ONCE):
             some = new[at : at + AT_ONCE]
-            data, offsets = utf8(pa.array(some, pa.large_string()))
+            data, offsets = utf8(pa.array(some, pa.large_binary()))
             piece = np.repeat(np.arange(len(some), dtype=np.int32), np.diff(offsets))
             place = (np.arange(len(data)) - offsets[piece]).astype(np.int32)
             token = self.byte_id[data]
@@ -100,18 +161,42 @@ class PieceCoder:
             self.db.register("start", pa.table({"p": piece, "i": place, "t": token, "j": pa.array(place + 1, mask=last), "u": after}))
             got = self.db.sql(ENCODE).to_arrow_table()
             self.db.unregister("start")
-            flat, ends = got["ids"].combine_chunks(), None
-            ends = np.asarray(flat.offsets)
-            values = np.asarray(flat.values).astype(np.int32)
-            for x, i, j, text in zip(some, ends[:-1], ends[1:], got["decoded"].to_pylist()):
-                self.ids[x] = values[i:j].tobytes()
-                self.bytes[x] = bytes.fromhex(text)
-
-    def code(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
-        """The ids (as 32-bit numbers) and the decoded bytes of some texts."""
-        cut = [self.split(x) for x in texts]
-        self.learn(set().union(*cut))
-        return [b"".join(map(self.ids.__getitem__, x)) for x in cut], [b"".join(map(self.bytes.__getitem__, x)) for x in cut]
+            lists = got["ids"].combine_chunks()
+            values = np.ascontiguousarray(lists.flatten(), np.int32)
+            ids.append(_cut(values, 4 * np.append(0, np.cumsum(lists.value_lengths()))))
+            raw = np.frombuffer(bytes.fromhex("".join(got["decoded"].to_pylist())), np.uint8)
+            decoded.append(_cut(raw, np.append(0, np.cumsum(pc.binary_length(got["decoded"]).to_numpy())) // 2))
+        if new:
+            out[missing] = np.arange(len(self.place), len(self.place) + len(new))
+            self.place.update(zip(new, out[missing].tolist()))
+            self.ids, self.decoded = pa.concat_arrays(ids), pa.concat_arrays(decoded)
+            self.uses = np.append(self.uses, np.zeros(len(new), np.int64))
+        return out
+
+    def code(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """The ids (as 32-bit numbers) and the decoded bytes of some texts, as binary columns."""
+        data, offsets = utf8(texts)
+        if self.classes is not None:
+            start = usual_pieces(data, offsets, self.classes)
+            ends = np.searchsorted(start, offsets)
+            flat = _cut(data, np.append(start, len(data)))
+        else:
+            cut = [self.split(x or "") for x in texts.to_pylist()]
+            ends = np.append(0, np.cumsum([len(x) for x in cut], dtype=np.int64))
+            flat = pa.array([x for own in cut for x in own], pa.large_string()).cast(pa.large_binary())
+        flat = flat.dictionary_encode()
+        places = self.places(flat.dictionary.to_pylist())[flat.indices.to_numpy()]
+        self.uses += np.bincount(places, minlength=len(self.uses))
+        out = []
+        for column in (self.ids.take(pa.array(places)), self.decoded.take(pa.array(places))):
+            data, offsets = utf8(column)
+            out.append(_cut(data, offsets[ends]))
+        return out[0], out[1]
+
+
+def _cut(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A binary column of the bytes of ``data`` between ``offsets``."""
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(data)])
 
 
 _CODERS: dict[tuple[str, str], PieceCoder] = {}
@@ -132,12 +217,11 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
             _, offsets = utf8(batch.column(1))
             for i, j in pieces(offsets, TEXT):
                 part = batch.slice(i, j - i)
-                ids, decoded = coder.code([x or "" for x in part.column(1).to_pylist()])
-                sizes = np.array([len(x) // 4 for x in ids], np.int64)
-                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
+                ids, decoded = coder.code(part.column(1))
+                values, offsets = utf8(ids)
+                flat = pa.array(values.view(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(decoded, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"]
+                    [part.column(0), pa.array(np.diff(offsets) // 4), pa.ListArray.from_arrays(pa.array((offsets // 4).astype(np.int32)), flat), decoded.cast(pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"]
                 )
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -118,9 +118,16 @@ def test_byte_bpe(docs, empty):
     assert all(bytes(r.decoded) == texts[r.doc_id] and r.n_tokens == len(r.ids) for r in got)
     assert byte_bpe.digest(byte_bpe.encode_decode(empty, path, public.PATTERN)).count() == 0
     coder = byte_bpe.PieceCoder(byte_bpe.read_ranks(path), public.PATTERN)
-    for text in ("a" * 700, " \n\n\tx ", "naïve 東京 \U0001f600", "<|endoftext|>", "don't 12345"):
-        ids, decoded = coder.code([text])
-        assert np.frombuffer(ids[0], np.int32).tolist() == encoding.encode_ordinary(text) and decoded[0].decode() == text
+    rng = np.random.default_rng(8)
+    odd = [*" \n\t'\u00a0\u3000", "'s", "'re", "'ll", "'vex", "'S", " ", "ab", "é", "東京", "12", "\u0661", "!?", "\U0001f600", "\x1c", "don't", "\u0301"]
+    mixed = ["".join(rng.choice(odd, rng.integers(0, 12))) for _ in range(3000)]
+    texts = ["a" * 700, " \n\n\tx ", "naïve 東京 \U0001f600", "<|endoftext|>", "don't 12345", "", *mixed]
+    slow = byte_bpe.PieceCoder(byte_bpe.read_ranks(path), f"(?:{public.PATTERN})")
+    assert coder.classes is not None and slow.classes is None
+    for some in (coder, slow):
+        ids, decoded = some.code(pa.array(texts))
+        assert [np.frombuffer(x.as_py(), np.int32).tolist() for x in ids] == [encoding.encode_ordinary(x) for x in texts]
+        assert [x.as_py().decode() for x in decoded] == texts
 
 
 # ------------------------------------------------------------------ 4: toxicity
