@@ -7,6 +7,8 @@ rule is an exploded table of suffixes, not a comparison of every target with eve
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quire.functions import text as T
@@ -125,13 +127,21 @@ def missing_files(refs: DataFrame, files: DataFrame) -> DataFrame:
     return refs.join(known, "file", "left_anti")
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage, in the shared folder of spark.checkpoint.dir (a temporary one only where that is unset)."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-"))
+    return df.checkpoint()
+
+
 def reach(edges: DataFrame, start: DataFrame, rounds: int = 64) -> DataFrame:
-    """Pairs (path, reached) over embed edges (path, target), by frontiers; each round joins only what is new."""
+    """Pairs (path, reached) over embed edges (path, target), by frontiers; each round joins only what is new and is cut off from the rounds before."""
     done = start.select("path", F.col("path").alias("reached"))
     front = done
     for _ in range(rounds):
         step = front.join(edges.select(F.col("path").alias("reached"), "target"), "reached").select("path", F.col("target").alias("reached")).distinct()
-        front = step.join(done, ["path", "reached"], "left_anti").persist()  # lost blocks are computed again from the edges
+        front = _cut(step.join(done, ["path", "reached"], "left_anti"))
         if front.isEmpty():
             break
         done = done.union(front)
