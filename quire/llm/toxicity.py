@@ -119,7 +119,7 @@ class Model:
     rate: float = 1.0  # lambda
     space: float = 0.0  # ln K
     slope: float = 0.0
-    offset: float = 0.0
+    offset: float = -3.0  # without usable labels nothing counts as toxic
 
     def passages(self, column: pa.Array):
         """For each document: words, best segment score, and its segments (first word, word after the last, significance)."""
