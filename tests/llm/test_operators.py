@@ -194,6 +194,58 @@ def test_same_passages():
     assert [tuple(map(int, s)) for s in compact_windows.same_passages(x, y, 46, 0.8)] == [(50, 130, 50, 130)]
 
 
+def shingle_row(words):
+    return (compact_windows.shingles(compact_windows.words_of(pa.array([" ".join(words)])), 5)[0][: len(words) - 4] >> np.uint64(32)).astype(np.uint32)
+
+
+def jaccard(x, y):
+    x, y = {*x.tolist()}, {*y.tolist()}
+    return len(x & y) / len(x | y)
+
+
+def test_one_edit_anywhere():
+    """A passage with one word replaced, added or left out, in unrelated text."""
+    names = [f"w{k}" for k in range(2000)]
+    for n in (50, 51, 60, 70, 80, 90, 95, 120):
+        for at in range(n):
+            before, passage, after = names[:70], names[70 : 70 + n], names[200:260]
+            for changed in (passage[:at] + ["new"] + passage[at + 1 :], passage[:at] + ["new"] + passage[at:], passage[:at] + passage[at + 1 :]):
+                a, b = shingle_row(passage), shingle_row(changed)
+                x, y = shingle_row(before + passage + after), shingle_row(names[300:345] + changed + names[400:480])
+                got = [*compact_windows.same_passages(x, y, 46, 0.8)]
+                if min(len(a), len(b)) >= 46 and jaccard(a, b) >= 0.8:
+                    assert len(got) == 1 and got[0][1] - got[0][0] >= 46, (n, at)
+                for i, j, k, m in got:
+                    assert j - i >= 46 and m - k >= 46 and jaccard(x[i:j], y[k:m]) >= 0.8, (n, at)
+
+
+def test_same_passages_by_brute_force():
+    """Some stretch of one diagonal has the similarity, with edits and repeated words or without: then it is found, and what is found has it."""
+    seen = [0, 0]
+    for seed in range(120):
+        rng = np.random.default_rng(seed)
+        names = [f"w{k}" for k in (rng.integers(0, 30, 400) if seed % 3 == 0 else range(400))]
+        passage = names[: rng.integers(48, 90)]
+        changed = list(passage)
+        for at in rng.integers(0, len(passage), rng.integers(0, 4)):
+            changed[at] = f"new{at}"
+        if seed % 3 == 1:  # a sentence said twice
+            passage = passage[:20] + passage[8:20] + passage[20:]
+            changed = changed[:20] + changed[8:20] + changed[20:]
+        x, y = shingle_row(names[100 : 100 + rng.integers(0, 20)] + passage + names[150:165]), shingle_row(names[200 : 200 + rng.integers(0, 20)] + changed + names[250:265])
+        want = any(
+            jaccard(x[i : i + n], y[i + shift : i + shift + n]) >= 0.8
+            for shift in range(-25, 26)
+            for n in range(46, 80, 3)
+            for i in range(max(0, -shift), min(len(x), len(y) - shift) - n + 1, 2)
+        )
+        got = [*compact_windows.same_passages(x, y, 46, 0.8)]
+        assert bool(got) or not want, seed
+        assert all(j - i >= 46 and m - k >= 46 for i, j, k, m in got), seed
+        seen[want] += 1
+    assert min(seen) > 10
+
+
 # -------------------------------------------------------------------- 7: blocks
 
 
