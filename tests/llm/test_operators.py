@@ -194,6 +194,16 @@ def test_same_passages():
     assert [tuple(map(int, s)) for s in compact_windows.same_passages(x, y, 46, 0.8)] == [(50, 130, 50, 130)]
 
 
+def test_candidates():
+    """Windows at the threshold are found with the stated recall, and a hit of another diagonal does not part two of one."""
+    n = compact_windows.functions_for(0.8)
+    agree = np.random.default_rng(0).random((1_000_000, n)) < 0.8
+    assert (agree.sum(1) < compact_windows.NEED).mean() < 2e-5
+    x = {"place_a": [10, 15, 20, 400], "place_b": [110, 700, 120, 1], "start": [5, 5, 6, 390], "size": [4, 6, 9, 5]}
+    got = [*compact_windows._chains({k: np.array(v) for k, v in x.items()}, 46, 2)]
+    assert len(got) == 1 and got[0][0] <= 10 and got[0][1] > 20 and got[0][2] <= 110 and 120 < got[0][3] < 300
+
+
 def shingle_row(words):
     return (compact_windows.shingles(compact_windows.words_of(pa.array([" ".join(words)])), 5)[0][: len(words) - 4] >> np.uint64(32)).astype(np.uint32)
 
