@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.llm.graph import components
 from quire.llm.kernel import U64, pieces, scramble, shingles, utf8, words_of
@@ -36,7 +36,13 @@ from quire.llm.shared import written
 
 BRANCHES = 3
 TEXT = 1 << 20
-NO_ID = -(1 << 63)
+#: Vertices from here on are rows without doc_id, by their texts.
+NO_ID = 1 << 62
+
+
+def vertex_id() -> Column:
+    """doc_id, or for a row without one a number of its text above all ids."""
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID))
 
 
 def runs_needed(threshold: float, recall: float) -> int:
@@ -139,7 +145,7 @@ LINKS = "rep bigint, links bigint, root bigint"
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99999, size: int = 5, bucket: int = 256) -> DataFrame:
     """doc_id, class_id (least doc_id of its component), n_links and n_copies (rows with the same set, itself included)."""
     runs = runs_needed(threshold, recall)
-    own = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = docs.select(vertex_id().alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,7 +262,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     )
     # documents without words
     empty = own.where(~F.lower("text").rlike(WORD) | F.col("text").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("n_copies"))
-    null = lambda x: F.when(F.col(x) != NO_ID, F.col(x)).alias(x)
+    null = lambda x: F.when(F.col(x) < NO_ID, F.col(x)).alias(x)
     return result.unionByName(empty).select(null("doc_id"), null("class_id"), "n_links", "n_copies")
 
 

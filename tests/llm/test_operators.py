@@ -188,6 +188,46 @@ def test_passages(docs, empty):
     assert compact_windows.near_duplicate_passages(empty).count() == 0
 
 
+def test_middle_members(spark):
+    """Pairs whose signatures a line of all documents crowds, so that they are neither first nor last of any, are linked; the other documents aren't."""
+    line, data, pairs = prose(14, 999), [], []
+    for r in range(12):
+        n, edits = (60, (35,)) if r % 2 else (120, (25, 90))
+        half = (n - 14) // 2
+        passage = f"{prose(half, 3 * r + 1000)} {line} {prose(n - 14 - half, 3 * r + 1001)}".split()
+        other = list(passage)
+        for at in edits:
+            other[at if at < half or at > half + 14 else half + 20] = f"changed{at}"
+        for words in (passage, other):
+            data.append((len(data) + 100, f"{prose(40, 5000 + len(data))} {' '.join(words)} {prose(30, 6000 + len(data))}"))
+        pairs.append((len(data) + 98, len(data) + 99))
+    data += [(k, f"{prose(60, 7000 + k)} {line} {prose(60, 8000 + k)}") for k in (*range(40), *range(300, 340))]
+    table = spark.createDataFrame([(i, t, "x") for i, t in data], "doc_id bigint, text string, class string")
+    got = {r.doc_id: r for r in compact_windows.near_duplicate_passages(table, batch_bytes=1 << 14).collect()}
+    assert all(got[a].class_id == got[b].class_id == a and got[b].n_passages == 1 for a, b in pairs)
+    assert all(got[k].n_passages == 0 for k, _ in data if not 100 <= k < 124)
+
+
+def test_crowds(spark):
+    """What is crowded under all functions is compared in blocks: every pair of different classes is found."""
+    rng, base = np.random.default_rng(3), prose(60, 77).split()
+    docs = []
+    for k in range(40):
+        words = list(base)
+        words[int(rng.integers(0, 60))] = f"own{k}"
+        docs.append((k, " ".join(words), 0))
+    texts = spark.createDataFrame(docs, "doc_id bigint, text string, batch int")
+    crowd = spark.createDataFrame([(1, 40, k, k, 0, 0, 276) for k in range(40)], "`group` bigint, n bigint, class bigint, doc bigint, batch int, `from` int, `to` int")
+    crowd_size, compact_windows.CROWD = compact_windows.CROWD, 16
+    try:
+        got = {(r.a, r.b) for r in compact_windows._crowds(crowd, texts, 46, 0.8).collect()}
+    finally:
+        compact_windows.CROWD = crowd_size
+    rows = [shingle_row(t.split()) for _, t, _ in docs]
+    want = {(a, b) for a in range(40) for b in range(a + 1, 40) if [*compact_windows.same_passages(rows[a], rows[b], 46, 0.8)]}
+    assert got == want and want
+
+
 def test_same_passages():
     x = np.arange(200, dtype=np.uint32)
     y = np.concatenate([np.arange(900, 950), np.arange(50, 130), np.arange(950, 990)]).astype(np.uint32)
