@@ -9,8 +9,17 @@ token rows gives a piece's ids, another over their bytes decodes them. The ids
 and the decoded bytes of a document are those of its pieces in order.
 
 Nothing is shuffled: a document needs only its own partition. Known pieces are kept in a cache of
-bounded size, two Arrow columns from which a document's pieces are taken; when it is full, the less used half goes. Null texts are empty (no ids); repeated rows
-give repeated results; extra columns are ignored. A piece may have up to 2^23 bytes.
+bounded size, two Arrow columns from which a document's pieces are taken; when it is full, the less used half goes.
+
+A round of the query touches all rows of a piece, so long pieces (unspaced scripts, encoded data) are cut
+into overlapping windows of ``WINDOW`` bytes. Two windows are joined at a token that both
+have: then every two neighbouring tokens of the whole are neighbours in one of the windows, and
+tokens of which no two neighbours would be contracted are what the whole piece gives.
+Windows without a common token become one, until they have; in the end that is the
+piece itself, however long.
+
+Null and empty texts have no ids; repeated rows give repeated results; an empty table gives an empty result;
+extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,13 +38,15 @@ from quire.llm.kernel import pieces, utf8
 
 #: Pieces kept between batches, pieces encoded at once, and bytes of text cut at once.
 CACHE, AT_ONCE, TEXT = 600_000, 32_768, 4 << 20
+#: Bytes of the windows of a long piece, and between their starts (a multiple of 64: runs of one character keep their phase).
+WINDOW, STEP = 192, 128
 
 ENCODE = """
 WITH RECURSIVE state(p, i, t, j, u, rank, live) AS (
     SELECT s.p, s.i, s.t, s.j, s.u, m.rank, true FROM start s LEFT JOIN merges m ON m.a = s.t AND m.b = s.u
     UNION ALL
-    (WITH best AS (SELECT p, min((rank::BIGINT << 46) | (i::BIGINT << 23) | j) AS k FROM state WHERE rank IS NOT NULL GROUP BY p),
-    found AS (SELECT p, (k >> 46)::INT AS t, ((k >> 23) & 8388607)::INT AS i, (k & 8388607)::INT AS j FROM best),
+    (WITH best AS (SELECT p, min((rank::{kind} << 2 * {bits}) | (i::{kind} << {bits}) | j) AS k FROM state WHERE rank IS NOT NULL GROUP BY p),
+    found AS (SELECT p, (k >> 2 * {bits})::INT AS t, ((k >> {bits}) & {mask})::INT AS i, (k & {mask})::INT AS j FROM best),
     right_ AS (SELECT f.p, f.t, f.i, f.j, q.j AS j2, q.u AS u2 FROM state q JOIN found f ON q.p = f.p AND q.i = f.j),
     new AS (SELECT a.p, a.i,
         CASE WHEN a.i = r.i THEN r.t ELSE a.t END AS t,
@@ -50,6 +61,8 @@ SELECT s.p, list(s.t ORDER BY s.i) AS ids, string_agg(v.hex, '' ORDER BY s.i) AS
 FROM state s JOIN vocabulary v ON v.id = s.t WHERE NOT s.live GROUP BY s.p ORDER BY s.p
 """
 
+DECODE = "SELECT p, string_agg(v.hex, '' ORDER BY i) AS decoded FROM given JOIN vocabulary v ON v.id = t GROUP BY p ORDER BY p"
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes and ranks of a rank file."""
@@ -128,6 +141,8 @@ class PieceCoder:
         a, b, n = map(list, zip(*merges))
         self._store("merges", pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "rank": pa.array(n, pa.int32())}))
         self._store("vocabulary", pa.table({"id": pa.array(rank, pa.int32()), "hex": [x.hex() for x in token]}))
+        self.size = np.zeros(max(rank) + 1, np.int64)  # bytes of each token
+        self.size[rank] = [len(x) for x in token]
         self.byte_id = np.array([ranks[bytes([x])] for x in range(256)], np.int32)
         self._reset([], pa.array([], pa.large_binary()), pa.array([], pa.large_binary()), np.zeros(0, np.int64))
 
@@ -150,22 +165,9 @@ class PieceCoder:
         new = [distinct[k] for k in missing]
         ids, decoded = [self.ids], [self.decoded]
         for at in range(0, len(new), AT_ONCE):
-            some = new[at : at + AT_ONCE]
-            data, offsets = utf8(pa.array(some, pa.large_binary()))
-            piece = np.repeat(np.arange(len(some), dtype=np.int32), np.diff(offsets))
-            place = (np.arange(len(data)) - offsets[piece]).astype(np.int32)
-            token = self.byte_id[data]
-            last = np.zeros(len(data), bool)
-            last[offsets[1:] - 1] = True
-            after = pa.array(np.append(token[1:], 0).astype(np.int32), mask=last)
-            self.db.register("start", pa.table({"p": piece, "i": place, "t": token, "j": pa.array(place + 1, mask=last), "u": after}))
-            got = self.db.sql(ENCODE).to_arrow_table()
-            self.db.unregister("start")
-            lists = got["ids"].combine_chunks()
-            values = np.ascontiguousarray(lists.flatten(), np.int32)
-            ids.append(_cut(values, 4 * np.append(0, np.cumsum(lists.value_lengths()))))
-            raw = np.frombuffer(bytes.fromhex("".join(got["decoded"].to_pylist())), np.uint8)
-            decoded.append(_cut(raw, np.append(0, np.cumsum(pc.binary_length(got["decoded"]).to_numpy())) // 2))
+            values, lengths, raw, sizes = self.encoded(new[at : at + AT_ONCE])
+            ids.append(_cut(values, 4 * np.append(0, np.cumsum(lengths))))
+            decoded.append(_cut(raw, np.append(0, np.cumsum(sizes))))
         if new:
             out[missing] = np.arange(len(self.place), len(self.place) + len(new))
             self.place.update(zip(new, out[missing].tolist()))
@@ -173,6 +175,82 @@ class PieceCoder:
             self.uses = np.append(self.uses, np.zeros(len(new), np.int64))
         return out
 
+    def query(self, some: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The recursive query: all ids and their number in each piece, all decoded bytes and their number."""
+        data, offsets = utf8(pa.array(some, pa.large_binary()))
+        piece = np.repeat(np.arange(len(some), dtype=np.int32), np.diff(offsets))
+        place = (np.arange(len(data)) - offsets[piece]).astype(np.int32)
+        token = self.byte_id[data]
+        last = np.zeros(len(data), bool)
+        last[offsets[1:] - 1] = True
+        after = pa.array(np.append(token[1:], 0).astype(np.int32), mask=last)
+        self.db.register("start", pa.table({"p": piece, "i": place, "t": token, "j": pa.array(place + 1, mask=last), "u": after}))
+        kind, bits = ("BIGINT", 23) if np.diff(offsets).max() < 1 << 23 else ("HUGEINT", 31)
+        got = self.db.sql(ENCODE.format(kind=kind, bits=bits, mask=(1 << bits) - 1)).to_arrow_table()
+        self.db.unregister("start")
+        lists = got["ids"].combine_chunks()
+        return np.ascontiguousarray(lists.flatten(), np.int32), lists.value_lengths().to_numpy(), *_bytes(got["decoded"])
+
+    def encoded(self, some: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As ``query``, with long pieces in windows."""
+        long = [k for k, x in enumerate(some) if len(x) > WINDOW]
+        if not long:
+            return self.query(some)
+        parts, owners = [], []  # of a long piece: (start, stop, ids)
+        short = [x for x in some if len(x) <= WINDOW]
+        for k in long:
+            starts = range(0, max(len(some[k]) - WINDOW + STEP, 1), STEP)
+            parts += [some[k][a : a + WINDOW] for a in starts]
+            owners += [(k, a) for a in starts]
+        values, lengths, raw, sizes = self.query(short + parts)
+        ends, byte_ends = np.append(0, np.cumsum(lengths)), np.append(0, np.cumsum(sizes))
+        out = {k: values[ends[n] : ends[n + 1]] for n, k in enumerate(k for k, x in enumerate(some) if len(x) <= WINDOW)}
+        text = {k: raw[byte_ends[n] : byte_ends[n + 1]] for n, k in enumerate(out)}
+        windows: dict[int, list] = {k: [] for k in long}
+        for n, (k, a) in enumerate(owners, len(short)):
+            windows[k].append((a, values[ends[n] : ends[n + 1]]))
+        for k in long:
+            out[k] = self._joined(some[k], windows[k])
+        self.db.register("given", pa.table({"p": np.repeat(np.arange(len(long)), [len(out[k]) for k in long]), "i": np.concatenate([np.arange(len(out[k])) for k in long]), "t": np.concatenate([out[k] for k in long])}))
+        raw, sizes = _bytes(self.db.sql(DECODE).to_arrow_table()["decoded"])
+        self.db.unregister("given")
+        byte_ends = np.append(0, np.cumsum(sizes))
+        text |= {k: raw[byte_ends[n] : byte_ends[n + 1]] for n, k in enumerate(long)}
+        order = range(len(some))
+        return np.concatenate([out[k] for k in order]), np.array([len(out[k]) for k in order]), np.concatenate([text[k] for k in order]), np.array([len(text[k]) for k in order])
+
+    def _joined(self, piece: bytes, windows: list[tuple[int, np.ndarray]]) -> np.ndarray:
+        """The ids of a piece from those of its overlapping windows (start, ids); neighbours without a common token are encoded again as one."""
+        while True:
+            places = [a + np.append(0, np.cumsum(self.size[ids])) for a, ids in windows]
+            cuts = []  # how many tokens of a window count, and from which on those of the next do
+            apart = np.zeros(len(windows), bool)
+            for n, (p, q) in enumerate(zip(places, places[1:])):
+                wide = int(self.size.max()) + 1
+                both = np.intersect1d(p[:-1] * wide + np.diff(p), q[:-1] * wide + np.diff(q))  # where a token starts, and its length
+                apart[n + 1] = not len(both)
+                at = both[len(both) // 2] // wide if len(both) else 0
+                cuts.append((int(np.searchsorted(p, at)), int(np.searchsorted(q, at))))
+            if not apart.any():
+                begin = [0, *(j for _, j in cuts)]
+                stop = [*(i for i, _ in cuts), len(windows[-1][1])]
+                return np.concatenate([ids[i:j] for (_, ids), i, j in zip(windows, begin, stop)])
+            # each window goes together with the one before it where they are apart, two by two
+            merged, n = [], 0
+            while n < len(windows):
+                if n + 1 < len(windows) and apart[n + 1]:
+                    merged.append((windows[n][0], int(places[n + 1][-1])))
+                    n += 2
+                else:
+                    merged.append((windows[n][0], windows[n][1]))
+                    n += 1
+            again = [k for k, (_, x) in enumerate(merged) if isinstance(x, int)]
+            values, lengths, _, _ = self.query([piece[merged[k][0] : merged[k][1]] for k in again])
+            ends = np.append(0, np.cumsum(lengths))
+            for m, k in enumerate(again):
+                merged[k] = (merged[k][0], values[ends[m] : ends[m + 1]])
+            windows = merged
+
     def code(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
         """The ids (as 32-bit numbers) and the decoded bytes of some texts, as binary columns."""
         data, offsets = utf8(texts)
@@ -194,6 +272,10 @@ class PieceCoder:
         return out[0], out[1]
 
 
+def _bytes(hexes: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(bytes.fromhex("".join(hexes.to_pylist())), np.uint8), pc.binary_length(hexes).to_numpy() // 2
+
+
 def _cut(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """A binary column of the bytes of ``data`` between ``offsets``."""
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(data)])
