@@ -9,13 +9,15 @@ comments, article bodies under many names) with text of a bounded sample of the
 and on those pages themselves, whose own sectioning elements give weak labels. Training is
 seeded, so equal pages give equal models.
 
-Scripts, styles, forms, templates and comments of the markup never become blocks.
+Scripts, styles, forms, templates and comments of the markup never become blocks; elements nested deeper than
+browsers allow (512) count as siblings, and a path has its nearest 64 names.
 Character references are decoded, white space inside a block becomes one space, and
 the blocks kept are joined by two line feeds in page order; nothing is cut.
 
 Pages are independent: nothing is shuffled but the sample's order. Null or empty html gives an empty
-text; malformed markup is read as browsers do (unclosed and stray tags); repeated
-rows give repeated results; an empty table gives an empty result; extra columns are ignored.
+text; malformed markup is read as browsers do (unclosed and stray tags, unclosed quotes) and in linear time, so very
+long pages are read like any other; repeated rows give repeated results; an empty table gives an empty result; extra
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +34,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from quire.llm.kernel import words_of
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: A comment, a tag, or another declaration. Quotes count only after an equals sign; what the page's end cuts short goes to
+#: the end. No part is ever scanned twice (possessive), so that malformed pages take linear time as well.
+TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)*+)(>|\Z)"
+    r"|<[!?/][^>]*+(?:>|\Z)",
+    re.S,
+)
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Elements (fixed values of the HTML standard).
-RAW = frozenset("script style textarea title iframe noembed noframes noscript template xmp".split())
-DROPPED = frozenset("head form select button option svg math canvas object audio video datalist".split())
+RAW = frozenset("script style textarea title iframe noembed noframes template".split())
+DROPPED = frozenset("head form select button option datalist".split())
+#: Deepest nesting, as in browsers (what is deeper becomes a sibling), and names of a path that count, the nearest ones.
+DEEPEST, NEAREST = 512, 64
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -53,10 +65,15 @@ class Block:
     linked: int
 
 
+@cache
+def _closing(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])[^>]*+(?:>|\Z)", re.I)
+
+
 def blocks_of(page: str) -> list[Block]:
     """The leaf blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...]]] = []  # open elements, each with its path
     held: list[str] = []
     linked = dropped = anchors = 0
 
@@ -66,7 +83,7 @@ def blocks_of(page: str) -> list[Block]:
             raw = "".join(held)
             text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
             if text:
-                out.append(Block(text, tuple(x for _, names in stack for x in names), linked))
+                out.append(Block(text, stack[-1][1] if stack else (), linked))
             held.clear()
         linked = 0
 
@@ -89,7 +106,7 @@ def blocks_of(page: str) -> list[Block]:
             break
         at = m.end()
         name = (m[2] or "").lower()
-        if not name:
+        if not name or not m[4]:  # a tag that the page's end cuts short is no tag
             continue
         if m[1]:  # an end tag
             if name in BLOCK:
@@ -100,7 +117,7 @@ def blocks_of(page: str) -> list[Block]:
                     break
             continue
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+            close = _closing(name).search(page, at)
             at = close.end() if close else n
             continue
         if name == "br":
@@ -120,7 +137,10 @@ def blocks_of(page: str) -> list[Block]:
         words = re.findall(r"[a-z]+", " ".join(a or b or c for a, b, c in NAMES.findall(m[3])).lower()) if "=" in m[3] else ()
         if name == "body":  # an unclosed head ends here
             pop(0)
-        stack.append((name, (name, *(f".{w}" for w in words)) if name in BLOCK or words else ()))
+        if len(stack) == DEEPEST:
+            pop(DEEPEST - 1)
+        own = (name, *(f".{w}" for w in words)) if name in BLOCK or words else ()
+        stack.append((name, ((stack[-1][1] if stack else ()) + own)[-NEAREST:]))
         dropped += name in DROPPED
         anchors += name == "a"
     flush()
@@ -364,11 +384,11 @@ def layout(rng: np.random.Generator, lines: list[str]) -> tuple[list[Block], np.
     return blocks, np.array(labels)
 
 
-def train(pages: list[list[Block]], steps: int = 320, batch: int = 32, seed: int = 7) -> Labeller:
-    """Adam on composed layouts, and on the given pages where they have sectioning elements."""
+def train(pages: list[list[Block]], steps: int = 320, batch: int = 32, seed: int = 7, most_lines: int = 20_000, most_blocks: int = 200) -> Labeller:
+    """Adam on composed layouts with the words of at most ``most_lines`` blocks, and on the given pages of at most ``most_blocks`` blocks that have sectioning elements."""
     rng = np.random.default_rng(seed)
-    lines = [b.text for p in pages for b in p][:20_000] + [" ".join(rng.choice(SAMPLE_WORDS, 40)) + "." for _ in range(50)]
-    real = [(p, y) for p in pages if p and (y := weak_labels(p)) is not None and len(p) <= 200]
+    lines = [b.text for p in pages for b in p][:most_lines] + [" ".join(rng.choice(SAMPLE_WORDS, 40)) + "." for _ in range(50)]
+    real = [(p, y) for p in pages if p and (y := weak_labels(p)) is not None and len(p) <= most_blocks]
     model = Labeller.new(seed)
     weights = [*model.gates, model.out]
     mean, square = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
