@@ -1,9 +1,9 @@
 """WARC archives: writing, and reading by boundary-chain verification.
 
 Writing: of pages with equal payloads the one with the largest page_id becomes a
-response record, the others revisits of it. Tasks write archives of bounded size
-under names that follow from the partition, so a repeated task replaces its own
-files.
+response record, the others revisits of it. Tasks write archives of bounded size under the
+names of their attempt and return these names; only those of attempts that succeeded
+come into the manifest, which is all that is read, so a repeated task leaves no second records.
 
 Reading: a task looks for the record magic anywhere in an archive and emits
 each candidate with the offset at which its length says the next record starts.
@@ -12,8 +12,8 @@ then marks what the chain reaches, doubling the jumps each round; all other
 candidates are dropped.
 
 Null html is an empty payload, a null page_id counts as the smallest, all rows
-with the largest page_id of equal payloads are responses, an empty table gives no
-records, and extra columns are ignored.
+with the largest page_id of equal payloads are responses (repeated rows repeat), a payload longer than an
+archive has one of its own, an empty table gives no records, and extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quire.llm import shared
 
@@ -36,6 +36,8 @@ MAGIC = b"WARC/1.1\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 NO_ID = -(1 << 63)
 DATE = "2024-01-01T00:00:00Z"
+#: Most tasks that read archives.
+TASKS = 20_000
 
 
 def digest_of(payload: bytes) -> str:
@@ -74,37 +76,33 @@ def planned(pages: DataFrame) -> DataFrame:
     return own.join(revisits, ["page_id", "sha1"], "left").select(null("page_id"), "url", "payload", F.coalesce("carrier", "page_id").alias("carrier"), F.col("carrier").isNotNull().alias("again"))
 
 
-def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 32 << 20) -> int:
-    """Writes the archives; returns the number of records."""
+def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 32 << 20) -> DataFrame:
+    """Writes the archives; returns the manifest (path, records)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        part, attempt = context.partitionId(), context.taskAttemptId()
+        name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}"
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
-        number, out, n, temp = 0, None, 0, ""
-
-        def close():
-            out.close()
-            fs.move(temp, posixpath.join(root, f"part-{part:06d}-{number:05d}.warc"))
-
+        done: list[tuple[str, int]] = []
+        out, n = None, 0
         for batch in batches:
             for page_id, url, payload, carrier, again in zip(*(x.to_pylist() for x in batch.columns)):
                 if out is None:
-                    temp = posixpath.join(root, f".part-{part:06d}-{number:05d}-{attempt}")
-                    out = fs.open_output_stream(temp)
-                kind = "revisit" if again else "response"
-                out.write(_record(kind, page_id, url, payload, carrier))
+                    file, n = f"{name}-{len(done):05d}.warc", 0
+                    out = fs.open_output_stream(posixpath.join(root, file))
+                out.write(_record("revisit" if again else "response", page_id, url, payload, carrier))
                 n += 1
                 if out.tell() >= archive_bytes:
-                    close()
-                    out, number = None, number + 1
+                    out.close()
+                    done.append((file, n))
+                    out = None
         if out is not None:
-            close()
-        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+            out.close()
+            done.append((file, n))
+        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{x}" for x, _ in done], pa.string()), pa.array([k for _, k in done], pa.int64())], names=["path", "records"])
 
-    rows = planned(pages).mapInArrow(run, "n bigint")
-    return rows.agg(F.sum("n")).first()[0] or 0
+    return shared.written(planned(pages).mapInArrow(run, "path string, records bigint"), "manifest")
 
 
 CANDIDATE = "path string, start bigint, next bigint, record_type string, page_id bigint, url string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
@@ -136,14 +134,16 @@ def _parse(data: bytes, at: int) -> dict | None:
     }
 
 
-def candidates(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
-    """Every candidate record of the archives with the offset of its successor; the payload's size and digest come from its bytes."""
+def candidates(archives: DataFrame, payloads: bool = False) -> DataFrame:
+    """Every candidate record of some archives (column path) with the offset of its successor; the payload's size and digest come from its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("path", pa.string()), ("start", pa.int64()), ("next", pa.int64()), ("record_type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data, rows, at = content.as_py(), [], 0
+            for path in batch.column(0).to_pylist():
+                fs, place = pafs.FileSystem.from_uri(path)
+                with fs.open_input_stream(place) as f:
+                    data, rows, at = f.read(), [], 0
                 while (at := data.find(MAGIC, at)) >= 0:
                     if record := _parse(data, at):
                         begin, end = record.pop("block")
@@ -160,8 +160,8 @@ def candidates(spark: SparkSession, folder: str, payloads: bool = False) -> Data
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc").load(folder)
-    return files.select("path", "content").mapInArrow(run, CANDIDATE)
+    paths = archives.select("path")
+    return paths.repartition(max(1, min(paths.count(), TASKS)), "path").mapInArrow(run, CANDIDATE)
 
 
 def reachable(start: np.ndarray, following: np.ndarray) -> np.ndarray:
@@ -182,23 +182,19 @@ def reachable(start: np.ndarray, following: np.ndarray) -> np.ndarray:
     return out
 
 
-def read_archives(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
-    """The records of the archives."""
+def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
+    """The records of some archives (column path)."""
 
     def chain(table: pa.Table) -> pa.Table:
         keep = reachable(table["start"].to_numpy(), table["next"].to_numpy())
         return table.filter(pa.array(keep))
 
-    return candidates(spark, folder, payloads).groupBy("path").applyInArrow(chain, CANDIDATE)
+    return candidates(archives, payloads).groupBy("path").applyInArrow(chain, CANDIDATE)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """The records of ``pages``, written as archives below the shared folder and read back."""
-    folder = shared.folder(pages.sparkSession) + "/warc"
-    pafs_root = pafs.FileSystem.from_uri(folder)
-    pafs_root[0].create_dir(pafs_root[1], recursive=True)
-    write_archives(pages, folder)
-    return read_archives(pages.sparkSession, folder)
+    return read_archives(write_archives(pages, shared.folder(pages.sparkSession) + "/warc"))
 
 
 def digest(records: DataFrame) -> DataFrame:
