@@ -9,7 +9,8 @@ resample to 16-bit PCM.
 
 Rows are independent: nothing is shuffled. A null text is an empty payload,
 which is stored as one block of 64 zero bytes; equal texts give equal values;
-repeated rows give repeated results; extra columns are ignored.
+repeated rows give repeated results; an empty table gives an empty result; extra columns, whatever their names, are ignored.
+PCM that is longer than a value of Spark may be (2^31 bytes, of texts of over 2^28 bytes) is null; all else of such texts is as of any other.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ IMA, ALAW, ULAW = 17, 6, 7
 FORMATS = (ULAW, ALAW, IMA)
 NAMES = {ULAW: "ulaw", ALAW: "alaw", IMA: "ima"}
 RATE, OUT_RATE = 8000, 16000
+#: Bytes of the longest PCM value, and samples whose features are taken at once.
+LONGEST, PART = (1 << 31) - 64, 1 << 22
 #: IMA ADPCM: fixed values of the published specification.
 INDEX_STEP = np.array([-1, -1, -1, -1, 2, 4, 6, 8], np.int32)
 STEPS = np.array([
@@ -129,12 +132,13 @@ def _twice(pcm: np.ndarray) -> np.ndarray:
 
 def features(tag: int, pcm: np.ndarray) -> str:
     """Codec, samples, peak, mean square, sign changes and checksum of resampled PCM."""
-    wide = pcm.astype(np.int64)
+    peak = square = crc = 0
+    for at in range(0, len(pcm), PART):
+        wide = pcm[at : at + PART].astype(np.int64)
+        peak, square = max(peak, int(np.abs(wide).max())), square + int(np.dot(wide, wide))
+        crc = zlib.crc32(pcm[at : at + PART].astype("<i2").tobytes(), crc)
     sign = pcm < 0
-    return (
-        f"{NAMES[tag]};n={len(pcm)};peak={int(np.abs(wide).max(initial=0))};ms={int(np.dot(wide, wide)) // max(1, len(pcm))};"
-        f"zc={int(np.count_nonzero(sign[1:] != sign[:-1]))};crc={zlib.crc32(pcm.astype('<i2').tobytes()):08x}"
-    )
+    return f"{NAMES[tag]};n={len(pcm)};peak={peak};ms={square // max(1, len(pcm))};zc={int(np.count_nonzero(sign[1:] != sign[:-1]))};crc={crc:08x}"
 
 
 RESULT = "doc_id bigint, n_bytes bigint, media binary, payload binary, pcm binary, feature string"
@@ -156,7 +160,7 @@ def media_columns(docs: DataFrame, rate: int = OUT_RATE) -> DataFrame:
             else:
                 pcm = TABLES[tag][np.frombuffer(payload, np.uint8)]
             pcm = _twice(pcm) if rate == 2 * source else resample(pcm, source, rate)
-            yield len(raw), stored, payload, pcm.astype("<i2").tobytes(), features(tag, pcm)
+            yield len(raw), stored, payload, pcm.astype("<i2").tobytes() if 2 * len(pcm) < LONGEST else None, features(tag, pcm)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
