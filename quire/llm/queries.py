@@ -87,25 +87,25 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact_windows.near_duplicate_passages(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_passages", "n_words")
 
 
-_TEMPLATES = ", ".join(f"({k}, '{name}', '{text}')" for k, name, text in licenses.template_rows())
+_TEMPLATES = ", ".join("({}, '{}', '{}', {}, '{}')".format(*(x.replace("'", "''") if isinstance(x, str) else x for x in row)) for row in licenses.template_rows())
 OP5_SQL = f"""
-WITH templates(template, license, text) AS (VALUES {_TEMPLATES}),
-    own AS (SELECT doc_id, coalesce(source, '') || '/' || coalesce(lang, '') || '/' || (doc_id // 500) || '/' || doc_id || '.md' AS path, text FROM documents),
-    spoken AS (SELECT path, text FROM own WHERE regexp_matches(text, '{licenses.HINT}')),
-    lines AS (SELECT path, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM spoken),
-    units AS (SELECT path, n, text FROM lines WHERE regexp_matches(text, '{licenses.HINT}') UNION ALL SELECT path, -1, text FROM spoken),
-    terms AS (SELECT path, n, word, 1 + ln(count(*)) AS tf FROM (SELECT path, n, unnest(regexp_extract_all(lower(text), '{licenses.WORD}')) AS word FROM units) GROUP BY ALL),
+WITH templates(template, license, kind, least, text) AS (VALUES {_TEMPLATES}),
+    own AS (SELECT doc_id, coalesce(source, '') || '/' || coalesce(lang, '') || '/' || (doc_id // 500) || '/' || doc_id || '.md' AS path, lower(coalesce(text, '')) AS text FROM documents),
+    units AS (SELECT path, 'line' AS unit, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM own
+        UNION ALL SELECT path, 'run', unnest(regexp_split_to_array(text, '{licenses.GAP}')), generate_subscripts(regexp_split_to_array(text, '{licenses.GAP}'), 1) FROM own
+        UNION ALL SELECT path, 'whole', text, 0 FROM own),
+    terms AS (SELECT path, unit, n, word, 1 + ln(count(*)) AS tf FROM (SELECT path, unit, n, unnest(regexp_extract_all(text, '{licenses.WORD}')) AS word FROM units) GROUP BY ALL),
     shown AS (SELECT template, word, 1 + ln(count(*)) AS tf FROM (SELECT template, unnest(regexp_extract_all(lower(text), '{licenses.WORD}')) AS word FROM templates) GROUP BY ALL),
-    n AS (SELECT (SELECT count(*) FROM units) + (SELECT count(*) FROM templates) AS total),
-    idf AS (SELECT word, ln((1 + total) / (1 + count(*))) + 1 AS idf FROM (SELECT word FROM terms WHERE word IN (SELECT word FROM shown) UNION ALL SELECT word FROM shown), n GROUP BY word, total),
+    n AS (SELECT (SELECT count(*) FROM own) + (SELECT count(*) FROM templates) AS total),
+    idf AS (SELECT word, ln((1 + total) / (1 + count(*))) + 1 AS idf FROM (SELECT word FROM terms WHERE unit = 'whole' AND word IN (SELECT word FROM shown) UNION ALL SELECT word FROM shown), n GROUP BY word, total),
     weights AS (SELECT template, word, tf * idf AS w FROM shown JOIN idf USING (word)),
     norms AS (SELECT template, sqrt(sum(w * w)) AS norm FROM weights GROUP BY template),
-    weighed AS (SELECT path, n, word, tf * coalesce(idf, ln(1 + total) + 1) AS w FROM terms LEFT JOIN idf USING (word), n AS t),
-    lengths AS (SELECT path, n, sqrt(sum(w * w)) AS length FROM weighed GROUP BY ALL),
-    cosines AS (SELECT path, n, template, license, round(sum(a.w * b.w / norm) / length, 6) AS similarity FROM weighed a JOIN weights b USING (word) JOIN norms USING (template) JOIN templates USING (template)
-        JOIN lengths USING (path, n) GROUP BY path, n, template, license, length HAVING round(sum(a.w * b.w / norm) / length, 6) >= 0.6),
-    best AS (SELECT path, CASE WHEN n < 0 THEN 'file' ELSE 'header' END AS kind, license, similarity FROM cosines
-        QUALIFY row_number() OVER (PARTITION BY path, kind ORDER BY similarity DESC, template) = 1),
+    weighed AS (SELECT path, unit, n, word, tf * coalesce(idf, ln(1 + total) + 1) AS w FROM terms LEFT JOIN idf USING (word), n AS t),
+    lengths AS (SELECT path, unit, n, sqrt(sum(w * w)) AS length FROM weighed GROUP BY ALL),
+    cosines AS (SELECT path, unit, template, license, kind, round(sum(a.w * b.w / norm) / length, 6) AS similarity FROM weighed a JOIN weights b USING (word) JOIN norms USING (template) JOIN templates USING (template)
+        JOIN lengths USING (path, unit, n) GROUP BY path, unit, n, template, license, kind, length, least HAVING round(sum(a.w * b.w / norm) / length, 6) >= least),
+    best AS (SELECT path, CASE WHEN kind = 'title' OR unit = 'whole' THEN 'file' ELSE 'header' END AS kind, license, similarity FROM cosines WHERE unit <> 'whole' OR kind <> 'tag'
+        QUALIFY row_number() OVER (PARTITION BY path, CASE WHEN kind = 'title' OR unit = 'whole' THEN 'file' ELSE 'header' END ORDER BY similarity DESC, template) = 1),
     kept AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, license, similarity FROM best WHERE kind = 'file' QUALIFY row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, path) = 1),
     headers AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY path ORDER BY kind DESC) = 1),
     above AS (SELECT path, array_to_string(string_split(path, '/')[1:k], '/') AS dir, k FROM own, range(0, 4) r(k)),

@@ -5,6 +5,7 @@ import hashlib
 import os
 import re
 import shutil
+import textwrap
 import time
 import zlib
 
@@ -187,14 +188,38 @@ def test_toxicity(spark, empty):
 # ------------------------------------------------------------------ 5: licences
 
 
+def wrapped(text, mark="", width=70):
+    return "\n".join(f"{mark}{x}".rstrip() for x in textwrap.wrap(text, width))
+
+
 def test_licenses(spark):
-    files = spark.createDataFrame(
-        [("a/x.md", "Hello\nLicensed under the Apache License, Version 2.0."), ("a/b/LICENSE", "Released under the MIT License."), ("a/b/c/y.md", "no word"), ("a/z.md", None), ("d/w.md", ""), (None, "text"), ("a/b/t.md", prose(50, 1) + "\nlicense plates are metal")],
-        "path string, text string",
-    )
-    got = {r.path: (r.license, r.origin, r.from_dir) for r in licenses.scan(files).collect()}
-    assert got["a/x.md"][:2] == ("Apache-2.0", "header") and got["a/b/c/y.md"] == ("MIT", "inherited", "a/b") and got["a/b/t.md"] == ("MIT", "inherited", "a/b")
-    assert got["a/z.md"] == ("Apache-2.0", "inherited", "a") and got["d/w.md"][1] == "none" and len(got) == 7  # the whole of a/x.md is near enough to a notice
+    code = "\n\nint main() { return 0; }\n" + prose(80, 3)
+    own = "Copyright (c) 2021 Some Body. All rights reserved.\n\n"
+    apache = "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n" + "\n\n".join(wrapped(prose(60, k)) for k in range(30))
+    bsd3 = licenses.TEMPLATES["BSD-3-Clause"]["text"][0]
+    gpl3 = licenses.TEMPLATES["GPL-3.0"]["notice"][3]
+    texts = {
+        "a/x.md": "Hello\nLicensed under the Apache License, Version 2.0.", "a/b/LICENSE": "Released under the MIT License.", "a/b/c/y.md": "no word", "a/z.md": None, "d/w.md": "", None: "text",
+        "a/b/t.md": prose(50, 1) + "\nlicense plates are metal",
+        "mit/LICENSE": "MIT License\n\n" + own + "\n\n".join(map(wrapped, licenses.MIT.split("\n"))), "mit/src/deep/a.c": code,
+        "bsd/COPYING": own + wrapped(bsd3), "bsd/a.c": code, "isc/LICENSE": own + wrapped(licenses.ISC), "isc/a.c": code, "zl/LICENSE": own + wrapped(licenses.ZLIB), "zl/b": code,
+        "apache/LICENSE": apache, "apache/a.c": code, "gpl/COPYING": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n" + wrapped(prose(900, 8)), "gpl/x/y": code,
+        "h/apache.py": wrapped(licenses.APACHE, "# ") + code, "h/gpl.c": "/*\n" + wrapped(gpl3, " * ", 50) + "\n */" + code, "h/gpl2": "GNU General Public License, version 2" + code, "h/mit.c": "// SPDX-License-Identifier: MIT" + code,
+        "h/tag.c": "# SPDX-License-Identifier: Apache-2.0" + code, "h/later": "SPDX-License-Identifier: GPL-3.0-or-later" + code, "h/other": "SPDX-License-Identifier: WTFPL" + code, "h/none": prose(400, 2) + "\nthe license of the public software is granted",
+    }
+    files = spark.createDataFrame([(p, t, "x", 1) for p, t in texts.items()] + [("a/x.md", "other text", "y", 2)], "path string, text string, word string, n int")
+    got = {}
+    for r in licenses.scan(files).collect():
+        got.setdefault(r.path, []).append((r.license, r.origin, r.from_dir))
+    one = lambda p: got[p][0]
+    assert len(got) == len(texts) and sorted(x[1] for x in got["a/x.md"]) == ["header", "inherited"]  # rows of one path have their own results
+    assert one("a/b/c/y.md") == ("MIT", "inherited", "a/b") and one("a/b/t.md") == ("MIT", "inherited", "a/b")
+    assert one("a/z.md") == ("Apache-2.0", "inherited", "a") and one("d/w.md")[1] == "none"  # the whole of a/x.md is near enough to a notice
+    for path, name in (("mit/src/deep/a.c", "MIT"), ("bsd/a.c", "BSD-3-Clause"), ("isc/a.c", "ISC"), ("zl/b", "Zlib"), ("apache/a.c", "Apache-2.0"), ("gpl/x/y", "GPL-3.0")):
+        assert one(path) == (name, "inherited", path.split("/")[0]), path
+    for path, name in (("h/apache.py", "Apache-2.0"), ("h/gpl.c", "GPL-3.0"), ("h/gpl2", "GPL-2.0"), ("h/mit.c", "MIT"), ("h/tag.c", "Apache-2.0"), ("h/later", "GPL-3.0")):
+        assert one(path)[:2] == (name, "header"), path
+    assert one("h/other")[1] == "none" and one("h/none")[1] == "none"
     assert licenses.scan(files.where("false")).count() == 0
 
 
