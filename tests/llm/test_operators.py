@@ -398,12 +398,83 @@ def test_templates(spark, empty):
     got = {r.doc_id: (r.contaminated, r.item_ids, r.best_coverage) for r in templates.digest(templates.find_leaks(table, bench)).collect()}
     assert got[1][:2] == (1, [1]) and got[2][:2] == (1, [1]) and got[7][:2] == (1, [1]) and got[8][:2] == (1, [3])
     assert [got[i][0] for i in (3, 4, 5, 6)] == [0] * 4
-    leak = templates.find_leaks(table, bench, block_tokens=5).where("doc_id = 2").first()["__leaks"][0]
+    leak = templates.find_leaks(table, bench).where("row.doc_id = 2").first()["leaks"][0]
     assert not leak.verbatim and templates.decontaminate(table, bench).count() == 4
-    assert templates.find_leaks(table, bench.where("false")).where("size(__leaks) > 0").count() == 0
+    assert templates.find_leaks(table, bench.where("false")).where("size(leaks) > 0").count() == 0
+    clash = table.withColumn("leaks", F.lit(1)).withColumn("row", F.lit("r")).withColumn("text_key", F.lit("k"))
+    assert sorted(r.doc_id for r in templates.decontaminate(clash, bench).collect()) == [3, 4, 5, 6] and templates.decontaminate(clash, bench).columns == clash.columns
     assert templates.digest(templates.find_leaks(empty, bench)).count() == 0
 
 
+def test_parameters(spark):
+    """Values that change their length, names of several words, spelled numbers, formulas, changed halves."""
+    item = "A farmer sells 120 apples at the market on every day of the week and earns 45 dollars in London before going home to sleep"
+    long = prose(16, 50) + " 7 apples " + prose(16, 51) + " 7 pears"
+    bench = spark.createDataFrame([(1, item), (2, "12 + 7 * 3 = 33"), (3, "Compute 3 + 5"), (4, long), (5, "Él vive en Ávila con doña Inés desde hace muchos años y nunca sale de casa")], "item_id bigint, text string")
+    docs = {
+        1: item.replace("120", "1,200"), 2: item.replace("120", "2.5"), 3: item.replace("London", "New York"), 4: item.replace("120", "twenty five").replace("45", "1,000,000"), 5: item.replace("London", "Rio de Janeiro"),
+        6: "so 12 + 7 * 3 = 33 then", 7: "Compute 3 + 5 now", 8: long.replace("7 pears", "8 pears"), 9: item.replace("on every day", "on almost every single day"), 10: "Él vive en Úbeda con doña Inés desde hace muchos años y nunca sale de casa",
+        11: prose(10, 52) + " 120 apples at 45 dollars in London", 12: "12 + 8 * 3 = 36", 13: prose(300, 53), 14: "Compute 4 + 5",
+    }
+    table = spark.createDataFrame([*docs.items()], "doc_id bigint, text string")
+    got = {r.doc_id: r.item_ids for r in templates.digest(templates.find_leaks(table, bench)).collect()}
+    assert got == {1: [1], 2: [1], 3: [1], 4: [1], 5: [1], 6: [2], 7: [3], 8: [4], 9: [1], 10: [5], 11: [], 12: [], 13: [], 14: []}
+
+
+def test_templates_by_brute_force(spark):
+    """Windows, chains and slots worked out by hand, on random texts with numbers."""
+    rng = np.random.default_rng(9)
+    some = [*"abcdefgh", "3", "4", "11"]
+    texts = {k: " ".join(rng.choice(some, rng.integers(0, 60))) for k in range(60)}
+    items = {k: " ".join(rng.choice(some, rng.integers(14, 24))) for k in range(8)}
+    for k, text in items.items():
+        words = text.split()
+        texts[100 + k] = " ".join([*rng.choice(some, 5), *(str(int(w) + 5) if w.isdigit() else w for w in words), *rng.choice(some, 5)])
+        texts[200 + k] = " ".join([*words[:9], "new", *words[9:]])
+
+    def tokens(text):
+        out = []
+        for w in text.split():
+            if w.isdigit() and out and out[-1][0]:
+                out[-1] = (True, f"{out[-1][1]} {w}")
+            else:
+                out.append((w.isdigit(), w))
+        return out
+
+    def cut(text, typed=True, size=4):
+        t = tokens(text) if typed else [(False, w) for w in text.split()]
+        return [(p, tuple("#" if n else w for n, w in t[p : p + size]), [w for n, w in t[p : p + size] if n]) for p in range(len(t) - size + 1) if 2 * sum(n for n, _ in t[p : p + size]) <= size]
+
+    table = spark.createDataFrame([*texts.items()], "doc_id bigint, text string")
+    bench = spark.createDataFrame([*items.items()], "item_id bigint, text string")
+    got = {r.row.doc_id: {x.item_id for x in r.leaks} for r in templates.find_leaks(table, bench, window=4, run=8, coverage=0.5).collect()}
+    hits = [0, 0]
+    for d, text in texts.items():
+        for x, item in items.items():
+            own = cut(item)
+            # by the definition alone: the windows of one diagonal in a row whose values map one to one
+            best = 0
+            theirs = {}
+            for q, w, v in cut(text):
+                theirs.setdefault(w, []).append((q, v))
+            match = {(p, q): list(zip(v, u)) for p, w, v in own for q, u in theirs.get(w, [])}
+            for p, q in match:
+                n, pairs = 0, {*match.get((p - 1, q - 1), ())}
+                while (p + n, q + n) in match:
+                    more = pairs | {*match[p + n, q + n]}
+                    if len({a for a, _ in more}) < len(more) or len({b for _, b in more}) < len(more):
+                        n *= all(a == b for a, b in pairs)  # values that contradict each other: only what is verbatim counts
+                        break
+                    pairs, n = more, n + 1
+                if (p - 1, q - 1) not in match or all(a == b for a, b in pairs):
+                    best = max(best, n)
+            sure = best + 3 >= 8 or (own and best / len(own) >= 0.5)
+            if sure:
+                assert x in got[d], (d, x)
+            hits[sure] += 1
+    assert min(hits) >= 8 and all(k in got[100 + k] and k in got[200 + k] for k in items)
+
+
 # --------------------------------------------------------------------- 9: WARC
 
 
