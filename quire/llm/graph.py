@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quire.llm.shared import written
+from quire.llm.shared import remove, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,6 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.where("a <> b").select("a", "b")
     both = written(edges.union(edges.select("b", "a")).distinct())
     labels = written(both.select(F.col("a").alias("v")).distinct().withColumn("label", F.col("v")))
+    held: list[DataFrame] = [labels]
     while True:
         near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "v").select("v", F.least("label", "near").alias("label"), F.col("label").alias("old"))
@@ -23,6 +24,9 @@ def components(edges: DataFrame) -> DataFrame:
         jump = lower.select(F.col("v").alias("label"), F.col("label").alias("further"))
         new = written(lower.join(jump, "label").select("v", F.least("label", "further").alias("label"), "old"))
         changed = new.where("label <> old").limit(1).count()
+        remove(lower, *held)
+        held = [new]
         labels = new.select("v", "label")
         if not changed:
+            remove(both)
             return labels

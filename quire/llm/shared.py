@@ -20,4 +20,13 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` as a table written below the shared folder and read again: a cut of the lineage that survives lost executors."""
     path = f"{folder(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._quire_path = path
+    return out
+
+
+def remove(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` gave, once all that reads them is written itself."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._quire_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path.getParent(), True)
