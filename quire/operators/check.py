@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quire.functions import text as T
+from quire.operators import courses as CO
 from quire.operators import findings as Q
 from quire.operators import resolve as R
 from quire.operators import schema_rules as S
@@ -20,7 +21,8 @@ def _finding(rows: DataFrame, rule: str, severity: Column | int, message: Column
     return rows.select(
         F.lit(rule).alias("rule_id"), (F.lit(severity) if isinstance(severity, int) else severity).alias("severity"), path.alias("path"), (F.col(line) if line else F.lit(None)).cast("int").alias("line"),
         (none if field is None else field).alias("field"), message.alias("message"), target.alias("target"), (F.array().cast("array<string>") if members is None else members).alias("members"),
-        T.fingerprint_udf(F.lit(rule), path if members is None or rule.startswith("link") else F.lit(""), F.coalesce(target if printed is None else printed, F.lit(""))).alias("fingerprint"),
+        # what the fingerprint is of; it is worked out once, after the union of all rules
+        (path if members is None or rule.startswith("link") else F.lit("")).alias("print_path"), F.coalesce(target if printed is None else printed, F.lit("")).alias("print_target"),
     )
 
 
@@ -28,9 +30,9 @@ def rules(spark: SparkSession, contract: Contract, files: DataFrame, tables: dic
     """All findings of a parsed collection."""
     notes, every = tables["notes"], files.select("path")
     public = notes.where(Q.allowed(F.col("path"), contract.withheld if contract.withheld is not None else []))
-    names = R.claims(notes.select("path", "aliases"), files.where("not is_md"))
+    names = R.cut(R.claims(notes.select("path", "aliases"), files.where("not is_md")))
     links = tables["links"].withColumn("key", T.key_udf("target"))
-    resolved = R.resolve_with_suffixes(links, names, every)
+    resolved = R.cut(R.resolve_with_suffixes(links, names, every))  # some ten rules read it
     titles = public.select(T.key_udf("title").alias("key"), "path")
     planned = tables["planned"].select(T.key_udf("name").alias("key"))
     broken = R.broken(resolved, titles, planned)
@@ -46,19 +48,28 @@ def rules(spark: SparkSession, contract: Contract, files: DataFrame, tables: dic
     ]
     images = tables["images"].withColumn("file", T.markdown_path_udf("path", "destination")).where("file is not null")
     out.append(_finding(R.missing_files(images, every), "link.broken.image", Q.WARN, F.concat("destination", F.lit(" is no file")), F.col("destination"), "line"))
-    refs = tables["path_refs"].withColumn("file", T.markdown_path_udf("path", "destination")).where("file is not null")
-    out.append(_finding(R.missing_files(refs, every), "link.broken.path", F.when(F.col("code"), Q.INFO).otherwise(Q.WARN), F.concat("destination", F.lit(" is no file")), F.col("destination"), "line"))
+    # a path that leaves the collection is information; one in code may be written from the root as well, and is lost if neither reading is a file
+    refs = tables["path_refs"].withColumn("file", T.wide_path_udf("path", "destination")).where("file is not null")
+    leaves = F.col("file").rlike(r"^\.\.(/|$)")
+    from_root = refs.where("code").withColumn("file", T.markdown_path_udf(F.lit(""), "destination")).where("file is not null")
+    lost = R.missing_files(refs.where(~F.col("code") & ~leaves), every).unionByName(
+        R.missing_files(from_root, every).join(R.found_files(refs.where("code"), every).select("path", "line", "destination"), ["path", "line", "destination"], "left_anti")
+    )
+    for rows, severity, word in ((lost, Q.WARN, " is no file"), (refs.where(~F.col("code") & leaves), Q.INFO, " lies outside")):
+        out.append(_finding(rows, "link.broken.path", severity, F.concat("destination", F.lit(word)), F.col("destination"), "line"))
     out.append(_finding(tables["unused_definitions"], "link.unused.definition", Q.INFO, F.concat(F.lit("["), "label", F.lit("] is defined and not used")), F.col("label")))
     # fragments
     unique = resolved.where("resolution = 'unique'").withColumn("target_path", F.col("paths")[0])
-    heading = unique.where("heading <> ''").withColumns({"kind": F.lit("section"), "id": T.section_id_udf("heading")})
+    heading = unique.where("heading <> '' and block = ''").withColumns({"kind": F.lit("section"), "id": T.section_id_udf("heading")})
     block = unique.where("block <> ''").withColumns({"kind": F.lit("block"), "id": F.lower("block")})
-    sections = tables["headings"].select("path", F.explode(F.array("section_id", "github_anchor")).alias("id")).withColumn("kind", F.lit("section"))
-    anchors = sections.unionByName(tables["blocks"].select("path", "id").withColumn("kind", F.lit("block")))
+    section = lambda *ids: tables["headings"].select("path", F.explode(F.array(*ids)).alias("id")).withColumn("kind", F.lit("section"))
+    blocks = tables["blocks"].select("path", "id").withColumn("kind", F.lit("block"))
     embeds = unique.where("embed").select("path", F.col("target_path").alias("target"))
+    # links may name a heading as GitHub does, and headings of what the target embeds; embeds and blocks may not
     for rows, kind in ((heading, "section"), (block, "block")):
-        for embed, surface in ((False, embeds), (True, None)):
-            lost = R.missing_fragments(rows.where(F.col("embed") == embed), anchors, surface)
+        for embed in (False, True):
+            anchors = blocks if kind == "block" else section("section_id") if embed else section("section_id", "github_anchor")
+            lost = R.missing_fragments(rows.where(F.col("embed") == embed), anchors, embeds if kind == "section" and not embed else None)
             rule = f"{'embed' if embed else 'link'}.{kind}_missing"
             what = F.concat(target, F.lit("#"), F.col("heading") if kind == "section" else F.concat(F.lit("^"), F.col("block")))
             out.append(_finding(lost, rule, Q.WARN, F.concat(F.lit("[["), what, F.lit(f"]]: no such {kind}")), what, "line"))
@@ -77,6 +88,7 @@ def rules(spark: SparkSession, contract: Contract, files: DataFrame, tables: dic
     through = based.where("field = 'based_on'").join(thoughts, "path", "left_semi").join(R.only_by_alias(names).select("key", F.col("path").alias("resolved_to")), "key")
     out.append(_finding(through, "provenance.alias_resolved", Q.WARN, F.concat(F.lit("based_on -> "), value, F.lit(" resolves only through an alias")), value, field=F.lit("based_on")))
     # schema
+    notes = notes.where(~Q.below(F.col("path"), contract.templates))  # templates are no instances
     faults = S.frontmatter_faults(notes)
     if contract.frontmatter_optional:
         faults = faults.where("value <> 'missing'")
@@ -86,7 +98,7 @@ def rules(spark: SparkSession, contract: Contract, files: DataFrame, tables: dic
     enums = tabs["enums"]
     ruled = [
         S.enum_violations(records, enums), S.unknown_keys(records, tabs["allowed"]), S.missing_required(records, tabs["required"]), S.bad_slugs(records, {k: t["slug_pattern"] for k, t in contract.types.items() if "slug_pattern" in t}),
-        S.bad_languages(records), S.bad_drafts(records), S.untyped_dependent(records, sorted({f for t in contract.types.values() for f in t.get("fields", [])})),
+        S.bad_languages(records), S.bad_drafts(records), S.untyped_dependent(records, tabs["allowed"]),
     ]
     if contract.provenance:
         ruled.append(S.without_provenance(records, "concept", contract.provenance))
@@ -96,7 +108,7 @@ def rules(spark: SparkSession, contract: Contract, files: DataFrame, tables: dic
         # the rule's own name is a column here
         own = named.select(
             "rule_id", F.lit(Q.ERROR).alias("severity"), "path", F.lit(None).cast("int").alias("line"), F.col("field"), F.concat_ws(" ", F.col("rule_id"), F.col("field"), value).alias("message"),
-            value.alias("target"), F.array().cast("array<string>").alias("members"), T.fingerprint_udf("rule_id", "path", printed).alias("fingerprint"),
+            value.alias("target"), F.array().cast("array<string>").alias("members"), F.col("path").alias("print_path"), printed.alias("print_target"),
         )
         out.append(own)
     nested = notes.select("path", F.explode("nested").alias("field")).where("field in ('based_on', 'related', 'prerequisites')")
@@ -105,7 +117,29 @@ def rules(spark: SparkSession, contract: Contract, files: DataFrame, tables: dic
     out.append(_finding(tables["callouts"].where("markup"), "callout.title_markup", Q.INFO, F.concat(F.lit("callout title carries markup: "), F.col("title")), F.col("title"), "line", printed=F.concat(F.col("line").cast("string"), F.lit("\x1f"), F.col("title"))))
     if skipped is not None:
         out.append(_finding(skipped, "scan.skipped", Q.WARN, F.concat(F.lit("skipped: "), F.col("kind")), F.col("kind")))
-    return Q.merged(*out).withColumn("seq", F.col("rule_seq"))
+    # courses: the grammar's own reports, and units that no note answers or no course lists
+    studies = notes.where(F.col("type").isin(*contract.of_role("course")))
+    own = R.cut(CO.placed(CO.rows(studies.select("path", "body", F.col("body_line").alias("first")))))
+    grammar = CO.diagnostics(own)
+    shown = F.when(F.col("evidence") == "", "the branch lists rows but declares no part in the course").otherwise(F.col("evidence"))
+    none = F.lit(None).cast("string")
+    out.append(grammar.withColumn("evidence", shown).select(
+        "rule_id", F.lit(Q.WARN).alias("severity"), "path", "line", none.alias("field"), F.concat_ws(": ", "rule_id", "evidence").alias("message"), none.alias("target"), F.array().cast("array<string>").alias("members"),
+        F.col("path").alias("print_path"), F.col("evidence").alias("print_target"),
+    ))
+    units = CO.entries(own).where("target is not null").select("path", "line", F.col("target").alias("unit")).join(
+        resolved.where("not embed").select("path", "line", "target", F.col("target").alias("unit"), "resolution", "paths", F.coalesce("located", F.lit(False)).alias("claimed"), "under_gap"), ["path", "line", "unit"]
+    )
+    out.append(_finding(CO.disk_mismatch(units), "course.disk_mismatch", F.col("severity"), F.concat(F.lit("course links [["), target, F.lit("]] but it resolves to nothing")), target, "line"))
+    domains = contract.domain_from
+    place = F.split("path", "/")
+    domain = F.col("fm")["domain"] if not domains else F.coalesce(F.col("fm")["domain"], F.when(place[0].isin(*domains) & (F.size(place) > 2), place[1]))
+    paths = studies.select("path", domain.alias("domain"), F.col("sort_key").alias("ord"))
+    lessons = notes.where(F.col("type").isin(*contract.of_role("lesson"))).select("path", domain.alias("domain"), F.coalesce(F.col("fm")["draft"] == "true", F.lit(False)).alias("draft"))
+    lists = units.where("resolution = 'unique'").select(F.col("path").alias("course"), F.col("paths")[0].alias("path"))
+    out.append(_finding(CO.disk_unlisted(paths, lessons, lists), "course.disk_unlisted", Q.WARN, F.concat(F.lit("unit is on disk but not listed in course "), "course"), F.col("path"), printed=F.col("course")))
+    every_rule = Q.merged(*out).withColumn("seq", F.col("rule_seq"))
+    return every_rule.withColumn("fingerprint", T.fingerprint_udf("rule_id", "print_path", "print_target")).drop("print_path", "print_target")
 
 
 def check(spark: SparkSession, root: str, contract: Contract, every: bool = False, scopes: list[str] = (), complete: bool = True) -> DataFrame:
@@ -122,6 +156,7 @@ def check(spark: SparkSession, root: str, contract: Contract, every: bool = Fals
         inside = Q.knowledge(F.col("path"), contract.checked)
         out = out.where(inside | F.exists("members", lambda m: Q.knowledge(m, contract.checked)))
     if scopes:
-        out = Q.in_scope(out, list(scopes))
+        out = Q.in_scope(out, Q.scopes(list(scopes), contract.withheld, found.frame(spark)))
     lost = _finding(unreadable, "scan.unreadable", Q.ERROR, F.concat(F.lit("can't be read: "), F.col("cause")), F.col("cause")).withColumn("rule_seq", F.lit(99)).withColumn("seq", F.lit(99))
+    lost = lost.withColumn("fingerprint", T.fingerprint_udf("rule_id", "print_path", "print_target")).drop("print_path", "print_target")
     return Q.ordered(out.unionByName(lost))

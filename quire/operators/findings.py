@@ -5,13 +5,19 @@ Columns: rule_id, severity (0 info, 1 warn, 2 error), path, line, target, member
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions import text as T
+from quire.operators import courses
 
 INFO, WARN, ERROR = 0, 1, 2
 #: Rules that need the whole corpus: withheld while some file could not be read.
-WHOLE_CORPUS = ("link.broken", "link.title_not_alias", "collision.name", "provenance.unresolved", "course.disk_mismatch")
+WHOLE_CORPUS = ("link.broken", "link.title_not_alias", "course.disk_mismatch", "course.disk_unlisted", "provenance.unresolved")
+#: The finding of a contract whose navigation roles can't be read, and rules beside the course grammar's that read these roles.
+NO_NAVIGATION, BY_NAVIGATION = "schema.navigation_unavailable", ("course.disk_mismatch", "course.disk_unlisted")
+SEVERITIES = {"info": INFO, "warn": WARN, "error": ERROR}
 
 
 def ordered(findings: DataFrame) -> DataFrame:
@@ -41,17 +47,18 @@ def scoreboard(findings: DataFrame) -> DataFrame:
 
 
 def leverage(findings: DataFrame, key: Column) -> DataFrame:
-    """Targets named by several findings: count, whether all are planned (info), domains, first spelling."""
+    """Targets named by several broken links: count, whether all are planned (info), domains, first spelling."""
     return (
-        findings.groupBy(key.alias("key"))
+        findings.where(F.col("rule_id").isin("link.broken", "link.title_not_alias") & F.col("target").isNotNull())
+        .groupBy(key.alias("key"))
         .agg(F.min_by("target", "seq").alias("target"), F.count("*").alias("n"), F.every(F.col("severity") == INFO).alias("planned"), F.sort_array(F.collect_set("domain")).alias("domains"))
         .where("n > 1")
     )
 
 
 def folded(findings: DataFrame) -> DataFrame:
-    """Like findings as one, with the number of places they touch."""
-    return findings.groupBy("domain", "rule_id", "target").agg(
+    """Like findings as one, with the number of places they touch; information drops out, and without a target the path stands for it."""
+    return findings.where(F.col("severity") > INFO).groupBy("domain", "rule_id", F.coalesce("target", "path").alias("target")).agg(
         F.sum(F.greatest(F.size("members"), F.lit(1))).alias("blast"), F.min_by("message", "seq").alias("message"), F.min_by("path", "seq").alias("path")
     )
 
@@ -63,11 +70,17 @@ def totals(findings: DataFrame) -> DataFrame:
     return out.withColumn("planned", F.col("hidden") - F.col("external"))
 
 
-def gate(findings: DataFrame, threshold: int = ERROR, rules: tuple[str, ...] = ()) -> DataFrame:
-    """Whether the check fails: a finding at the threshold, or a named rule at warning level."""
-    hit = F.col("severity") >= threshold
+def gate(findings: DataFrame, deny: tuple[str, ...] = ("error",)) -> DataFrame:
+    """Whether the check fails (deny: severities and rules): a finding at the lowest denied severity, a denied rule at
+    warning level, or that navigation is unavailable where a denied rule needs it."""
+    hit = F.lit(False)
+    if levels := [SEVERITIES[d] for d in deny if d in SEVERITIES]:
+        hit = hit | (F.col("severity") >= min(levels))
+    rules = [d for d in deny if d not in SEVERITIES]
     if rules:
         hit = hit | (F.col("rule_id").isin(*rules) & (F.col("severity") >= WARN))
+    if any(r in BY_NAVIGATION or r in courses.RULES for r in rules):
+        hit = hit | (F.col("rule_id") == NO_NAVIGATION)
     return findings.agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("failed"))
 
 
@@ -103,13 +116,36 @@ def knowledge(path: Column, layers: list[str] | None) -> Column:
     return F.lit(True) if not layers else F.lower(F.split(path, "/")[0]).isin(*[x.lower() for x in layers])
 
 
-def in_scope(findings: DataFrame, prefixes: list[str]) -> DataFrame:
-    """Findings whose path or a member lies below one of the prefixes."""
-    for p in prefixes:
+def scopes(asked: list[str], withheld: list[str] | None, paths: DataFrame) -> list[str]:
+    """The prefixes that some scopes stand for; refused are absolute ones, then withheld ones, then those that hold no file."""
+    for p in asked:
         if p.startswith("/"):
             raise ValueError(f"a scope is written from the root of the collection: {p}")
-    members = F.exists(F.coalesce("members", F.array().cast("array<string>")), lambda m: below(m, prefixes))
-    return findings.where(below(F.col("path"), prefixes) | members)
+    out = []
+    for p in asked:
+        own = T.nfc(re.sub(r"^(\./+)+", "", p.replace("\\", "/")).rstrip("/"))
+        if not own:
+            raise ValueError(f"a scope that names no path: {p}")
+        if own != "." and (withheld is None or any(own.lower() == d.lower() or own.lower().startswith(d.lower() + "/") for d in withheld)):
+            raise ValueError(f"a scope that is withheld: {p}")
+        if own != "." and paths.where(inside(F.col("path"), [own])).isEmpty():
+            raise ValueError(f"a scope that holds no file: {p}")
+        out.append(own)
+    return out
+
+
+def inside(path: Column, prefixes: list[str]) -> Column:
+    """Whether a path is one of some prefixes or lies below one, by segments, as spelled; "." holds every path."""
+    out = F.lit("." in prefixes)
+    for p in prefixes:
+        out = out | (path == p) | path.startswith(f"{p}/")
+    return out
+
+
+def in_scope(findings: DataFrame, prefixes: list[str]) -> DataFrame:
+    """Findings whose path or a member lies below one of the prefixes."""
+    members = F.exists(F.coalesce("members", F.array().cast("array<string>")), lambda m: inside(m, prefixes))
+    return findings.where(inside(F.col("path"), prefixes) | members)
 
 
 def by_note(findings: DataFrame) -> DataFrame:

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from quire.functions import text as T
+from quire.operators.resolve import cut
 
 
 def neighbours(items: DataFrame, group: list[str], order: list[str], item: str) -> DataFrame:
@@ -69,8 +69,12 @@ def calendar(days: DataFrame, month: str) -> DataFrame:
 
 def pages(rows: DataFrame, order: list, size: int = 25) -> DataFrame:
     """Page numbers by order; ranges are counted in parallel, so that no single task sorts all rows."""
-    ranked = rows.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)).toDF(StructType([*rows.schema.fields, StructField("position", LongType())]))
-    return ranked.withColumn("page", F.ceil(F.col("position") / size))
+    # cut off, so that both readers see the same ranges
+    ranged = cut(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    counts = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    offsets = counts.withColumn("before", F.sum("n").over(Window.orderBy("range")) - F.col("n")).drop("n")  # a row a range
+    position = F.row_number().over(Window.partitionBy("range").orderBy(*order)) + F.col("before")
+    return ranged.join(F.broadcast(offsets), "range").withColumn("position", position).drop("range", "before").withColumn("page", F.ceil(F.col("position") / size))
 
 
 def pager(total: int, page: int, size: int = 25, around: int = 2) -> dict:
@@ -83,8 +87,10 @@ def pager(total: int, page: int, size: int = 25, around: int = 2) -> dict:
 def prefix_groups(titles: DataFrame, least: int = 3) -> DataFrame:
     """The text before a colon or bar, where at least ``least`` titles share it."""
     prefix = F.trim(F.nullif(F.regexp_extract("title", r"^([^:：｜]+)[:：｜]", 1), F.lit("")))
-    n = F.count("*").over(Window.partitionBy("prefix"))
-    return titles.withColumn("prefix", prefix).withColumn("n", n).withColumn("prefix", F.when(F.col("n") >= least, F.col("prefix"))).drop("n")
+    own = titles.withColumn("prefix", prefix)
+    # counts are small and aggregate before they are shuffled; titles without a prefix never meet
+    shared = own.where("prefix is not null").groupBy("prefix").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("prefix", F.lit(True).alias("shared"))
+    return own.join(shared, "prefix", "left").withColumn("prefix", F.when(F.col("shared"), F.col("prefix"))).drop("shared")
 
 
 def list_shape(rows: DataFrame) -> DataFrame:
@@ -102,9 +108,10 @@ def month_headings(rows: DataFrame, least: int = 20) -> DataFrame:
 
 def sections(headings: DataFrame) -> DataFrame:
     """Where each section ends: before the next heading of the same or a higher level (headings: path, line, level)."""
-    rest = Window.partitionBy("path").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
-    later = F.collect_list(F.struct("line", "level")).over(rest)
-    return headings.withColumn("later", later).select("path", "line", "level", F.get(F.filter("later", lambda x: x["level"] <= F.col("level")), F.lit(0))["line"].alias("stop"))
+    rest = Window.partitionBy("path").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
+    # from the end of the note upwards: for each level the last heading seen that is as high
+    stop = F.coalesce(*(F.when(F.col("level") == k, F.last(F.when(F.col("level") <= k, F.col("line")), ignorenulls=True).over(rest)) for k in range(1, 7)))
+    return headings.select("path", "line", "level", stop.alias("stop"))
 
 
 def heading_above(rows: DataFrame) -> DataFrame:

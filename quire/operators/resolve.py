@@ -121,28 +121,38 @@ def missing_fragments(links: DataFrame, anchors: DataFrame, embeds: DataFrame |
     return links.join(have, ["target_path", "kind", "id"], "left_anti")
 
 
+def _known(files: DataFrame) -> DataFrame:
+    return files.select(F.col("path").alias("file")).union(files.select(F.explode(T.ancestors(F.col("path"))))).distinct()
+
+
 def missing_files(refs: DataFrame, files: DataFrame) -> DataFrame:
     """References (resolved path in ``file``) to what is neither a file nor a folder."""
-    known = files.select(F.col("path").alias("file")).union(files.select(F.explode(T.ancestors(F.col("path"))))).distinct()
-    return refs.join(known, "file", "left_anti")
+    return refs.join(_known(files), "file", "left_anti")
+
+
+def found_files(refs: DataFrame, files: DataFrame) -> DataFrame:
+    """References (resolved path in ``file``) to a file or a folder."""
+    return refs.join(_known(files), "file", "left_semi")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage, in the shared folder of spark.checkpoint.dir (a temporary one only where that is unset)."""
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage, in the shared folder that spark.checkpoint.dir names; local sessions that name none get a temporary one."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-"))
     return df.checkpoint()
 
 
-def reach(edges: DataFrame, start: DataFrame, rounds: int = 64) -> DataFrame:
-    """Pairs (path, reached) over embed edges (path, target), by frontiers; each round joins only what is new and is cut off from the rounds before."""
+def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """Pairs (path, reached) over embed edges (path, target), by frontiers until one is empty; each round joins only what is new and is cut off from the rounds before."""
     done = start.select("path", F.col("path").alias("reached"))
     front = done
-    for _ in range(rounds):
+    while True:
         step = front.join(edges.select(F.col("path").alias("reached"), "target"), "reached").select("path", F.col("target").alias("reached")).distinct()
-        front = _cut(step.join(done, ["path", "reached"], "left_anti"))
+        front = cut(step.join(done, ["path", "reached"], "left_anti"))
         if front.isEmpty():
-            break
-        done = done.union(front)
-    return done
+            return done
+        done = cut(done.union(front))

@@ -20,12 +20,22 @@ def enum_violations(records: DataFrame, enums: DataFrame) -> DataFrame:
     return bad.select("path", F.lit("schema.enum").alias("rule_id"), "field", "value")
 
 
-def unknown_keys(records: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Keys that the record's type doesn't have (allowed: type, field; type null for all types)."""
+def key_standing(records: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Keys that aren't common to all types, each allowed, unknown, or dependent: only some type has it, and the record's word for its type is
+    none (allowed: type, field; type null for all types). A record without a type has no dependent keys."""
     common = allowed.where("type is null").select("field")
-    own = allowed.where("type is not null").select("type", "field")
-    bad = fields(records).join(F.broadcast(common), "field", "left_anti").join(F.broadcast(own), ["type", "field"], "left_anti")
-    return bad.select("path", F.lit("schema.unknown_key").alias("rule_id"), "field", F.lit(None).cast("string").alias("value"))
+    own = allowed.where("type is not null").select(F.lower(F.trim("type")).alias("word"), "field", F.lit(True).alias("has")).distinct()
+    known = own.select("word", F.lit(True).alias("declared")).distinct()
+    some = own.select("field", F.lit(True).alias("of_some")).distinct()
+    out = fields(records).withColumn("word", F.lower(F.trim("type"))).join(F.broadcast(common), "field", "left_anti")
+    out = out.join(F.broadcast(own), ["word", "field"], "left").join(F.broadcast(known), "word", "left").join(F.broadcast(some), "field", "left")
+    dependent = F.col("declared").isNull() & F.col("of_some").isNotNull() & (F.coalesce("word", F.lit("")) != "")
+    return out.select("path", "type", "field", F.when(F.col("has"), "allowed").when(dependent, "dependent").otherwise("unknown").alias("standing"))
+
+
+def unknown_keys(records: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Keys that the record's type, or any if it has none, doesn't have."""
+    return key_standing(records, allowed).where("standing = 'unknown'").select("path", F.lit("schema.unknown_key").alias("rule_id"), "field", F.lit(None).cast("string").alias("value"))
 
 
 def missing_required(records: DataFrame, required: DataFrame) -> DataFrame:
@@ -60,11 +70,10 @@ def without_provenance(records: DataFrame, kind: str, any_of: list[str]) -> Data
     return records.where((F.col("type") == kind) & none).select("path", F.lit("schema.provenance").alias("rule_id"), F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value"))
 
 
-def untyped_dependent(records: DataFrame, dependent: list[str]) -> DataFrame:
-    """Records without a type that have a key only a type can judge: one finding each."""
-    return records.where(F.col("type").isNull() & F.arrays_overlap(F.map_keys("fields"), F.array(*map(F.lit, dependent)))).select(
-        "path", F.lit("schema.type_dependent").alias("rule_id"), F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value")
-    )
+def untyped_dependent(records: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Records whose type is no declared one and that have a key only a type can judge: one finding each."""
+    due = key_standing(records, allowed).where("standing = 'dependent'").select("path", "type").distinct()
+    return due.select("path", F.lit("schema.type_dependent").alias("rule_id"), F.lit("type").alias("field"), F.col("type").alias("value"))
 
 
 def nested_references(records: DataFrame, nested: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import courses
 from quire.operators import coverage as C
 from quire.operators import resolve as R
 from quire.plans.tables import EDGES_SQL, PARTS_SQL, edges, part_notes, query
@@ -10,7 +11,7 @@ from quire.plans.tables import EDGES_SQL, PARTS_SQL, edges, part_notes, query
 NAMES_SQL = f"""notes AS ({PARTS_SQL}),
     names AS (SELECT lower(trim(name)) AS key, path, kind, kind <> 'alias' AS located FROM (
         SELECT path, 'stem' AS kind, 'part-' || p_partkey AS name FROM notes UNION ALL SELECT path, 'filename', 'part-' || p_partkey || '.md' FROM notes
-        UNION ALL SELECT path, 'path_stem', replace(path, '.md', '') FROM notes UNION ALL SELECT path, 'path', path FROM notes UNION ALL SELECT path, 'alias', alias FROM notes)),
+        UNION ALL SELECT path, 'path_stem', replace(path, '.md', '') FROM notes UNION ALL SELECT path, 'path', path FROM notes UNION ALL SELECT path, 'alias', alias FROM notes UNION ALL SELECT path, 'alias', alias2 FROM notes)),
     holders AS (SELECT key, list_sort(list(DISTINCT path)) AS paths, bool_or(located) AS located FROM names GROUP BY key),
     edges AS ({EDGES_SQL}),
     targets AS (SELECT 'order-' || l_orderkey AS path, l_linenumber AS line, unnest(['part-' || l_partkey, p_name, 'part-' || (l_partkey + 1000000)]) AS target FROM edges JOIN part ON p_partkey = l_partkey),
@@ -138,13 +139,52 @@ def jn10_missing_paths(read):
     return R.missing_files(hrefs(read).select("page_id", F.col("href").alias("file")), files)
 
 
-@query("jn12_course_unlisted", """WITH course AS (SELECT DISTINCT o_custkey AS domain, l_partkey AS path FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 40 AND o_custkey < 50),
-    lessons AS (SELECT DISTINCT o_custkey AS domain, l_partkey AS path FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey < 50)
-    SELECT domain, path FROM lessons EXCEPT SELECT domain, path FROM course""")
+# courses: customers' orders as study paths of their nation, the parts of their lines as units, suppliers' parts as what a nation teaches
+COURSE_SQL = """courses AS (SELECT c_custkey AS path, CASE WHEN c_custkey % 10 <> 0 THEN c_nationkey END AS domain FROM customer), lists AS (SELECT DISTINCT o_custkey AS course, l_partkey AS path FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    lessons AS (SELECT DISTINCT l_partkey AS path, s_nationkey AS domain, l_partkey % 9 = 0 AS draft FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)"""
+
+
+@query("jn12_r15_course_unlisted", f"""WITH {COURSE_SQL}, listed AS (SELECT DISTINCT domain, lists.path FROM lists JOIN courses ON course = courses.path WHERE domain IS NOT NULL), first AS (SELECT domain, min(path) AS course FROM courses WHERE domain IS NOT NULL GROUP BY 1)
+    SELECT l.domain, l.path, course FROM lessons l JOIN first USING (domain) WHERE NOT draft AND NOT EXISTS (SELECT 1 FROM listed x WHERE x.domain = l.domain AND x.path = l.path)""")
 def jn12_unlisted(read):
-    both = read("lineitem").select("l_orderkey", "l_partkey", "l_quantity").join(read("orders").where("o_custkey < 50").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    rows = both.select(F.col("o_custkey").alias("domain"), F.col("l_partkey").alias("path"), "l_quantity")
-    return rows.select("domain", "path").distinct().join(rows.where("l_quantity >= 40").select("domain", "path"), ["domain", "path"], "left_anti")
+    customer = read("customer").select(F.col("c_custkey").alias("path"), F.when(F.col("c_custkey") % 10 != 0, F.col("c_nationkey")).alias("domain"), F.col("c_custkey").alias("ord"))
+    lines = read("lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    lists = lines.join(read("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("course")), "l_orderkey").select("course", F.col("l_partkey").alias("path")).distinct()
+    lessons = lines.join(read("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("domain")), "l_suppkey").select(F.col("l_partkey").alias("path"), "domain", (F.col("l_partkey") % 9 == 0).alias("draft")).distinct()
+    return courses.disk_unlisted(customer, lessons, lists).join(customer.select(F.col("path").alias("course"), "domain"), "course").select("domain", "path", "course")
+
+
+@query("r14_course_mismatch", f"WITH {NAMES_SQL} SELECT path, line, target, CASE WHEN line % 2 = 0 THEN 0 ELSE 1 END AS severity FROM resolved WHERE resolution = 'unresolved' OR (resolution = 'ambiguous' AND NOT located)")
+def r14_mismatch(read):
+    found = R.resolve(links(read), names(read)).select("path", "line", "target", "resolution", F.coalesce("located", F.lit(False)).alias("claimed"), (F.col("line") % 2 == 0).alias("under_gap"))
+    return courses.disk_mismatch(found)
+
+
+# bodies: each conversation a study path, whose user turns are headings and whose other turns are rows that list the turn
+BODY_SQL = """t AS (SELECT DISTINCT conv_id, turn, role FROM conversations), r AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS line FROM t),
+    h AS (SELECT *, max(CASE WHEN role = 'user' THEN line END) OVER (PARTITION BY conv_id ORDER BY line) AS heading FROM r),
+    k AS (SELECT *, turn % 4 AS kind FROM h WHERE role <> 'user')"""
+
+
+def course_rows(read):
+    line = F.when(F.col("role") == "user", F.concat(F.lit("## Turn "), "turn", F.when(F.col("turn") % 3 == 0, F.lit(" {sequence=primary}")).otherwise(F.lit(""))))
+    row = F.when(F.col("turn") % 4 == 0, F.lit("- [[a]] and [[b]]")).when(F.col("turn") % 4 == 1, F.concat(F.lit("- [[turn "), "turn", F.lit("]]"))).when(F.col("turn") % 4 == 2, F.lit("- see [[c]]")).otherwise(F.lit("- words"))
+    turns = read("conversations").select("conv_id", "turn", "role").distinct().select("conv_id", F.struct("turn", "role", F.coalesce(line, row).alias("text")).alias("x"))
+    bodies = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["text"]), "\n").alias("body"))
+    return courses.placed(courses.rows(bodies.select(F.col("conv_id").cast("string").alias("path"), "body", F.lit(1).alias("first"))))
+
+
+@query("p21_r16_r27_course_rules", f"""WITH {BODY_SQL} SELECT conv_id::VARCHAR AS path, line::INTEGER AS line, CASE WHEN heading IS NULL THEN 'course.entry_outside_branch' WHEN kind = 0 THEN 'course.entry_multi_target' ELSE 'course.entry_noncanonical' END AS rule_id
+        FROM k WHERE (heading IS NULL AND kind < 3) OR kind IN (0, 2)
+    UNION ALL SELECT r.conv_id::VARCHAR, r.line::INTEGER, 'course.role_missing' FROM r WHERE role = 'user' AND turn % 3 <> 0 AND EXISTS (SELECT 1 FROM k WHERE k.conv_id = r.conv_id AND k.heading = r.line AND kind < 3)""")
+def course_rules(read):
+    return courses.diagnostics(course_rows(read)).select("path", "line", "rule_id")
+
+
+@query("n2_w3_course_entries", f"""WITH {BODY_SQL} SELECT conv_id::VARCHAR AS path, line::INTEGER AS line, heading::INTEGER AS branch, CASE kind WHEN 0 THEN 'multi_target' WHEN 1 THEN 'accepted' ELSE 'noncanonical' END AS state,
+    CASE kind WHEN 1 THEN 'turn ' || turn WHEN 2 THEN 'c' END AS target, row_number() OVER (PARTITION BY conv_id, heading ORDER BY line)::INTEGER AS number FROM k WHERE heading IS NOT NULL AND kind < 3""")
+def course_entries(read):
+    return courses.entries(course_rows(read)).select("path", "line", "branch", "state", "target", "number")
 
 
 @query("jn13_course_entries", f"""WITH {NAMES_SQL} SELECT path, line, target, CASE WHEN resolution <> 'unique' THEN resolution WHEN paths[1] LIKE 'Brand#1/%' THEN 'non-instance' ELSE 'resolved' END AS state FROM resolved""")
@@ -165,9 +205,9 @@ def jn14_reach(read):
     return R.reach(embeds, nation.where("n_nationkey < 10").select(F.col("n_nationkey").alias("path")))
 
 
-@query("jn18_expanded_edges", f"WITH {NAMES_SQL} SELECT DISTINCT path, unnest(paths) AS target FROM resolved WHERE paths IS NOT NULL AND path < 'order-2'")
+@query("jn18_expanded_edges", f"WITH {NAMES_SQL} SELECT DISTINCT path, unnest(paths) AS target FROM resolved WHERE paths IS NOT NULL")
 def jn18_expanded(read):
-    return R.expanded(R.resolve(links(read).where("path < 'order-2'"), names(read)))
+    return R.expanded(R.resolve(links(read), names(read)))
 
 
 @query("a1_collisions", f"WITH {NAMES_SQL} SELECT key, array_to_string(paths, ',') AS members FROM holders WHERE len(paths) > 1")

@@ -35,7 +35,7 @@ def w4_place(read):
     return N.placed(read("orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"], "o_orderkey").withColumn("number", F.col("number").cast("bigint"))
 
 
-MONTHS = "m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders WHERE o_custkey % 97 = 1 GROUP BY 1)"
+MONTHS = "m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1)"
 
 
 def order_days(read):
@@ -49,7 +49,7 @@ def a22_months(read):
 
 @query("w5_nearest_months", f"WITH {MONTHS} SELECT month, n, lag(month) OVER (ORDER BY month) AS before, lead(month) OVER (ORDER BY month) AS after FROM m")
 def w5_nearest(read):
-    return N.nearest_months(N.months(order_days(read).where("o_custkey % 97 = 1")))
+    return N.nearest_months(N.months(order_days(read)))
 
 
 @query("w8_calendar", """SELECT strftime(day, '%Y-%m-%d') AS day, (isodow(day) - 1)::INTEGER AS weekday, ((day(day) - 1 + isodow(DATE '1998-03-01') - 1) // 7)::INTEGER AS week, (SELECT count(*) FROM orders WHERE CAST(o_orderdate AS DATE) = day) AS n
@@ -91,9 +91,9 @@ def a21_titles(read):
     return N.shared_titles(notes).select("p_partkey", "qualifier")
 
 
-@query("a23_prefix_groups", "WITH t AS (SELECT p_partkey, p_type AS prefix, count(*) OVER (PARTITION BY p_type) AS n FROM part WHERE p_partkey % 5 = 0) SELECT p_partkey, CASE WHEN n >= 3 THEN prefix END AS prefix FROM t")
+@query("a23_prefix_groups", "WITH t AS (SELECT p_partkey, p_type AS prefix, count(*) OVER (PARTITION BY p_type) AS n FROM part) SELECT p_partkey, CASE WHEN n >= 3 THEN prefix END AS prefix FROM t")
 def a23_prefix(read):
-    titles = read("part").where("p_partkey % 5 = 0").select("p_partkey", F.concat_ws(": ", "p_type", "p_name").alias("title"))
+    titles = read("part").select("p_partkey", F.concat_ws(": ", "p_type", "p_name").alias("title"))
     return N.prefix_groups(titles).select("p_partkey", "prefix")
 
 
@@ -102,9 +102,9 @@ def a24_shape(read):
     return N.list_shape(read("orders").select(F.col("o_custkey").alias("folder"), F.to_date("o_orderdate").alias("day"), F.col("o_orderpriority").alias("title")))
 
 
-@query("w9_sections", "WITH h AS (SELECT l_orderkey AS path, l_linenumber AS line, 1 + (l_suppkey % 3)::INTEGER AS level FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1) SELECT path, line, level, (SELECT min(b.line) FROM h b WHERE b.path = a.path AND b.line > a.line AND b.level <= a.level) AS stop FROM h a WHERE path < 2000")
+@query("w9_sections", "WITH h AS (SELECT l_orderkey AS path, l_linenumber AS line, 1 + (l_suppkey % 3)::INTEGER AS level FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1) SELECT path, line, level, (SELECT min(b.line) FROM h b WHERE b.path = a.path AND b.line > a.line AND b.level <= a.level) AS stop FROM h a")
 def w9_sections(read):
-    first = read("lineitem").where("l_orderkey < 2000").groupBy(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("line")).agg(F.min(F.struct("l_partkey", "l_suppkey")).alias("f"))
+    first = read("lineitem").groupBy(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("line")).agg(F.min(F.struct("l_partkey", "l_suppkey")).alias("f"))
     return N.sections(first.select("path", "line", (F.col("f.l_suppkey") % 3 + 1).cast("int").alias("level")))
 
 

@@ -14,36 +14,52 @@ def a7_scoreboard(read):
 
 
 @query("a8_leverage", f"""{WITH} SELECT lower(target) AS key, arg_min(target, seq) AS target, count(*) AS n, bool_and(severity = 0) AS planned, array_to_string(list_sort(list(DISTINCT domain)), ',') AS domains
-    FROM f GROUP BY 1 HAVING count(*) > 1""")
+    FROM f WHERE rule_id IN ('link.broken', 'link.title_not_alias') AND target IS NOT NULL GROUP BY 1 HAVING count(*) > 1""")
 def a8_leverage(read):
     return Q.leverage(findings(read), F.lower("target")).withColumn("domains", F.array_join("domains", ","))
 
 
-@query("o10_leverage_top5", f"{WITH} SELECT lower(target) AS key, count(*) AS n FROM f GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, key LIMIT 5")
+@query("o10_leverage_top5", f"{WITH} SELECT lower(target) AS key, count(*) AS n FROM f WHERE rule_id IN ('link.broken', 'link.title_not_alias') AND target IS NOT NULL GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, key LIMIT 5")
 def o10_top(read):
     return Q.leverage(findings(read), F.lower("target")).orderBy(F.desc("n"), "key").limit(5).select("key", "n")
 
 
-@query("a9_folded_findings", f"""{WITH} SELECT domain, rule_id, target, sum(greatest(line, 1))::BIGINT AS blast, arg_min(path, seq) AS path FROM f GROUP BY ALL""")
+@query("a9_folded_findings", f"""{WITH} SELECT domain, rule_id, coalesce(target, path) AS target, sum(greatest(line, 1))::BIGINT AS blast, arg_min(path, seq) AS path FROM f f0 WHERE severity > 0 GROUP BY domain, rule_id, coalesce(target, f0.path)""")
 def a9_folded(read):
     rows = findings(read).withColumn("members", F.array_repeat("path", F.col("line"))).withColumn("message", F.col("path"))
     return Q.folded(rows).drop("message")
 
 
-@query("a10_totals", f"{WITH} SELECT count(*) FILTER (severity = 2) AS errors, count(*) FILTER (severity = 1) AS warns, count(*) FILTER (severity = 0) AS hidden, count(*) FILTER (severity = 0 AND rule_id = 'rule.view') AS external, count(*) FILTER (severity = 0 AND rule_id <> 'rule.view') AS planned FROM f")
+@query("a10_totals", f"{WITH} SELECT count(*) FILTER (severity = 2) AS errors, count(*) FILTER (severity = 1) AS warns, count(*) FILTER (severity = 0) AS hidden, count(*) FILTER (severity = 0 AND rule_id = 'link.broken.path') AS external, count(*) FILTER (severity = 0 AND rule_id <> 'link.broken.path') AS planned FROM f")
 def a10_totals(read):
-    return Q.totals(findings(read).withColumn("rule_id", F.when(F.col("rule_id") == "rule.view", "link.broken.path").otherwise(F.col("rule_id"))))
+    return Q.totals(findings(read))
 
 
-@query("a11_gate", f"{WITH} SELECT 'd3' AS domain, coalesce(bool_or(severity >= 2 OR (rule_id = 'rule.purchase' AND severity >= 1)), false) AS failed FROM f WHERE line = 4 AND rule_id <> 'rule.error' AND domain = 'd3'")
-def a11_gate(read):
-    own = findings(read).where("line = 4 and rule_id <> 'rule.error' and domain = 'd3'")
-    return Q.gate(own, Q.ERROR, ("rule.purchase",)).select(F.lit("d3").alias("domain"), "failed")
+GATE_SQL = f"""{WITH}, g AS (SELECT *, rule_id <> 'schema.frontmatter' AS mild, rule_id IN ('link.title_not_alias', 'link.broken.path') AND severity = 0 AS softest FROM f)
+    SELECT 'error' AS deny, bool_or(severity >= 2) AS failed FROM g UNION ALL SELECT 'error, without errors', bool_or(severity >= 2) FROM g WHERE mild
+    UNION ALL SELECT 'warn, information only', bool_or(severity >= 1) FROM g WHERE softest UNION ALL SELECT 'rule', bool_or(rule_id = 'link.broken' AND severity >= 1) FROM g WHERE mild
+    UNION ALL SELECT 'rule as information', bool_or(rule_id = 'link.title_not_alias' AND severity >= 1) FROM g WHERE softest
+    UNION ALL SELECT 'navigation', bool_or(rule_id = 'schema.navigation_unavailable') FROM g WHERE mild UNION ALL SELECT 'nothing found', false"""
 
 
-@query("a17_findings_by_note", f"{WITH} SELECT path, count(*) AS n, max(severity)::INTEGER AS heaviest, bool_or(rule_id = 'rule.error') AS unreadable FROM f GROUP BY 1")
+@query("a11_gate", GATE_SQL)
+def a11_gate(read):
+    rows = findings(read)
+    mild, softest = rows.where("rule_id <> 'schema.frontmatter'"), rows.where("rule_id in ('link.title_not_alias', 'link.broken.path') and severity = 0")
+    cases = {
+        "error": (rows, ("error",)), "error, without errors": (mild, ("error",)), "warn, information only": (softest, ("warn",)), "rule": (mild, ("link.broken",)),
+        "rule as information": (softest, ("link.title_not_alias",)), "navigation": (mild, ("course.role_missing",)), "nothing found": (rows.where("false"), ("info", "course.disk_mismatch")),
+    }
+    out = None
+    for name, (own, deny) in cases.items():
+        row = Q.gate(own, deny).select(F.lit(name).alias("deny"), "failed")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("a17_findings_by_note", f"{WITH} SELECT path, count(*) AS n, max(severity)::INTEGER AS heaviest, bool_or(rule_id = 'schema.frontmatter') AS unreadable FROM f GROUP BY 1")
 def a17_by_note(read):
-    return Q.by_note(findings(read).withColumn("rule_id", F.when(F.col("rule_id") == "rule.error", "schema.frontmatter").otherwise(F.col("rule_id"))))
+    return Q.by_note(findings(read))
 
 
 @query("a18_health_shape", f"{WITH} SELECT count(*) AS total, count(*) FILTER (severity = 2) AS errors, count(*) FILTER (severity = 1) AS warns, count(DISTINCT path) AS files FROM f")
@@ -52,17 +68,17 @@ def a18_shape(read):
     return findings(read).agg(F.count("*").alias("total"), F.count_if(level == 2).alias("errors"), F.count_if(level == 1).alias("warns"), F.count_distinct("path").alias("files"))
 
 
-@query("u1_union_of_rules", f"{WITH} SELECT rule_id, seq, (CASE rule_id WHEN 'rule.error' THEN 0 ELSE 1 END)::INTEGER AS rule_seq FROM f WHERE severity >= 1")
+@query("u1_union_of_rules", f"{WITH} SELECT rule_id, seq, (CASE severity WHEN 2 THEN 0 ELSE 1 END)::INTEGER AS rule_seq FROM f WHERE severity >= 1")
 def u1_union(read):
     rows = findings(read)
     return Q.merged(rows.where("severity = 2"), rows.where("severity = 1")).select("rule_id", "seq", "rule_seq")
 
 
-@query("u2_beyond_baseline", f"""{WITH}, k AS (SELECT *, sha256(rule_id || '|' || path || '|' || target) AS fingerprint, CAST(ts AS DATE) AS day FROM f), days AS (SELECT min(day) AS first FROM k)
-    SELECT seq, fingerprint FROM k, days WHERE day = first + 1 AND (rule_id = 'rule.error' OR fingerprint NOT IN (SELECT fingerprint FROM k, days WHERE day = first))""")
+@query("u2_beyond_baseline", f"""{WITH}, k AS (SELECT *, sha256(concat_ws('|', rule_id, path, target)) AS fingerprint, CAST(ts AS DATE) AS day FROM f), days AS (SELECT min(day) AS first FROM k)
+    SELECT seq, fingerprint FROM k, days WHERE day = first + 1 AND (rule_id = 'schema.frontmatter' OR fingerprint NOT IN (SELECT fingerprint FROM k, days WHERE day = first))""")
 def u2_baseline(read):
     rows = findings(read).withColumn("fingerprint", F.sha2(F.concat_ws("|", "rule_id", "path", "target"), 256)).withColumn("day", F.to_date("ts"))
-    rows = rows.withColumn("rule_id", F.when(F.col("rule_id") == "rule.error", "scan.unreadable").otherwise(F.col("rule_id")))
+    rows = rows.withColumn("rule_id", F.when(F.col("rule_id") == "schema.frontmatter", "scan.unreadable").otherwise(F.col("rule_id")))
     first = rows.agg(F.min("day").alias("first"))
     own = rows.crossJoin(F.broadcast(first))  # one row
     return Q.beyond_baseline(own.where("day = date_add(first, 1)"), own.where("day = first")).select("seq", "fingerprint")
@@ -73,15 +89,22 @@ def f2_egress(read):
     return Q.egress(findings(read).withColumn("members", F.array("path")), ["User-1", "user-7", "user-12"]).select("seq")
 
 
-@query("f8_scope", f"{WITH} SELECT seq FROM f WHERE path IN ('user-3', 'user-30')")
+@query("f8_scope", f"{WITH} SELECT seq FROM f WHERE path IN ('user-3', 'user-30') OR (line = 2 AND path = 'user-7')")
 def f8_scope(read):
-    return Q.in_scope(findings(read).withColumn("members", F.array().cast("array<string>")), ["user-3", "USER-30"]).select("seq")
+    rows = findings(read)
+    prefixes = Q.scopes(["./user-3/", "user-30", "box"], ["USER-9"], rows.select(F.explode(F.array("path", F.lit("box/user-7"), F.lit("user-30"))).alias("path")))
+    return Q.in_scope(rows.withColumn("members", F.when((F.col("path") == "user-7") & (F.col("line") == 2), F.array(F.lit("box/user-7"))).otherwise(F.array(F.lit("USER-3"), F.lit("user-31"), F.lit("boxes/x")))), prefixes).select("seq")
 
 
-@query("f11_partial_corpus", f"{WITH} SELECT count(*) AS n FROM f WHERE rule_id <> 'rule.click'")
+PARTIAL = ("link.broken", "link.title_not_alias", "course.disk_mismatch", "course.disk_unlisted", "provenance.unresolved")
+EXTRA = ("collision.name", "collision.alias", "course.disk_mismatch", "course.disk_unlisted", "provenance.unresolved", "course.role_missing")
+
+
+@query("f11_partial_corpus", f"{WITH}, m AS (SELECT rule_id FROM f UNION ALL SELECT unnest({list(EXTRA)}) FROM f WHERE severity = 2) SELECT rule_id, count(*) AS n FROM m WHERE rule_id NOT IN {PARTIAL} GROUP BY 1")
 def f11_partial(read):
-    rows = findings(read).withColumn("rule_id", F.when(F.col("rule_id") == "rule.click", "link.broken").otherwise(F.col("rule_id")))
-    return Q.partial_corpus(rows, F.lit(True)).agg(F.count("*").alias("n"))
+    rows = findings(read)
+    more = rows.where("severity = 2").withColumn("rule_id", F.explode(F.array(*map(F.lit, EXTRA))))
+    return Q.partial_corpus(rows.unionByName(more), F.lit(True)).groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
 @query("o2_finding_order", f"{WITH} SELECT path, line, rule_id, seq FROM f ORDER BY path, coalesce(line, 0), rule_id, seq")

@@ -67,9 +67,9 @@ def p2_domains(read):
     return doc_notes(read).where(F.split_part("path", F.lit("/"), F.lit(1)).isin("src1", "src2")).select("doc_id", F.split_part("path", F.lit("/"), F.lit(2)).alias("domain"))
 
 
-@query("p5_link_tokens", """SELECT page_id, len(regexp_extract_all(html, 'href="([^"]*)"')) AS links, list_aggregate(list_sort(regexp_extract_all(html, '<([a-z0-9]+)[ >]', 1)), 'string_agg', ',') AS tags FROM pages WHERE page_id % 10 = 0""")
+@query("p5_link_tokens", """SELECT page_id, len(regexp_extract_all(html, 'href="([^"]*)"')) AS links, list_aggregate(list_sort(regexp_extract_all(html, '<([a-z0-9]+)[ >]', 1)), 'string_agg', ',') AS tags FROM pages""")
 def p5_tokens(read):
-    rows = read("pages").where("page_id % 10 = 0")
+    rows = read("pages")
     tags = F.sort_array(F.regexp_extract_all("html", F.lit("<([a-z0-9]+)[ >]"), F.lit(1)))
     return rows.select("page_id", F.size(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).cast("bigint").alias("links"), F.array_join(tags, ",").alias("tags"))
 
@@ -182,12 +182,12 @@ def n8_open(read):
     return newest(rows).limit(100).select("id", F.date_format("at", "yyyy-MM-dd").alias("day"))
 
 
-@query("n7_health_kinds", f"WITH f AS ({FINDINGS_SQL}) SELECT CASE rule_id WHEN 'rule.error' THEN 0 WHEN 'rule.purchase' THEN 3 ELSE 5 END AS kind, path, count(DISTINCT target) AS n FROM f GROUP BY ALL")
+@query("n7_health_kinds", f"WITH f AS ({FINDINGS_SQL}) SELECT CASE rule_id WHEN 'schema.frontmatter' THEN 0 WHEN 'link.broken' THEN 3 ELSE 5 END AS kind, path, count(DISTINCT coalesce(target, '')) AS n FROM f GROUP BY ALL")
 def n7_health(read):
     from quire.operators.health import rows_of
 
     rows = findings(read)
-    parts = {0: rows.where("rule_id = 'rule.error'"), 3: rows.where("rule_id = 'rule.purchase'"), 5: rows.where("rule_id not in ('rule.error', 'rule.purchase')")}
+    parts = {0: rows.where("rule_id = 'schema.frontmatter'"), 3: rows.where("rule_id = 'link.broken'"), 5: rows.where("rule_id not in ('schema.frontmatter', 'link.broken')")}
     return rows_of(parts).groupBy("kind", "path").agg(F.count("*").alias("n"))
 
 

@@ -28,20 +28,20 @@ def query(name: str, sql: str | None = None):
 
 
 # notes: the parts, in a folder for each brand, with their name as alias
-PARTS_SQL = "SELECT p_partkey, p_brand || '/part-' || p_partkey || '.md' AS path, p_name AS alias, p_brand AS domain FROM part"
+PARTS_SQL = "SELECT p_partkey, p_brand || '/part-' || p_partkey || '.md' AS path, p_name AS alias, 'Own Part ' || p_partkey AS alias2, p_brand AS domain FROM part"
 
 
 def part_notes(read) -> DataFrame:
     path = F.concat("p_brand", F.lit("/part-"), F.col("p_partkey").cast("string"), F.lit(".md"))
-    return read("part").select("p_partkey", path.alias("path"), F.array("p_name").alias("aliases"), F.col("p_brand").alias("domain"))
+    return read("part").select("p_partkey", path.alias("path"), F.array("p_name", F.concat(F.lit("Own Part "), F.col("p_partkey").cast("string"))).alias("aliases"), F.col("p_brand").alias("domain"))
 
 
-# links: orders cite the parts of their large lines
-EDGES_SQL = "SELECT l_orderkey, l_partkey, l_linenumber, o_orderstatus = 'F' AS from_map FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 50"
+# links: orders cite the parts of their lines
+EDGES_SQL = "SELECT l_orderkey, l_partkey, l_linenumber, o_orderstatus = 'F' AS from_map FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
 
 
 def edges(read) -> DataFrame:
-    lines = read("lineitem").where("l_quantity >= 50").select("l_orderkey", "l_partkey", "l_linenumber")
+    lines = read("lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
     return lines.join(read("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus"), "l_orderkey").select("l_orderkey", "l_partkey", "l_linenumber", (F.col("o_orderstatus") == "F").alias("from_map"))
 
 
@@ -54,14 +54,18 @@ def doc_notes(read) -> DataFrame:
     return read("documents").select("doc_id", path.alias("path"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), "text", F.col("lang").alias("domain"), "source", "n_chars")
 
 
-# findings: the events; an error is an error, a purchase a warning, the rest information; the target is props.k
-FINDINGS_SQL = """SELECT event_id AS seq, 'rule.' || event_type AS rule_id, CASE event_type WHEN 'error' THEN 2 WHEN 'purchase' THEN 1 ELSE 0 END AS severity,
-    'user-' || user_id AS path, 'd' || (user_id % 7) AS domain, 'K' || json_extract_string(props, '$.k') AS target, (user_id % 5)::INTEGER AS line, ts FROM events"""
+# findings: the events, each kind as a rule; the target is props.k, which every eleventh lacks
+RULES = {"error": "schema.frontmatter", "purchase": "link.broken", "click": "link.title_not_alias", "view": "link.broken.path", "signup": "schema.navigation_unavailable"}
+FINDINGS_SQL = f"""SELECT event_id AS seq, CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in RULES.items())} END AS rule_id,
+    CASE event_type WHEN 'error' THEN 2 WHEN 'purchase' THEN 1 WHEN 'click' THEN (event_id % 2)::INTEGER ELSE 0 END AS severity,
+    'user-' || user_id AS path, 'd' || (user_id % 7) AS domain, CASE WHEN event_id % 11 <> 0 THEN 'K' || json_extract_string(props, '$.k') END AS target, (user_id % 5)::INTEGER AS line, ts FROM events"""
 
 
 def findings(read) -> DataFrame:
-    level = F.when(F.col("event_type") == "error", 2).when(F.col("event_type") == "purchase", 1).otherwise(0)
+    kind = F.col("event_type")
+    level = F.when(kind == "error", 2).when(kind == "purchase", 1).when(kind == "click", (F.col("event_id") % 2).cast("int")).otherwise(0)
+    rule = F.create_map(*(F.lit(x) for pair in RULES.items() for x in pair))[kind]
     return read("events").select(
-        F.col("event_id").alias("seq"), F.concat(F.lit("rule."), "event_type").alias("rule_id"), level.alias("severity"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("path"),
-        F.concat(F.lit("d"), (F.col("user_id") % 7).cast("string")).alias("domain"), F.concat(F.lit("K"), F.get_json_object("props", "$.k")).alias("target"), (F.col("user_id") % 5).cast("int").alias("line"), "ts",
+        F.col("event_id").alias("seq"), rule.alias("rule_id"), level.alias("severity"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("path"), F.concat(F.lit("d"), (F.col("user_id") % 7).cast("string")).alias("domain"),
+        F.when(F.col("event_id") % 11 != 0, F.concat(F.lit("K"), F.get_json_object("props", "$.k"))).alias("target"), (F.col("user_id") % 5).cast("int").alias("line"), "ts",
     )

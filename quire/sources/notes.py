@@ -32,7 +32,7 @@ USE = re.compile(r"\[([^\]\[]+)\](?!\(|:)")
 RUBY = re.compile(r"<ruby>(.*?)<rt>(.*?)</rt></ruby>", re.S)
 
 NOTE = StructType([
-    StructField("has_fm", BooleanType()), StructField("unclosed_fm", BooleanType()), StructField("bad_fm", BooleanType()), StructField("body_line", IntegerType()),
+    StructField("has_fm", BooleanType()), StructField("unclosed_fm", BooleanType()), StructField("bad_fm", BooleanType()), StructField("body_line", IntegerType()), StructField("body", StringType()),
     StructField("fm", MapType(StringType(), StringType())), StructField("lists", MapType(StringType(), ArrayType(StringType()))), StructField("nested", ArrayType(StringType())),
     StructField("title", StringType()), StructField("plain", StringType()),
     StructField("links", ArrayType(StructType([StructField(n, t) for n, t in (("offset", IntegerType()), ("line", IntegerType()), ("target", StringType()), ("display", StringType()), ("heading", StringType()), ("block", StringType()), ("embed", BooleanType()), ("under_gap", BooleanType()))]))),
@@ -202,7 +202,7 @@ def parse(text: str, stem: str, gap_marks: list[str], inline_marks: list[str]) -
     h1 = next((h["text"] for h in headings if h["level"] == 1 and h["text"]), None)
     quoted = [(first + k, m) for k, line in enumerate(lines) if (m := CALLOUT.match(line)) and m[2].strip()]
     return {
-        "has_fm": source is not None, "unclosed_fm": unclosed, "bad_fm": bad, "body_line": first, "fm": fm, "lists": lists, "nested": nested,
+        "has_fm": source is not None, "unclosed_fm": unclosed, "bad_fm": bad, "body_line": first, "body": body, "fm": fm, "lists": lists, "nested": nested,
         "title": h1 or fm.get("title") or stem, "plain": plain_text(body), "links": links, "headings": headings,
         "blocks": [{"line": first + k, "id": m[1][1:].lower()} for k, line in enumerate(lines) if (m := BLOCK_NAME.search(line)) and not re.match(r"^[ \t>]*#{1,6}[ \t]*\^", line)],
         "path_refs": [{"line": line_of(m.start()), "destination": m[1], "code": False} for m in MD_LINK.finditer(visible)] + [{"line": first + body.count("\n", 0, m.start()), "destination": m[1], "code": True} for m in CODE_PATH.finditer(body)],
@@ -233,7 +233,7 @@ def tables(notes: DataFrame) -> dict[str, DataFrame]:
     """The normalized tables of parsed notes; their columns stay pruned to what a rule reads."""
     ok = notes.where("note.error is null")
     of = lambda c: ok.select("path", F.inline(f"note.{c}"))
-    base = ok.select("path", "sort_key", "mtime", "identity", "note.title", "note.plain", F.col("note.fm")["type"].alias("type"), F.col("note.fm")["slug"].alias("slug"), "note.fm", "note.lists", "note.nested", "note.has_fm", "note.bad_fm", "note.unclosed_fm",
+    base = ok.select("path", "sort_key", "mtime", "identity", "note.title", "note.plain", F.col("note.fm")["type"].alias("type"), F.col("note.fm")["slug"].alias("slug"), "note.fm", "note.lists", "note.nested", "note.body", "note.body_line", "note.has_fm", "note.bad_fm", "note.unclosed_fm",
                      F.coalesce(F.col("note.lists")["aliases"], F.array()).alias("aliases"), F.coalesce(F.col("note.lists")["tags"], F.array()).alias("tags"))
     refs = ok.select("path", F.explode(F.map_filter("note.lists", lambda k, v: k.isin("based_on", "related", "prerequisites"))).alias("field", "values")).select("path", "field", F.posexplode("values").alias("ord", "value"))
     target = F.trim(F.regexp_replace(F.regexp_replace("value", r"^\s*!?\[\[|\]\]\s*$", ""), r"[|#^].*$", ""))
