@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests), below a temporary one."""
+    """A new folder below spark.checkpoint.dir; only in local sessions that leave it unset (tests), below a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_quire_folder", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = spark._quire_folder = "file://" + tempfile.mkdtemp(prefix="quire-")
     return f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
 
