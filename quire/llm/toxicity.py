@@ -13,9 +13,10 @@ up, and a logistic curve turns the sum into a probability.
 What is fitted on labels uses at most ``sample`` labelled documents (by
 hash of the id, a documented bound); the corpus counts cover every text.
 
-Null and empty texts have no words and get the score of no evidence. Repeated rows
-get repeated scores; rows of ``labels`` with nulls are ignored, an empty table
-of labels gives the neutral score; extra columns are ignored.
+Null and empty texts have no words and get the score of no evidence, null ids are not held out. Repeated rows
+get repeated scores; a document labelled twice is toxic if one label says so; very long texts are scanned whole;
+rows of ``labels`` with nulls are ignored, an empty table
+of labels gives the neutral score; an empty table of documents an empty result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from quire.llm.kernel import Words, pieces, utf8, words_of
+from quire.llm.shared import written
 
 SLOTS = 1 << 20
 #: Features of a word: itself (0) and its leading bytes.
@@ -168,7 +171,8 @@ def logistic(x: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[float
 
 # ------------------------------------------------------------------ Spark jobs
 
-PARTS = 256
+#: Parts of a table of counts, and the tree that sums them: tasks that come together at each of some levels.
+PARTS, FAN, LEVELS = 128, 256, 2
 
 
 def _texts(docs: DataFrame, *more) -> DataFrame:
@@ -180,6 +184,10 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
+def _numbers(rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else ((),) * 3, (pa.int32(), pa.int64(), pa.float64()))], names=["toxic", "n", "value"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Model:
     """Learns from at most ``sample`` labelled documents that aren't held out, and from the counts of all texts."""
     spark = docs.sparkSession
@@ -198,21 +206,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Model:
                 if len(own := text.filter(pa.array(label == value))):
                     for i, j in pieces(utf8(own)[1], TEXT):
                         sums[1 + value] += counts(own.slice(i, j - i))
-        rows = [(k, p, x.astype(np.uint32).tobytes()) for k in range(3) for p, x in enumerate(np.array_split(sums[k], PARTS)) if x.any()]
+        task = TaskContext.get().partitionId()
+        rows = [(k, p, task, x.tobytes()) for k in range(3) for p, x in enumerate(np.array_split(sums[k], PARTS)) if x.any()]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], names=["kind", "part", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["kind", "part", "task", "sums"])
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(1, np.int64)
         for x in table["sums"].to_pylist():
-            total = total + np.frombuffer(x, np.uint32)
-        return pa.table({"kind": table["kind"][:1], "part": table["part"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
+            total = total + np.frombuffer(x, np.int64)
+        return pa.table({"kind": table["kind"][:1], "part": table["part"][:1], "task": table["task"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
-    schema = "kind int, part int, sums binary"
+    schema = "kind int, part int, task int, sums binary"
     labelled = _texts(docs).join(known, "doc_id", "left").select("text", F.col("toxic").cast("double").alias("toxic"))
     sums = np.zeros((3, SLOTS + 1), np.int64)
     edges = np.concatenate([[0], np.cumsum([len(x) for x in np.array_split(sums[0], PARTS)])])
-    for kind, part, blob in labelled.mapInArrow(count, schema).groupBy("kind", "part").applyInArrow(add, schema).collect():
+    summed = labelled.mapInArrow(count, schema)
+    for _ in range(LEVELS):  # a tree: no group has more than ``FAN`` rows, up to FAN^LEVELS tasks
+        summed = summed.withColumn("task", F.floor(F.col("task") / FAN).cast("int")).groupBy("kind", "part", "task").applyInArrow(add, schema)
+    for kind, part, _, blob in summed.collect():
         sums[kind, edges[part] : edges[part + 1]] = np.frombuffer(blob, np.int64)
     ratio, z = log_odds(sums[2], sums[1], sums[0])
     model = Model(ratio.astype(np.float32), z.astype(np.float32))
@@ -224,18 +236,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Model:
         for batch in batches:
             text = batch.column(0)
             for i, j in pieces(utf8(text)[1], TEXT):
-                found = [(t, n, [s for _, _, s in x]) for t, (n, _, x) in zip(batch.column(1).to_pylist()[i:j], shared.value.passages(text.slice(i, j - i)))]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found), (pa.int32(), pa.int64(), pa.list_(pa.float64())))], names=["toxic", "n", "scores"])
-
-    # at most ``sample`` rows come to the driver; of a document, the 64 best segments
-    seen = _texts(docs).join(known, "doc_id").select("text", "toxic").mapInArrow(scan, "toxic int, n bigint, scores array<double>")
-    seen = seen.where("n > 0").select("toxic", "n", F.slice(F.sort_array("scores", False), 1, 64).alias("scores")).orderBy("n", "toxic", "scores").collect()
-    best, size, toxic = (np.array(x, float) for x in zip(*[(max((s + math.log(n) for s in scores), default=0.0), n, t) for t, n, scores in seen])) if seen else (np.zeros(0),) * 3
+                found = [(t, n, max((s + math.log(n) for _, _, s in x), default=0.0)) for t, (n, _, x) in zip(batch.column(1).to_pylist()[i:j], shared.value.passages(text.slice(i, j - i)))]
+                yield _numbers(found)
+
+    # a few numbers of each of at most ``sample`` documents (or rows of these) come to the driver, in no order
+    sampled = written(_texts(docs).join(known, "doc_id").select("text", "toxic"))
+    seen = sampled.mapInArrow(scan, "toxic int, n bigint, value double").where("n > 0").collect()
+    toxic, size, best = (np.array(x, float) for x in zip(*seen)) if seen else (np.zeros(0),) * 3
+    order = np.lexsort((best, toxic, size))
+    toxic, size, best = toxic[order], size[order], best[order]
     clean = toxic == 0
     if clean.sum() < 2 or clean.all():
         return model
     model.rate, model.space = gumbel(best[clean], size[clean], np.ones(int(clean.sum())))
-    proof = np.array([model.total([model.rate * (s + math.log(n)) - model.space - math.log(n) for s in scores]) for _, n, scores in seen])
+    judged = spark.sparkContext.broadcast(model)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(0)
+            for i, j in pieces(utf8(text)[1], TEXT):
+                found = [(t, n, x) for t, (n, _, x) in zip(batch.column(1).to_pylist()[i:j], judged.value.evidence(text.slice(i, j - i)))]
+                yield _numbers(found)
+
+    judgements = sampled.mapInArrow(judge, "toxic int, n bigint, value double").where("n > 0").collect()
+    proof, toxic = np.array([r.value for r in judgements]), np.array([r.toxic for r in judgements])
+    clean = toxic == 0
     bins = np.linspace(LOW, HIGH, BINS + 1)
     model.slope, model.offset = logistic((bins[1:] + bins[:-1]) / 2, np.histogram(proof[~clean], bins)[0].astype(float), np.histogram(proof[clean], bins)[0].astype(float))
     return model
