@@ -4,9 +4,11 @@ A document is the set of its five-word shingles. Documents with equal sets fall
 together first. Then, in each of several runs, every set goes to the bucket of
 one sampled shingle (the least under a hash of the run): two sets of Jaccard
 similarity s meet with probability s. A bucket of more than ``bucket`` sets is split
-again by further sampled shingles, three branches of them; a leaf that is
-still larger is compared in blocks of pairs. The runs are repeated until the
-chance to meet in one of them reaches ``recall`` at the threshold.
+again by further sampled shingles, three branches of them, and what is still larger once
+more (each time a pair of similarity s stays together in a branch with probability 1 - (1 - s)^3). Deeper splits
+would part few sets: those of a leaf agree in three sampled shingles, so most of what is left are near duplicates
+of each other, whose links have to be counted. Such a leaf is compared in blocks of pairs. The runs are repeated until the
+chance to meet in one of them, splits included, reaches ``recall`` at the threshold.
 
 Leaves are compared by brute force on the whole sets, exactly. A pair that meets
 in several leaves counts in the first of them, which follows from the two sets'
@@ -17,8 +19,9 @@ with, transitively), never its pairs; components join those rows.
 Texts are shuffled once, and the sets of documents that share a leaf once or,
 where a leaf adds pairs, more often. Documents without words have no shingles and
 no links. Documents of one to four words have one shingle of all their words. Null
-texts are empty; a null doc_id is a vertex of its own; rows with equal doc_id are one vertex;
-empty tables give empty results; extra columns are ignored.
+texts are empty; a row without doc_id is a vertex of its text (ids from 2^62 on are reserved for these, and class_id is
+null if nothing of its class has an id); rows with equal doc_id are one vertex; ties go to the least id; very long texts are
+sets like any other; empty tables give empty results; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +37,9 @@ from quire.llm.graph import components
 from quire.llm.kernel import U64, pieces, scramble, shingles, utf8, words_of
 from quire.llm.shared import written
 
-BRANCHES = 3
+#: Branches of a split, and splits of a bucket at most.
+BRANCHES, DEPTH = 3, 2
+WIDE = BRANCHES**DEPTH
 TEXT = 1 << 20
 #: Vertices from here on are rows without doc_id, by their texts.
 NO_ID = 1 << 62
@@ -46,7 +51,8 @@ def vertex_id() -> Column:
 
 
 def runs_needed(threshold: float, recall: float) -> int:
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
+    meet = threshold * (1 - (1 - threshold) ** BRANCHES) ** DEPTH
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
 
 
 def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,31 +171,30 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
 
     # buckets of a run, and the leaves of those that are split again
     width = 1 + BRANCHES
-    run = F.transform(
-        F.sequence(F.lit(0), F.lit(runs - 1)),
-        lambda r: F.struct(r.alias("run"), F.element_at("samples", r * width + 1).alias("token"), F.slice("samples", r * width + 2, BRANCHES).alias("more")),
-    )
-    tokens = sets.select("set_key", F.inline(run))
-    counts = tokens.groupBy("run", "token").agg(F.count("*").alias("n")).where("n > 1")
-    leaf = F.when(
-        F.col("n") <= bucket, F.array(F.struct((F.col("run") * BRANCHES).alias("idx"), F.xxhash64("run", "token").alias("leaf")))
-    ).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(BRANCHES - 1)),
-            lambda b: F.struct((F.col("run") * BRANCHES + b).alias("idx"), F.xxhash64("run", "token", b, F.element_at("more", b + 1)).alias("leaf")),
-        )
-    )
-    members = written(tokens.join(counts, ["run", "token"]).select("set_key", F.inline(leaf)))
+    run = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.struct((r * WIDE).alias("idx"), F.xxhash64(r, F.element_at("samples", r * width + 1)).alias("leaf")))
+    level, done = sets.select("set_key", F.inline(run)), None
+    for depth in range(DEPTH + 1):
+        counts = level.groupBy("idx", "leaf").agg(F.count("*").alias("n")).where("n > 1")
+        counted = level.join(counts, ["idx", "leaf"])
+        leaves = counted.where(F.col("n") <= bucket) if depth < DEPTH else counted
+        leaves = leaves.select("set_key", "idx", "leaf")
+        done = leaves if done is None else done.unionByName(leaves)
+        if depth < DEPTH:  # the samples of further runs split what is larger
+            step = BRANCHES ** (DEPTH - 1 - depth)
+            at = lambda b: F.pmod(F.floor(F.col("idx") / WIDE) + depth, F.lit(runs)) * width + 2 + b  # noqa: B023, E731
+            branch = F.transform(F.sequence(F.lit(0), F.lit(BRANCHES - 1)), lambda b: F.struct((F.col("idx") + b * step).alias("idx"), F.xxhash64("leaf", b, F.element_at("samples", at(b).cast("int"))).alias("leaf")))  # noqa: B023
+            level = written(counted.where(F.col("n") > bucket).select("set_key", "idx", "leaf").join(sets.select("set_key", "samples"), "set_key").select("set_key", F.inline(branch)))
+    members = written(done)
     lists = members.groupBy("set_key").agg(F.map_from_entries(F.collect_list(F.struct("idx", "leaf"))).alias("of"))
-    lists = lists.select("set_key", F.transform(F.sequence(F.lit(0), F.lit(runs * BRANCHES - 1)), lambda k: F.coalesce(F.element_at("of", k), F.lit(0).cast("bigint"))).alias("leaves"))
+    lists = lists.select("set_key", F.transform(F.sequence(F.lit(0), F.lit(runs * WIDE - 1)), lambda k: F.coalesce(F.element_at("of", k), F.lit(0).cast("bigint"))).alias("leaves"))
     placed = members.join(lists, "set_key")
     # a leaf whose members all met in an earlier run adds no pair
-    first = [F.element_at("leaves", r * BRANCHES + 1) for r in range(runs)]
+    first = [F.element_at("leaves", r * WIDE + 1) for r in range(runs)]
     same = [((F.min(x) == F.max(x)) & (F.min(x) != 0)).alias(f"same{r}") for r, x in enumerate(first)]
     found = placed.groupBy("leaf", "idx").agg(F.count("*").alias("n"), *same).where("n > 1")
     earlier = F.lit(False)
     for r in range(runs):
-        earlier = earlier | (F.col(f"same{r}") & (F.col("idx") >= (r + 1) * BRANCHES))
+        earlier = earlier | (F.col(f"same{r}") & (F.col("idx") >= (r + 1) * WIDE))
     found = found.where(~earlier).select("leaf", "idx", F.ceil(F.col("n") / bucket).cast("int").alias("blocks"))
     wanted = members.join(found, ["leaf", "idx"]).groupBy("set_key").agg(F.collect_list(F.struct("leaf", "idx", "blocks")).alias("wanted"))
     wanted = wanted.join(lists, "set_key").join(sets.select("set_key", "rep", "copies"), "set_key")
