@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import os
 import re
 import shutil
@@ -185,6 +186,72 @@ def test_toxicity(spark, empty):
     assert {r.predicted for r in toxicity.score(empty.union(empty).select("doc_id", "text"), neutral).collect()} == set()
 
 
+def test_toxicity_by_brute_force(spark):
+    """Scores worked out document by document: counts, log-odds, segments by definition, calibration, logistic curve."""
+    texts = {i: prose(int(30 + i % 50), 3000 + i) + (" vile foul vile rotten" if i % 4 == 0 else "") + (" rotten" if i % 9 == 0 else "") for i in range(240)}
+    docs = spark.createDataFrame([*texts.items(), (7, texts[7]), (900, ""), (901, None)], "doc_id bigint, text string").withColumn("toxic", F.lit(5)).withColumn("n", F.lit("x"))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(240)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    learnt = [i for i in [*texts, 7] if zlib.crc32(str(i).encode()) % 4 != 2]  # the repeated row counts twice
+
+    def slots(text):
+        words = toxicity.words_of(pa.array([text]))
+        return toxicity.features(words).T.tolist() if len(words.hash) else []
+
+    def counted(some):
+        out = {}
+        for i in some:
+            own = {}
+            for word in slots(texts.get(i, "")):
+                for slot in word:
+                    own[slot] = own.get(slot, 0) + 1
+            for slot, k in own.items():
+                out[slot] = out.get(slot, 0) + min(k, toxicity.CAP)
+        return out
+
+    every, toxic, clean = counted([*texts, 7]), counted([i for i in learnt if i % 4 == 0]), counted([i for i in learnt if i % 4])
+    total, t_all, c_all = (sum(x.values()) for x in (every, toxic, clean))
+    prior_sum = toxicity.PRIOR + 0.5 * toxicity.SLOTS
+
+    def word_score(word):
+        best = 0.0
+        for slot in word:
+            prior = toxicity.PRIOR * every.get(slot, 0) / total + 0.5
+            a, b = toxic.get(slot, 0) + prior, clean.get(slot, 0) + prior
+            ratio = math.log(a / (t_all + prior_sum - a)) - math.log(b / (c_all + prior_sum - b))
+            z = abs(ratio) / math.sqrt(toxicity.CAP / a + toxicity.CAP / b)
+            sure = max(abs(ratio) * (1 - toxicity.SURE / max(z, 1e-9)) - toxicity.MARGIN, 0) * (1 if ratio > 0 else -1)
+            best = sure if abs(sure) > abs(best) else best
+        return max(-toxicity.CLIP, min(toxicity.CLIP, best)) - toxicity.DRIFT
+
+    def best_segments(s):
+        """All maximal segments: the best one, then those left and right of it."""
+        if not s:
+            return []
+        sums = [0.0]
+        for x in s:
+            sums.append(sums[-1] + x)
+        value, _, i, j = max(((round(sums[j] - sums[i], 9), i - j, i, j) for i in range(len(s)) for j in range(i + 1, len(s) + 1)))
+        return best_segments(s[:i]) + [sums[j] - sums[i]] + best_segments(s[j:]) if value > 1e-9 else []
+
+    found = {i: best_segments([word_score(w) for w in slots(t)]) for i, t in texts.items()}
+    size = {i: len(slots(t)) for i, t in texts.items()}
+    rows = [(max((x + math.log(size[i]) for x in found[i]), default=0.0), size[i]) for i in learnt if i % 4]
+    mean = sum(x for x, _ in rows) / len(rows)
+    rate = math.pi / math.sqrt(6 * max(sum((x - mean) ** 2 for x, _ in rows) / len(rows), 1e-6))
+    space = rate * mean - 0.5772 - sum(math.log(n) for _, n in rows) / len(rows)
+    assert abs(model.rate - rate) < 1e-3 * rate and abs(model.space - space) < 1e-2
+    for i in texts:
+        values = [rate * x - space - math.log(size[i]) for x in found[i]]
+        sure = sum(x for x in values if x > 0)
+        proof = max(toxicity.LOW, min(toxicity.HIGH, sure if sure > 0 else max(values, default=toxicity.LOW)))
+        assert abs(got[i].score - 1 / (1 + math.exp(-(model.slope * proof + model.offset)))) < 1e-3, i
+        assert got[i].predicted == int(got[i].score >= 0.3) and got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+    right = [got[i].predicted == (i % 4 == 0) for i in texts if got[i].held_out]
+    assert np.mean(right) > 0.95 and got[900].score == got[901].score
+
+
 # ------------------------------------------------------------------ 5: licences
 
 

@@ -37,3 +37,26 @@ def test_pipeline(spark, tmp_path):
     assert want[5] != hashlib.sha256(texts[5].encode()).hexdigest()
     del want[6]
     assert got == want
+
+
+def test_labels_and_awkward_rows(spark, tmp_path):
+    """Toxic documents go at the first stage; very long, repeated and wider rows pass; equal ids with other texts stay apart."""
+    foul = " vile foul vile rotten foul"
+    texts = [(i, prose(70, 100 + i) + (foul if i % 5 == 0 else "")) for i in range(300)] + [(400, ""), (401, None), (402, prose(30_000, 7)), (403, prose(60, 8)), (403, prose(60, 8)), (404, prose(60, 9)), (404, prose(60, 10)), (None, prose(60, 11))]
+    docs = spark.createDataFrame([(i, t, "en", "s", None, "more", 1) for i, t in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint, batch string, leaks int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(300)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, prose(30, 12))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    left = corpus_pipeline.without_toxic(spark, kept, str(tmp_path))
+    assert left.columns == docs.columns and sorted((r.doc_id is None, r.doc_id or 0) for r in left.collect()) == sorted((i is None, i or 0) for i, t in texts if not (t or "").endswith(foul))
+    got = sorted((r.doc_id is None, r.doc_id or 0) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    clean = [i for i in range(300) if i % 5]
+    assert got == sorted([*((False, i) for i in (*clean, 400, 401, 402, 403, 404, 404)), (True, 0)])
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
