@@ -296,6 +296,7 @@ def test_licenses(spark):
 def test_passages(docs, empty):
     got = {r.doc_id: r for r in compact_windows.near_duplicate_passages(docs, batch_bytes=4000).where("doc_id <> 15").collect()}
     assert {got[i].class_id for i in (1, 2, 3)} == {1} and got[4].class_id == got[5].class_id == 4
+    assert (got[1].n_passages, got[1].n_words) == (got[2].n_passages, got[2].n_words) == (1, 120)  # copies are passages as a whole
     assert 60 <= got[4].n_words <= 75 and got[4].n_passages == 1
     clean = [i for i in got if i not in (1, 2, 3, 4, 5)]
     assert all(got[i].class_id == i and got[i].n_passages == 0 for i in clean)
@@ -330,7 +331,7 @@ def test_crowds(spark):
         words = list(base)
         words[int(rng.integers(0, 60))] = f"own{k}"
         docs.append((k, " ".join(words), 0))
-    texts = spark.createDataFrame(docs, "doc_id bigint, text string, batch int")
+    texts = compact_windows._packed(spark.createDataFrame(docs, "doc_id bigint, text string, batch int"))
     crowd = spark.createDataFrame([(1, 40, k, k, 0, 0, 276) for k in range(40)], "`group` bigint, n bigint, class bigint, doc bigint, batch int, `from` int, `to` int")
     crowd_size, compact_windows.CROWD = compact_windows.CROWD, 16
     try:
