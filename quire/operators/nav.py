@@ -114,6 +114,16 @@ def sections(headings: DataFrame) -> DataFrame:
     return headings.select("path", "line", "level", stop.alias("stop"))
 
 
+def excerpts(lines: DataFrame, headings: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The text below the first heading that has a wanted id, up to the next one as high (lines: path, line, text; headings: path, line, level, id; wanted: path, id),
+    with the number of its lines and of headings that have the id."""
+    found = sections(headings).join(headings.select("path", "line", "id"), ["path", "line"]).join(wanted, ["path", "id"])
+    first = found.groupBy("path", "id").agg(F.min(F.struct("line", "stop")).alias("at"), F.count("*").alias("matches")).select("path", "id", "matches", F.col("at.line").alias("start"), "at.stop")
+    inside = (F.col("line") > F.col("start")) & (F.col("stop").isNull() | (F.col("line") < F.col("stop")))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(inside, F.struct("line", "text")))), lambda x: x["text"]), "\n")
+    return first.join(lines, "path").groupBy("path", "id", "matches").agg(F.count_if(inside).alias("lines"), text.alias("excerpt"))
+
+
 def heading_above(rows: DataFrame) -> DataFrame:
     """For each link the nearest heading above it (rows: path, offset, heading or null)."""
     line = Window.partitionBy("path").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)

@@ -189,7 +189,10 @@ def exists(fields: DataFrame, name: str, withheld: Column | None = None) -> Data
 
 def located(docs: DataFrame, quotes: DataFrame, reach: int = 32) -> DataFrame:
     """Where a quote (id, quote, before, after) stands in its note: the occurrence whose surroundings agree most, if that is one alone."""
-    at = F.expr("filter(sequence(1, greatest(char_length(text) - char_length(quote) + 1, 1)), i -> substring(text, i, char_length(quote)) = quote)")
+    # the places follow from the lengths of what lies between
+    between = "split(text, regexp_replace(quote, '([^\\\\p{L}\\\\p{N}\\\\s])', '\\\\\\\\$1'), -1)"
+    at = F.expr(f"slice(aggregate({between}, array(1), (done, x) -> array_append(done, element_at(done, -1) + char_length(x) + char_length(quote))), 2, size({between}) - 1)")
+    at = F.transform(at, lambda x: x - F.char_length("quote"))
     found = quotes.join(docs, "path").where(F.col("text").contains(F.col("quote"))).select("id", "path", "text", "quote", "before", "after", F.explode(at).alias("at"))
     left = F.substring("text", F.greatest(F.col("at") - reach, F.lit(1)), F.least(F.col("at") - 1, F.lit(reach)))
     right = F.substring("text", F.col("at") + F.char_length("quote"), F.lit(reach))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import courses
 from quire.operators import coverage as C
+from quire.operators import health as H
 from quire.operators import resolve as R
 from quire.plans.tables import EDGES_SQL, PARTS_SQL, edges, part_notes, query
 
@@ -225,15 +226,18 @@ def a4_alias(read):
     return R.alias_collisions(names(read)).select("key", F.size("members").alias("n"))
 
 
-@query("a19_islands", f"""WITH edges AS ({EDGES_SQL}), notes AS ({PARTS_SQL}) SELECT domain AS folder, count(*) AS n FROM notes WHERE p_partkey NOT IN (SELECT l_partkey FROM edges) GROUP BY 1""")
+@query("a19_islands", f"""WITH edges AS ({EDGES_SQL}), notes AS ({PARTS_SQL}) SELECT domain AS folder, count(*) AS n, string_agg(path, ',' ORDER BY path) AS notes FROM notes WHERE p_partkey NOT IN (SELECT l_partkey FROM edges WHERE from_map) GROUP BY 1""")
 def a19_islands(read):
-    cited = edges(read).select(F.col("l_partkey").alias("p_partkey"))
-    return part_notes(read).join(cited, "p_partkey", "left_anti").groupBy(T.folder(F.col("path")).alias("folder")).agg(F.count("*").alias("n"))
+    notes = part_notes(read)
+    cited = edges(read).where("from_map").select(F.col("l_partkey").alias("p_partkey")).distinct().join(notes.select("p_partkey", F.col("path").alias("target")), "p_partkey")
+    return H.islands(notes.select("path"), cited, T.folder(F.col("path"))).select("folder", "n", F.array_join("notes", ",").alias("notes"))
 
 
 @query("a20_unmapped_concepts", f"WITH edges AS ({EDGES_SQL}), notes AS ({PARTS_SQL}) SELECT path FROM notes WHERE p_partkey NOT IN (SELECT l_partkey FROM edges WHERE from_map)")
 def a20_unmapped(read):
-    return part_notes(read).join(edges(read).where("from_map").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti").select("path")
+    concepts = part_notes(read)
+    cited = edges(read).select(F.col("l_partkey").alias("p_partkey"), "from_map").join(concepts.select("p_partkey", F.col("path").alias("target")), "p_partkey")
+    return C.classified(concepts.select("path", "domain"), cited).where("state <> 'mounted'").select("path")
 
 
 @query("n13_sources", f"""WITH edges AS ({EDGES_SQL}) SELECT l_orderkey AS path, l_partkey AS source, bool_or(l_linenumber = 1) AS whole, count(DISTINCT l_linenumber) AS places FROM edges GROUP BY 1, 2""")

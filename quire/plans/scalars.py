@@ -1,9 +1,13 @@
 """Scalar functions, projections and incremental pieces that SQL can state (X, P, F, N12, Q15, T, K)."""
 
+import uuid
+
 from pyspark.sql import Window, functions as F
 
 from quire.functions import text as T
 from quire.operators import findings as Q
+from quire.operators import marks as M
+from quire.operators import nav as N
 from quire.plans.tables import DOCS_SQL, FINDINGS_SQL, doc_notes, findings, query
 
 DOCS = f"d AS ({DOCS_SQL})"
@@ -145,10 +149,20 @@ def t4_carried(read):
     return carried(new, docs, ["value"])
 
 
-@query("s12_baseline_prefix", f"WITH f AS ({FINDINGS_SQL}) SELECT count(*) AS n, count(DISTINCT path || rule_id) AS distinct_pairs FROM f WHERE severity > 0")
+@query("s12_baseline", f"WITH f AS ({FINDINGS_SQL}) SELECT rule_id, count(*) AS n, count(DISTINCT path || '|' || coalesce(target, '')) AS fingerprints FROM f WHERE severity > 0 GROUP BY 1")
 def s12_baseline(read):
-    rows = findings(read).where("severity > 0")
-    return rows.agg(F.count("*").alias("n"), F.count_distinct(F.concat("path", "rule_id")).alias("distinct_pairs"))
+    """Findings written as lines and read back as a baseline: each fingerprint is its rule's, path's and target's."""
+    from quire.operators.resolve import cut
+    from quire.sources.stores import read_baseline, write_findings
+
+    rows = Q.with_fingerprint(findings(read).where("severity > 0"), F.coalesce("target", F.lit("")))
+    spark = rows.sparkSession
+    cut(spark.range(1))  # sets the shared folder
+    path = f"{spark.sparkContext.getCheckpointDir()}/baseline-{uuid.uuid4().hex}"
+    write_findings(rows, path)
+    known = read_baseline(spark, path)
+    own = rows.select("rule_id", "fingerprint").distinct()
+    return known.join(own, "fingerprint").groupBy("rule_id").agg(F.count("*").alias("n"), F.count_distinct("fingerprint").alias("fingerprints"))
 
 
 @query("k1_jsonl", "SELECT p_partkey, '{\"rule_id\":\"' || p_type || '\",\"path\":\"' || p_brand || '\"' || CASE WHEN p_size % 2 = 0 THEN ',\"line\":' || p_size ELSE '' END || '}' AS line FROM part")
@@ -159,11 +173,44 @@ def k1_jsonl(read):
     return rows.select("p_partkey", json_line("rule_id", "path", "line").alias("line"))
 
 
-@query("k6_adopted", "WITH h AS (SELECT c_nationkey AS id FROM customer WHERE c_custkey < 10) SELECT DISTINCT s_nationkey AS id FROM supplier WHERE s_nationkey NOT IN (SELECT id FROM h) UNION SELECT id FROM h")
+MARKS_SQL = """h AS (SELECT 'm' || c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'thought' WHEN 1 THEN 'mark' ELSE 'question' END AS kind, 'n' || c_nationkey AS path, c_mktsegment AS quote FROM customer WHERE c_custkey % 2 = 0),
+    t AS (SELECT 'm' || c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'thought' WHEN 1 THEN 'mark' ELSE 'question' END AS kind, 'n' || c_nationkey AS path, CASE WHEN c_custkey % 5 = 0 THEN 'own ' || c_custkey ELSE c_mktsegment END AS quote FROM customer WHERE c_custkey % 2 = 1 OR c_custkey % 8 = 0),
+    able AS (SELECT * FROM t WHERE path IN (SELECT 'n' || n_nationkey FROM nation WHERE n_regionkey <> 0) AND id NOT IN (SELECT id FROM h)), same AS (SELECT DISTINCT kind, path, quote FROM h)"""
+
+
+def marks(read):
+    """Two stores of marks and the notes that can be read: even customers are held, odd ones and some of the held ids come from elsewhere."""
+    n = F.col("c_custkey")
+    kind = F.when(n % 3 == 0, "thought").when(n % 3 == 1, "mark").otherwise("question")
+    base = read("customer").select(n, F.concat(F.lit("m"), n.cast("string")).alias("id"), kind.alias("kind"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("path"), F.lit(None).cast("string").alias("anchor"), F.col("c_mktsegment").alias("quote"))
+    own = F.when(n % 5 == 0, F.concat(F.lit("own "), n.cast("string"))).otherwise(F.col("quote"))
+    readable = read("nation").where("n_regionkey <> 0").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("path"))
+    return base.where("c_custkey % 2 = 0").drop("c_custkey"), base.where("c_custkey % 2 = 1 or c_custkey % 8 = 0").withColumn("quote", own).drop("c_custkey"), readable
+
+
+@query("k6_adopted", f"WITH {MARKS_SQL} SELECT id, kind FROM h UNION ALL SELECT id, kind FROM able a WHERE kind = 'thought' OR NOT EXISTS (SELECT 1 FROM same s WHERE s.kind = a.kind AND s.path = a.path AND s.quote = a.quote)")
 def k6_adopted(read):
-    held = read("customer").where("c_custkey < 10").select(F.col("c_nationkey").alias("id")).distinct()
-    theirs = read("supplier").select(F.col("s_nationkey").alias("id")).distinct()
-    return held.unionByName(theirs.join(held, "id", "left_anti"))
+    return M.adopt(*marks(read)).select("id", "kind")
+
+
+@query("k5_kept_and_toggled", f"""WITH {MARKS_SQL}, other AS (SELECT DISTINCT kind, path, quote FROM t)
+    SELECT 'kept' AS op, id FROM h UNION ALL SELECT 'kept', id FROM t a WHERE kind = 'thought' OR NOT EXISTS (SELECT 1 FROM same s WHERE s.kind = a.kind AND s.path = a.path AND s.quote = a.quote)
+    UNION ALL SELECT 'toggled', id FROM h a WHERE NOT EXISTS (SELECT 1 FROM other s WHERE s.kind = a.kind AND s.path = a.path AND s.quote = a.quote)
+    UNION ALL SELECT 'toggled', id FROM t a WHERE NOT EXISTS (SELECT 1 FROM same s WHERE s.kind = a.kind AND s.path = a.path AND s.quote = a.quote)
+    UNION ALL SELECT 'removed', id FROM h WHERE id NOT IN (SELECT id FROM t)""")
+def k5_kept(read):
+    held, new, _ = marks(read)
+    out = M.keep(held, new).select(F.lit("kept").alias("op"), "id").unionByName(M.toggle(held, new).select(F.lit("toggled").alias("op"), "id"))
+    return out.unionByName(M.remove(held, new).select(F.lit("removed").alias("op"), "id"))
+
+
+@query("k5_revised", f"WITH {MARKS_SQL} SELECT id, CASE WHEN kind = 'question' THEN 'because ' || id END AS reason, CASE WHEN kind = 'thought' THEN 'body ' || id END AS body FROM h")
+def k5_revised(read):
+    held, _, _ = marks(read)
+    none = F.lit(None).cast("string")
+    full = held.withColumns({"reason": none, "body": none, "resolved": F.lit(None).cast("timestamp")})
+    changes = held.select("id", F.concat(F.lit("because "), "id").alias("reason"), F.concat(F.lit("body "), "id").alias("body"), F.lit(None).cast("timestamp").alias("resolved"))
+    return M.revise(full, changes).select("id", "reason", "body")
 
 
 @query("jn16_marks", f"WITH {DOCS} SELECT b.item_id, CASE WHEN d.doc_id IS NULL THEN 'note lost' WHEN contains(d.text, substr(b.text, 1, 20)) THEN 'located' ELSE 'location lost' END AS state FROM benchmark b LEFT JOIN d ON d.doc_id = b.item_id * 40")
@@ -191,8 +238,42 @@ def n7_health(read):
     return rows_of(parts).groupBy("kind", "path").agg(F.count("*").alias("n"))
 
 
-@query("p18_first_sections", "SELECT conv_id, min(turn) AS first_turn, count(*) AS matches FROM (SELECT DISTINCT conv_id, turn, role FROM conversations) WHERE role = 'assistant' GROUP BY 1")
-def p18_sections(read):
-    rows = read("conversations").select("conv_id", "turn", "role").distinct().where("role = 'assistant'")
-    w = Window.partitionBy("conv_id")
-    return rows.select("conv_id", F.min("turn").over(w).alias("first_turn"), F.count("*").over(w).alias("matches")).distinct()
+LINES_SQL = """l AS (SELECT conv_id AS path, turn * 10 + row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS line, CASE WHEN role = 'user' THEN 1 + turn % 3 END AS level, text FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)),
+    s AS (SELECT path, line, level, (SELECT min(b.line) FROM l b WHERE b.path = a.path AND b.line > a.line AND b.level <= a.level) AS stop FROM l a WHERE level IS NOT NULL),
+    w AS (SELECT path, level, min(line) AS line, count(*) AS matches FROM s GROUP BY 1, 2), e AS (SELECT w.path, w.level, w.matches, s.line, s.stop FROM w JOIN s USING (path, line))"""
+
+
+@query("p18_p20_excerpts", f"""WITH {LINES_SQL} SELECT e.path, e.level AS wanted, e.matches, count(l.line) AS lines, sha256(coalesce(string_agg(l.text, chr(10) ORDER BY l.line), '')) AS digest
+    FROM e LEFT JOIN l ON l.path = e.path AND l.line > e.line AND (e.stop IS NULL OR l.line < e.stop) GROUP BY e.path, e.level, e.matches""")
+def p18_excerpts(read):
+    """Each conversation's turns as lines, those of users as headings of three levels; asked for is the first section of each level."""
+    turns = read("conversations").select("conv_id", "turn", "role", "text").distinct()
+    line = F.col("turn") * 10 + F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    lines = turns.select(F.col("conv_id").alias("path"), line.alias("line"), F.when(F.col("role") == "user", (F.col("turn") % 3 + 1).cast("int")).alias("level"), "text")
+    headings = lines.where("level is not null").select("path", "line", "level", F.col("level").cast("string").alias("id"))
+    found = N.excerpts(lines.select("path", "line", "text"), headings, headings.select("path", "id").distinct())
+    return found.select("path", F.col("id").cast("bigint").alias("wanted"), "matches", "lines", F.sha2("excerpt", 256).alias("digest"))
+
+
+@query("x1_nfc", "SELECT doc_id, sha256(nfc_normalize(text)) AS digest FROM documents")
+def x1_nfc(read):
+    return read("documents").select("doc_id", F.sha2(T.nfc_udf("text"), 256).alias("digest"))
+
+
+@query("x5_fold_fragment", "SELECT p_partkey, lower(p_name || ' §' || p_size) AS folded FROM part")
+def x5_fragment(read):
+    return read("part").select("p_partkey", T.fragment_udf(F.concat("p_name", F.lit(" §"), F.col("p_size").cast("string"))).alias("folded"))
+
+
+@query("p9_section_ids", "SELECT p_partkey, trim(regexp_replace(lower(p_name || ' (' || p_type || '), #' || p_size), '[^a-z0-9]+', '-', 'g'), '-') AS id FROM part")
+def p9_sections(read):
+    return read("part").select("p_partkey", T.section_id_udf(F.concat("p_name", F.lit(" ("), "p_type", F.lit("), #"), F.col("p_size").cast("string"))).alias("id"))
+
+
+@query("p10_github_anchors", """WITH h AS (SELECT p_brand AS path, p_partkey, replace(regexp_replace(lower(p_name || ' (' || p_type || ')!'), '[^a-z0-9_ -]', '', 'g'), ' ', '-') AS slug FROM part),
+    n AS (SELECT path, p_partkey, slug, row_number() OVER (PARTITION BY path, slug ORDER BY p_partkey) AS k FROM h) SELECT p_partkey, slug || CASE WHEN k > 1 THEN '-' || (k - 1) ELSE '' END AS anchor FROM n""")
+def p10_anchors(read):
+    own = F.struct("p_partkey", F.concat("p_name", F.lit(" ("), "p_type", F.lit(")!")).alias("name"))
+    notes = read("part").groupBy(F.col("p_brand").alias("path")).agg(F.sort_array(F.collect_list(own)).alias("h"))
+    both = notes.select("h", T.github_anchors_udf(F.transform("h", lambda x: x["name"])).alias("a"))
+    return both.select(F.inline(F.arrays_zip(F.transform("h", lambda x: x["p_partkey"]).alias("p_partkey"), F.col("a").alias("anchor"))))

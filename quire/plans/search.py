@@ -123,11 +123,21 @@ def q14_located(read):
     # a passage's second to fifth word find the notes it can stand in, by hash
     words = lambda c: F.split(c, r"\s+")
     four = lambda w, k: F.xxhash64(*(F.get(w, k + i) for i in range(4)))
+    asked = passages.select("id", "quote", "before", "after", four(words("quote"), F.lit(1)).alias("gram"))
     grams = notes.select("path", words("text").alias("w")).select("path", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 4, F.lit(0))), lambda k: four(F.col("w"), k)))).alias("gram"))
-    wanted = passages.select("id", "quote", "before", "after", four(words("quote"), F.lit(1)).alias("gram")).join(grams, "gram").select("id", "path", "quote", "before", "after")
+    wanted = grams.join(asked, "gram").select("id", "path", "quote", "before", "after")  # the asked side is written nowhere: Spark broadcasts it below its threshold
     return S.located(notes, wanted).select("id", F.col("path").alias("doc_id"), "candidates", F.col("at").alias("position"))
 
 
+@query("w11_contexts", """SELECT p_partkey AS id, (CASE p_size % 3 WHEN 0 THEN length('alpha ') + 1 WHEN 1 THEN length('alpha ') + length(p_name) + length(' beta ') + 1 END)::INTEGER AS position, (CASE p_size % 3 WHEN 2 THEN 2 ELSE 1 END)::INTEGER AS candidates FROM part""")
+def w11_contexts(read):
+    """Each part's name twice in its note: the words before it decide which place is meant, or don't."""
+    rows = read("part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("path"), F.concat(F.lit("alpha "), "p_name", F.lit(" beta "), "p_name", F.lit(" gamma")).alias("text"), F.col("p_name").alias("quote"), F.col("p_size") % 3)
+    rows = rows.toDF("id", "path", "text", "quote", "k")
+    asked = rows.select("id", "path", "quote", F.when(F.col("k") == 0, "alpha ").when(F.col("k") == 1, "beta ").otherwise("").alias("before"), F.lit("").alias("after"))
+    return S.located(rows.select("path", "text"), asked).select("id", F.col("at").cast("int").alias("position"), "candidates")
+
+
 @query("x10_snippets", f"WITH {DOCS} SELECT doc_id, trim(regexp_replace(substr(text, greatest(instr(plain_fold, 'license') - 40, 1), 200), '\\s+', ' ', 'g')) AS snippet FROM d WHERE contains(plain_fold, 'license')")
 def x10_snippets(read):
     found = docs(read).where(F.col("plain_fold").contains("license"))
