@@ -5,9 +5,9 @@ together first. Then, in each of several runs, every set goes to the bucket of
 one sampled shingle (the least under a hash of the run): two sets of Jaccard
 similarity s meet with probability s. A bucket of more than ``bucket`` sets is split
 again by further sampled shingles, three branches of them, and what is still larger once
-more (each time a pair of similarity s stays together in a branch with probability 1 - (1 - s)^3). Deeper splits
-would part few sets: those of a leaf agree in three sampled shingles, so most of what is left are near duplicates
-of each other, whose links have to be counted. Such a leaf is compared in blocks of pairs. The runs are repeated until the
+more (each time a pair of similarity s stays together in a branch with probability 1 - (1 - s)^3). A leaf that
+keeps most of its bucket's sets isn't split further: these are mostly near duplicates
+of each other, whose links have to be counted. What is still large is compared in blocks of pairs. The runs are repeated until the
 chance to meet in one of them, splits included, reaches ``recall`` at the threshold.
 
 Leaves are compared by brute force on the whole sets, exactly. A pair that meets
@@ -172,18 +172,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     # buckets of a run, and the leaves of those that are split again
     width = 1 + BRANCHES
     run = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.struct((r * WIDE).alias("idx"), F.xxhash64(r, F.element_at("samples", r * width + 1)).alias("leaf")))
-    level, done = sets.select("set_key", F.inline(run)), None
+    level, done = sets.select("set_key", F.inline(run)).withColumn("parent", F.lit(None).cast("bigint")), None
     for depth in range(DEPTH + 1):
         counts = level.groupBy("idx", "leaf").agg(F.count("*").alias("n")).where("n > 1")
         counted = level.join(counts, ["idx", "leaf"])
-        leaves = counted.where(F.col("n") <= bucket) if depth < DEPTH else counted
-        leaves = leaves.select("set_key", "idx", "leaf")
+        # a leaf with most of the sets of its bucket holds near duplicates, which no further split would part
+        final = (F.col("n") <= bucket) | F.coalesce(2 * F.col("n") > F.col("parent"), F.lit(False)) | F.lit(depth == DEPTH)
+        leaves = counted.where(final).select("set_key", "idx", "leaf")
         done = leaves if done is None else done.unionByName(leaves)
         if depth < DEPTH:  # the samples of further runs split what is larger
             step = BRANCHES ** (DEPTH - 1 - depth)
             at = lambda b: F.pmod(F.floor(F.col("idx") / WIDE) + depth, F.lit(runs)) * width + 2 + b  # noqa: B023, E731
             branch = F.transform(F.sequence(F.lit(0), F.lit(BRANCHES - 1)), lambda b: F.struct((F.col("idx") + b * step).alias("idx"), F.xxhash64("leaf", b, F.element_at("samples", at(b).cast("int"))).alias("leaf")))  # noqa: B023
-            level = written(counted.where(F.col("n") > bucket).select("set_key", "idx", "leaf").join(sets.select("set_key", "samples"), "set_key").select("set_key", F.inline(branch)))
+            level = written(counted.where(~final).select("set_key", "idx", "leaf", "n").join(sets.select("set_key", "samples"), "set_key").select("set_key", F.col("n").alias("parent"), F.inline(branch)))
     members = written(done)
     lists = members.groupBy("set_key").agg(F.map_from_entries(F.collect_list(F.struct("idx", "leaf"))).alias("of"))
     lists = lists.select("set_key", F.transform(F.sequence(F.lit(0), F.lit(runs * WIDE - 1)), lambda k: F.coalesce(F.element_at("of", k), F.lit(0).cast("bigint"))).alias("leaves"))
