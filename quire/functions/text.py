@@ -345,6 +345,13 @@ def place(path: Column, depth: int) -> Column:
     return F.array_join(F.slice(parts, 1, depth), "/")
 
 
+def first_sentence(text: Column, most: int) -> Column:
+    """A text up to its first sentence end (a full-width stop, or an ASCII one before a blank or the end) with the quotes and brackets that close it; without one its first ``most`` characters."""
+    cut = F.regexp_extract(text, r"(?s)^(.*?(?:[。！？．]|[.!?](?=[ \t]|$))[」』）)”’\"']*)", 1)
+    short = F.when(F.char_length(text) > most, F.concat(F.trim(F.substring(text, 1, most)), F.lit("…"))).otherwise(text)
+    return F.when(cut != "", cut).otherwise(short)
+
+
 def leading_date(name: Column) -> Column:
     return F.try_to_date(F.nullif(F.regexp_extract(name, r"^(\d{4}-\d{2}-\d{2})", 1), F.lit("")))
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quire.functions import text as T
 from quire.operators import courses
@@ -153,5 +153,21 @@ def by_note(findings: DataFrame) -> DataFrame:
     return findings.groupBy("path").agg(F.count("*").alias("n"), F.max("severity").alias("heaviest"), F.bool_or(F.col("rule_id") == "schema.frontmatter").alias("unreadable"))
 
 
+def summary(findings: DataFrame) -> DataFrame:
+    """For each rule and severity the findings and the notes they touch."""
+    return findings.groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.count_distinct("path").alias("notes"))
+
+
+def navigation_unavailable(spark: SparkSession, reasons: list[str]) -> DataFrame:
+    """The findings of a contract whose navigation roles can't be told, one for each reason."""
+    rows = spark.createDataFrame([(r,) for r in reasons], "target string")
+    return rows.select(F.lit(NO_NAVIGATION).alias("rule_id"), F.lit(ERROR).alias("severity"), F.lit("").alias("path"), "target")
+
+
+def not_boolean(value: Column) -> Column:
+    """Whether a flag is written as anything but the booleans true and false."""
+    return ~value.isin("true", "false")
+
+
 def with_fingerprint(findings: DataFrame, target: Column) -> DataFrame:
     return findings.withColumn("fingerprint", T.fingerprint_udf("rule_id", "path", target))

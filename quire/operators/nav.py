@@ -124,6 +124,47 @@ def excerpts(lines: DataFrame, headings: DataFrame, wanted: DataFrame) -> DataFr
     return first.join(lines, "path").groupBy("path", "id", "matches").agg(F.count_if(inside).alias("lines"), text.alias("excerpt"))
 
 
+def map_branches(headings: DataFrame, links: DataFrame) -> DataFrame:
+    """The branches of maps (headings from level 2 on: path, line, level, heading; links: path, line, target): links of their own and with all branches below."""
+    parts = sections(headings).join(headings.select("path", "line", "heading"), ["path", "line"])
+    own = placements(headings, links).groupBy("path", F.col("at").alias("line")).agg(F.count("*").alias("own"))
+    # a branch reaches as far as its section: sums over the branches between
+    counted = parts.join(own, ["path", "line"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    total = F.sum("own").over(Window.partitionBy("path").orderBy("line")) - F.col("own")  # of all branches before
+    sums = counted.withColumn("before", total)
+    ends = sums.select("path", F.col("line").alias("stop"), F.col("before").alias("until"))
+    whole = sums.groupBy("path").agg(F.sum("own").alias("whole"))
+    out = sums.join(ends, ["path", "stop"], "left").join(whole, "path")
+    return out.select("path", "line", "level", "heading", "own", (F.coalesce("until", "whole") - F.col("before")).alias("below"))
+
+
+def placements(headings: DataFrame, links: DataFrame) -> DataFrame:
+    """Where maps place notes: each link with the nearest heading above it."""
+    rows = headings.select("path", "line", F.lit(None).cast(links.schema["target"].dataType).alias("target"), F.col("line").alias("at"), "heading")
+    rows = rows.unionByName(links.select("path", "line", "target"), allowMissingColumns=True)
+    line = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumns({"at": F.last("at", ignorenulls=True).over(line), "heading": F.last("heading", ignorenulls=True).over(line)})
+    return placed.where("target is not null and at is not null")
+
+
+def journal(notes: DataFrame, folder: str) -> DataFrame:
+    """The notes of the journal's folder with the day that their name begins with; newest first is by day and path, both descending."""
+    return notes.where(F.lower("path").startswith(folder.lower() + "/")).withColumn("day", T.leading_date(T.file_name(F.col("path"))))
+
+
+def directories(notes: DataFrame) -> DataFrame:
+    """The notes directly in each folder, in order: a folder's notes are each other's siblings."""
+    return notes.groupBy(T.folder(F.col("path")).alias("folder")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("path")).alias("notes"))
+
+
+def author_order(notes: DataFrame) -> DataFrame:
+    """The order that numbers before file names give (digits, then a hyphen, underscore, dot or space); notes without a number come last, by path."""
+    digits = F.nullif(F.regexp_extract(T.file_name(F.col("path")), r"^([0-9]+)[-_. ]", 1), F.lit(""))
+    bare = F.regexp_replace(digits, "^0+", "")
+    line = Window.partitionBy("folder").orderBy(F.asc_nulls_last(F.char_length(bare)), F.asc_nulls_last(bare), "path")
+    return notes.withColumn("place", F.row_number().over(line))
+
+
 def heading_above(rows: DataFrame) -> DataFrame:
     """For each link the nearest heading above it (rows: path, offset, heading or null)."""
     line = Window.partitionBy("path").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)

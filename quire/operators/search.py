@@ -139,6 +139,39 @@ def facets(found: DataFrame, column: str, chosen: DataFrame | None = None) -> Da
     return (found if chosen is None else chosen).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
 
 
+def places(found: DataFrame, least: int = 10) -> DataFrame:
+    """Hits of each place: the first folder, or the first two where all hits share the first; none where there are only ``least`` hits or one place."""
+    shape = found.agg(F.count("*").alias("hits"), F.count_distinct(T.place(F.col("path"), 1)).alias("tops"))
+    both = found.crossJoin(F.broadcast(shape))  # one row
+    place = F.when(F.col("tops") == 1, F.when(F.size(F.split(T.place(F.col("path"), 2), "/")) > 1, T.place(F.col("path"), 2))).otherwise(T.place(F.col("path"), 1))
+    counted = both.where(F.col("hits") > least).groupBy(place.alias("place")).agg(F.count("*").alias("n")).where("place is not null")
+    several = counted.agg((F.count("*") > 1).alias("several"))  # a row a place
+    return counted.crossJoin(F.broadcast(several)).where("several").select("place", "n")
+
+
+def answering_alias(aliases: Column, tokens: list[str]) -> Column:
+    """The first alias that has all tokens."""
+    return F.get(F.filter(aliases, lambda a: contains_all(F.lower(a), tokens)), 0)
+
+
+def answer(docs: DataFrame, query: Query, trusted: bool) -> DataFrame:
+    """Hits as ``hits`` gives them; a query of metadata gets none if the contract can't be trusted, and instances (column ``instance``) only."""
+    metadata = any(key != "folder" for key, _ in query.filters)
+    if metadata and not trusted:
+        return hits(docs.where(F.lit(False)), query)
+    return hits(docs.where("instance") if metadata else docs, query)
+
+
+def page(found: DataFrame, number: int, size: int = 20) -> DataFrame:
+    """A page of the ranked hits; a panel shows the first six."""
+    return found.orderBy("bucket", F.desc("exact"), "path").offset(size * (number - 1)).limit(size)
+
+
+def folder_panel(paths: DataFrame, tokens: list[str], most: int = 4) -> DataFrame:
+    """The folders of ``folder_names`` nearest to the root, ``most`` of them (the panel's own size)."""
+    return folder_names(paths, tokens).orderBy(F.size(F.split("folder", "/")), "folder").limit(most)
+
+
 def near_word(titles: DataFrame, typed: str) -> DataFrame:
     """The most used title word one edit from a word of three or more letters that no title has."""
     typed = typed.strip().lower()
@@ -150,6 +183,10 @@ def near_word(titles: DataFrame, typed: str) -> DataFrame:
     return near.join(used, F.lit(True), "left_anti").orderBy(F.desc("n"), "word").limit(1)
 
 
+#: Wider queries offered at most.
+STEPS = 4
+
+
 def step_backs(query: Query) -> list[Query]:
     """Wider queries: without one filter, without one token, with letters and digits parted."""
     out = [without_filter(query, k) for k, _ in query.filters]
@@ -158,7 +195,7 @@ def step_backs(query: Query) -> list[Query]:
     parted = [T.split_runs(t) or t for t in query.tokens]
     if parted != query.tokens:
         out.append(Query(" ".join(parted).split(), query.filters))
-    return [q for q in out if q.tokens or q.filters]
+    return [q for q in out if q.tokens or q.filters][:STEPS]
 
 
 def counts(docs: DataFrame, queries: list[Query]) -> DataFrame:
