@@ -438,6 +438,22 @@ def test_html(spark):
     assert html_blocks.main_text(table.where("false"), html_blocks.fit(table.where("false"))).count() == 0
 
 
+def test_html_held_out():
+    """Pages that the labeller has not seen: the blocks of their article, whatever stands around it."""
+    parquet = pytest.importorskip("pyarrow.parquet")
+    pages = parquet.read_table("/root/testdata/sf0.01/pages.parquet", columns=["page_id", "html"]).to_pylist()
+    blocks = [html_blocks.blocks_of(p["html"] or "") for p in sorted(pages, key=lambda p: p["page_id"])]
+    model = html_blocks.train(blocks[::2][:100])
+    rest = [b for b in blocks[1::2] if any("article" in x.path for x in b)]
+    # the article's names are taken away from the pages that are judged, so that only the rest of their layout tells
+    hidden = [[html_blocks.Block(x.text, tuple("div" if n == "article" else n for n in x.path), x.linked) for x in b] for b in rest]
+    truth = [np.array(["article" in x.path and not any(n in x.path for n in (".comments", ".comment", ".ad")) for x in b]) for b in rest]
+    for some, least in ((rest, 0.98), (hidden, 0.9)):
+        found = model.label(some)
+        assert np.mean(np.concatenate([a == b for a, b in zip(found, truth)])) > least
+        assert np.mean([(a == b).all() for a, b in zip(found, truth)]) > least - 0.1
+
+
 def test_malformed_html():
     """Quotes, nesting and long pages as browsers read them, in linear time."""
     said = lambda page: [b.text for b in html_blocks.blocks_of(page)]
