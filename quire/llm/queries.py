@@ -79,7 +79,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_benchmark_decontamination")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return templates.digest(templates.find_leaks(docs, table(spark, sf_dir, "benchmark")))
+    return templates.digest(templates.find_leaks(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"]))
 
 
 @query("op6_substring_dedup")

@@ -276,17 +276,26 @@ def text_leaks(texts: DataFrame, benchmark: DataFrame, window: int = 8, run: int
     return written(best.groupBy("text_key").agg(F.sort_array(F.collect_list("leak")).alias("leaks")))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, run: int = 13, coverage: float = 0.5) -> DataFrame:
-    """``row`` (all columns of a row of ``docs``) and its ``leaks`` (item_id, covered share, tokens in a row, whether verbatim)."""
+def _keyed(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows with their text's key, and the texts by key."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.sha2(text, 256).alias("text_key"))
-    leaks = text_leaks(docs.select(F.sha2(text, 256).alias("text_key"), text.alias("text")), benchmark, window, run, coverage)
+    key = F.substring(F.sha2(text, 256), 1, 32).alias("text_key")
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), key), docs.select(key, text.alias("text"))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, run: int = 13, coverage: float = 0.5, keep: list[str] | None = None) -> DataFrame:
+    """``row`` (the columns ``keep`` of a row of ``docs``, all if None) and its ``leaks`` (item_id, covered share, tokens in a row, whether verbatim)."""
+    own, texts = _keyed(docs, docs.columns if keep is None else keep)
+    leaks = text_leaks(texts, benchmark, window, run, coverage)
     return own.join(leaks, "text_key", "left").select("row", F.coalesce("leaks", F.array().cast(LEAK)).alias("leaks"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a leak."""
-    return find_leaks(docs, benchmark).where(F.size("leaks") == 0).select("row.*")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """The rows of ``docs`` without a leak; the keys of contaminated texts go to all executors if they are at most ``broadcast_bytes``, else rows are shuffled."""
+    own, texts = _keyed(docs, docs.columns)
+    keys = text_leaks(texts, benchmark).select("text_key")
+    small = keys.count() * 100 <= broadcast_bytes  # a key and its place in a hash table
+    return own.join(F.broadcast(keys) if small else keys, "text_key", "left_anti").select("row.*")
 
 
 def digest(marked: DataFrame) -> DataFrame:
