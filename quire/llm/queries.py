@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import byte_bpe, chosen_path, compact_windows, html_blocks, licenses, suffix_dedup, telephony, templates, toxicity, warc
+from quire.llm import byte_bpe, chosen_path, compact_windows, fill_middle, html_blocks, kd_clusters, licenses, secrets, suffix_dedup, telephony, templates, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +129,46 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html_blocks.main_text(pages, html_blocks.fit(pages)).select("page_id", "url", "text", "n_chars")
+
+
+def _op11_sql(k: int = 16, rounds: int = 3) -> str:
+    """The rounds one after the other; a vector is a row of its number, its id and its integers."""
+    near = """near{r} AS (SELECT row, vec_id, v, c, d FROM (SELECT row, vec_id, v, c, list_sum(list_transform(list_zip(v, w), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM own, means{r})
+        QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, c) = 1)"""
+    mean = """means{s} AS (SELECT c, coalesce(w2, w) AS w FROM means{r} LEFT JOIN (SELECT c, list(m ORDER BY i) AS w2 FROM (SELECT c, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS m
+        FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM near{r}) GROUP BY c, i) GROUP BY c) USING (c))"""
+    steps = [x for r in range(rounds) for x in (near.format(r=r), mean.format(r=r, s=r + 1))] + [near.format(r=rounds)]
+    return f"""
+WITH own AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+    means0 AS (SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1)::INTEGER AS c, v AS w FROM own ORDER BY sha256('1:' || vec_id), v LIMIT {k}),
+    {", ".join(steps)}
+SELECT vec_id, c AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM near{rounds} JOIN means{rounds} USING (c)
+"""
+
+
+@query("op11_centroid_clusters", _op11_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_clusters.cluster_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+OP12_SQL = """
+WITH own AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+    parts AS (SELECT *, length(text) AS n, [('0x' || substr(h, 1 + 8 * k, 8))::UBIGINT::BIGINT for k in range(4)] AS x FROM own),
+    cuts AS (SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS lo, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS hi,
+        CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR x[3] % 100 >= 90 THEN 'plain' WHEN x[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM parts),
+    said AS (SELECT *, substring(text, 1, lo) AS p, substring(text, lo + 1, hi - lo) AS m, substring(text, hi + 1) AS s FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars, CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+    sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END) AS output_sha256, sha256(text) AS restored_sha256
+FROM said
+"""
+
+
+@query("op12_fill_in_middle", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(fill_middle.transform(table(spark, sf_dir, "documents")))
+
+
+@query("op13_secret_scans")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
