@@ -19,8 +19,8 @@ with, transitively), never its pairs; components join those rows.
 Texts are shuffled once, and the sets of documents that share a leaf once or,
 where a leaf adds pairs, more often. Documents without words have no shingles and
 no links. Documents of one to four words have one shingle of all their words. Null
-texts are empty; a row without doc_id is a vertex of its text (ids from 2^62 on are reserved for these, and class_id is
-null if nothing of its class has an id); rows with equal doc_id are one vertex; ties go to the least id; very long texts are
+texts are empty; any 64-bit doc_id is one like any other; rows without doc_id take part, and class_id is null if nothing of
+its class has an id; rows with equal doc_id and other texts have links and classes of their own (by ``text_key``); ties go to the least id; very long texts are
 sets like any other; empty tables give empty results; extra columns, whatever their names, are ignored.
 """
 
@@ -41,13 +41,6 @@ from quire.llm.shared import written
 BRANCHES, DEPTH = 3, 2
 WIDE = BRANCHES**DEPTH
 TEXT = 1 << 20
-#: Vertices from here on are rows without doc_id, by their texts.
-NO_ID = 1 << 62
-
-
-def vertex_id() -> Column:
-    """doc_id, or for a row without one a number of its text above all ids."""
-    return F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID))
 
 
 def runs_needed(threshold: float, recall: float) -> int:
@@ -143,31 +136,34 @@ def _compare(ids, copies, sets, leaves, index: int, side: np.ndarray, pair: bool
     return ids[some], (linked @ copies)[some], ids[root[some]]
 
 
-SLIM = "doc_id bigint, set_key bigint, size int, samples array<bigint>"
-SENT = "leaf bigint, part string, idx int, pair boolean, side int, rep bigint, copies bigint, leaves array<bigint>, members binary"
-LINKS = "rep bigint, links bigint, root bigint"
+SLIM = "doc_id bigint, text_key bigint, set_key bigint, size int, samples array<bigint>"
+SENT = "leaf bigint, part string, idx int, pair boolean, side int, vertex bigint, copies bigint, leaves array<bigint>, members binary"
+LINKS = "vertex bigint, links bigint, root bigint"
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99999, size: int = 5, bucket: int = 256) -> DataFrame:
-    """doc_id, class_id (least doc_id of its component), n_links and n_copies (rows with the same set, itself included)."""
+    """doc_id, class_id (least doc_id of its component), n_links and n_copies (rows with the same set, itself included).
+
+    The vertices are the distinct sets. For tables whose ids repeat or lack, class_key names the class (null: a text without
+    words, alone in its class), and text_key a row's text, as ``text_key`` gives it."""
     runs = runs_needed(threshold, recall)
-    own = docs.select(vertex_id().alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in pieces(utf8(batch.column(1))[1], TEXT):
+            for i, j in pieces(utf8(batch.column(2))[1], TEXT):
                 part = batch.slice(i, j - i)
-                hashes, offsets = shingle_sets(part.column(1), size)
+                hashes, offsets = shingle_sets(part.column(2), size)
                 full = np.diff(offsets) > 0
                 keys, lengths = set_keys(hashes, offsets)[full], np.diff(offsets)[full]
                 starts = np.append(offsets[:-1][full], len(hashes))
-                ids = part.column(0).filter(pa.array(full))
+                ids, texts = (part.column(k).filter(pa.array(full)) for k in (0, 1))
                 values = sampled(hashes, starts, runs * (1 + BRANCHES)) if full.any() else np.zeros((0, 1), np.uint64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * (values.shape[1] if len(ids) else 0)), pa.array(values.view(np.int64).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(keys.view(np.int64)), pa.array(lengths.astype(np.int32)), lists], names=["doc_id", "set_key", "size", "samples"])
+                yield pa.RecordBatch.from_arrays([ids, texts, pa.array(keys.view(np.int64)), pa.array(lengths.astype(np.int32)), lists], names=["doc_id", "text_key", "set_key", "size", "samples"])
 
     slim = written(own.mapInArrow(sign, SLIM))
-    sets = written(slim.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("samples").alias("samples")))
+    sets = written(slim.groupBy("set_key").agg(F.min(row_key()).alias("row"), F.count("*").alias("copies"), F.first("samples").alias("samples")))
 
     # buckets of a run, and the leaves of those that are split again
     width = 1 + BRANCHES
@@ -198,7 +194,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
         earlier = earlier | (F.col(f"same{r}") & (F.col("idx") >= (r + 1) * WIDE))
     found = found.where(~earlier).select("leaf", "idx", F.ceil(F.col("n") / bucket).cast("int").alias("blocks"))
     wanted = members.join(found, ["leaf", "idx"]).groupBy("set_key").agg(F.collect_list(F.struct("leaf", "idx", "blocks")).alias("wanted"))
-    wanted = wanted.join(lists, "set_key").join(sets.select("set_key", "rep", "copies"), "set_key")
+    wanted = wanted.join(lists, "set_key").join(sets.select("set_key", "row", "copies"), "set_key")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
@@ -207,17 +203,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
             for i, j in pieces(utf8(batch.column(batch.schema.get_field_index("text")))[1], TEXT):
                 part = batch.slice(i, j - i).to_pydict()
                 hashes, offsets = shingle_sets(pa.array(part["text"], pa.string()), size)
-                keys = set_keys(hashes, offsets).view(np.int64)
                 rows = []
                 for d, key in enumerate(part["set_key"]):
-                    if keys[d] != key:  # another row with the same doc_id
-                        continue
                     data = hashes[offsets[d] : offsets[d + 1]].tobytes()
                     for w in part["wanted"][d]:
                         n, own_block = w["blocks"], key % w["blocks"]
                         for other in range(n):
                             a, b = min(own_block, other), max(own_block, other)
-                            rows.append((w["leaf"], f"{a}-{b}", w["idx"], a != b, own_block, part["rep"][d], part["copies"][d], part["leaves"][d], data))
+                            rows.append((w["leaf"], f"{a}-{b}", w["idx"], a != b, own_block, key, part["copies"][d], part["leaves"][d], data))
                         if len(rows) > 2000:
                             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
                             rows = []
@@ -232,7 +225,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
             if len(held) < 2:
                 return ()
             return _compare(
-                np.array([x["rep"] for x in held], np.int64), np.array([x["copies"] for x in held], np.int64), [np.frombuffer(x["members"], np.uint64) for x in held],
+                np.array([x["vertex"] for x in held], np.int64), np.array([x["copies"] for x in held], np.int64), [np.frombuffer(x["members"], np.uint64) for x in held],
                 np.array([x["leaves"] for x in held], np.int64), held[0]["idx"], np.array([x["side"] for x in held]), held[0]["pair"], threshold,
             )
 
@@ -240,7 +233,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
 
         def table():
             columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["rep", "links", "root"])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["vertex", "links", "root"])
 
         at = None
         for batch in batches:
@@ -257,19 +250,46 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
             out.append(got)
         yield table()
 
-    texts = wanted.join(own, wanted.rep == own.doc_id).select("set_key", "rep", "copies", "leaves", "wanted", "text")
+    # one row a set: the text of its least row (rows without an id are one for each text)
+    some = own.where("doc_id is not null").unionByName(own.where("doc_id is null").groupBy("doc_id", "text_key").agg(F.first("text").alias("text")))
+    texts = wanted.join(some.select(row_key().alias("row"), "text"), "row").select("set_key", "copies", "leaves", "wanted", "text")
     sent = texts.mapInArrow(send, SENT)
     links = written(sent.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "idx").mapInArrow(compare, LINKS))
-    classes = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    sums = links.groupBy("rep").agg(F.sum("links").alias("links")).join(classes.withColumnRenamed("v", "rep"), "rep", "left")
-    by_set = sets.select("set_key", "rep", "copies").join(sums, "rep", "left")
-    result = slim.select("doc_id", "set_key").join(by_set, "set_key").select(
-        "doc_id", F.coalesce("label", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("copies").alias("n_copies")
-    )
+    classes = components(links.select(F.col("vertex").alias("a"), F.col("root").alias("b"))).withColumnRenamed("v", "set_key")
+    least = sets.select("set_key", row_id("row").alias("rep"))
+    named = classes.join(least, "set_key").groupBy("label").agg(F.min("rep").alias("class_id"))
+    sums = links.groupBy(F.col("vertex").alias("set_key")).agg(F.sum("links").alias("links"))
+    by_set = sets.select("set_key", row_id("row").alias("rep"), "copies").join(sums, "set_key", "left").join(classes.join(named, "label"), "set_key", "left")
+    result = slim.select("doc_id", "text_key", "set_key").join(by_set, "set_key").select(
+        "doc_id", F.when(F.col("label").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("copies").alias("n_copies"),
+        F.coalesce("label", "set_key").alias("class_key"), "text_key",
+    )
     # documents without words
-    empty = own.where(~F.lower("text").rlike(WORD) | F.col("text").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("n_copies"))
-    null = lambda x: F.when(F.col(x) < NO_ID, F.col(x)).alias(x)
-    return result.unionByName(empty).select(null("doc_id"), null("class_id"), "n_links", "n_copies")
+    empty = own.where(~F.lower("text").rlike(WORD) | F.col("text").isNull())
+    number = lambda x: F.lit(x).cast("bigint")
+    return result.unionByName(empty.select("doc_id", F.col("doc_id").alias("class_id"), number(0).alias("n_links"), number(1).alias("n_copies"), number(None).alias("class_key"), "text_key"))
+
+
+def text_key(text: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def row_key(id: str = "doc_id", key: str = "text_key") -> Column:
+    """What names a row, also one without an id or whose id has several texts: ids go before none, then smaller ones first."""
+    return F.struct(F.col(id).isNull().alias("no_id"), F.coalesce(F.col(id), F.lit(0)).cast("bigint").alias("number"), F.col(key).alias("text_key"))
+
+
+def row_id(row: str) -> Column:
+    return F.when(~F.col(f"{row}.no_id"), F.col(f"{row}.number"))
+
+
+def representatives(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that stay when of each class of near duplicates the least row (by id, then text) does; rows without words stay."""
+    found = near_duplicates(docs, **options)
+    one = found.where("class_key is not null").groupBy("class_key").agg(F.min(row_key()).alias("_row")).select("_row")
+    stay = one.unionByName(found.where("class_key is null").select(row_key().alias("_row")).distinct())
+    keyed = docs.withColumn("_text_key", text_key()).withColumn("_row", row_key("doc_id", "_text_key"))
+    return keyed.join(stay, "_row", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
 
 
 #: A character of a word (of the lower-cased text).

@@ -197,3 +197,44 @@ def test_what_entropy_finds():
     assert spans(f"key {key}.") == [("entropy", key)]
     assert spans(f"password = {key}") == [("assign", f"password = {key}")]
     assert spans(f"sha256:{key}") == spans("key " + key[:20] + "EXAMPLE" + key[20:]) == spans("internationalization/of_the_longest_words") == spans("2024-01-01_2024-12-31_000001") == []
+
+
+# ------------------------------------------------- ids of all of 64 bits, and none
+
+WORDS = [f"{a}{b}" for a in "ba ce di fo gu ha je ki lo mu na pe".split() for b in "ra se ti vo xu za".split()]
+WIDE_IDS = (1, 2**62, 2**62 + 5, 2**63 - 1, -7, -(2**63), None)
+
+
+def prose(n, seed):
+    return " ".join(np.random.default_rng(seed).choice(WORDS, n))
+
+
+def wide_rows():
+    """Unlike texts under every id; near copies whose ids lie on both sides; copies without any id."""
+    near = prose(120, 900).split()
+    changed = list(near)
+    changed[60] = "changed"
+    rows = [(i, prose(100, k)) for k, i in enumerate(WIDE_IDS)]
+    rows += [(2**62 + 9, " ".join(near)), (2**62 + 8, " ".join(changed)), (-9, prose(120, 901)), (2**63 - 2, prose(120, 901)), (None, prose(120, 902)), (None, prose(120, 902)), (None, prose(120, 903)), (2**62 + 1, prose(120, 903))]
+    return rows
+
+
+def test_wide_ids(spark):
+    from quire.llm import chosen_path, compact_windows
+
+    table = spark.createDataFrame([(i, t, "x") for i, t in wide_rows()], "doc_id bigint, text string, class_key string").repartition(3)
+    want = [(i, i) for i in WIDE_IDS] + [(2**62 + 9, 2**62 + 8), (2**62 + 8, 2**62 + 8), (-9, -9), (2**63 - 2, -9), (None, None), (None, None), (None, 2**62 + 1), (2**62 + 1, 2**62 + 1)]
+    got = chosen_path.near_duplicates(table).collect()
+    assert sorted(map(repr, ((r.doc_id, r.class_id) for r in got))) == sorted(map(repr, want))
+    assert sorted(r.n_links for r in got) == [0] * 7 + [1] * 8
+    got = compact_windows.near_duplicate_passages(table, batch_bytes=4000).collect()
+    assert sorted(map(repr, ((r.doc_id, r.class_id) for r in got))) == sorted(map(repr, want))
+
+
+def test_pipeline_keeps_wide_ids(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(i, t, "en", "s", None) for i, t in wide_rows()], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, prose(30, 12))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [*WIDE_IDS, 2**62 + 8, -9, None, 2**62 + 1]))
