@@ -6,8 +6,10 @@ with benchmark leaks go; what is left is encoded and decoded. Every stage reads
 rows that its predecessor wrote. Stages but the last return the columns of
 ``documents``, with ``text`` and ``n_chars`` as they are then.
 
-Rows with a null doc_id belong to no group of near duplicates and stay; of rows with equal doc_id and text one
-stays, and rows with equal doc_id and other texts stay or go together. A cut inside a character drops the whole character. Empty texts are kept.
+Any 64-bit doc_id is one like any other; rows without one take part like others and come after all with one, so of a
+group of theirs alone the row of the least text hash stays; of rows with equal doc_id and text one stays, and rows with equal
+doc_id and other texts are documents of their own. A cut inside a character drops the whole character. Texts without words
+belong to no group and are kept. The columns of ``documents`` go through all stages; extra ones of other names do too.
 """
 
 from __future__ import annotations
@@ -27,8 +29,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = chosen_path.near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    return chosen_path.representatives(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
