@@ -9,6 +9,7 @@ from quire.operators import courses as CO
 from quire.operators import findings as Q
 from quire.operators import resolve as R
 from quire.operators import schema_rules as S
+from quire.sources import contract as K
 from quire.sources import notes as N
 from quire.sources import vault as V
 from quire.sources.contract import Contract
@@ -26,8 +27,8 @@ def _finding(rows: DataFrame, rule: str, severity: Column | int, message: Column
     )
 
 
-def rules(spark: SparkSession, contract: Contract, files: DataFrame, tables: dict[str, DataFrame], skipped: DataFrame | None = None) -> DataFrame:
-    """All findings of a parsed collection."""
+def rules(spark: SparkSession, contract: Contract, files: DataFrame, tables: dict[str, DataFrame], skipped: DataFrame | None = None, partial: bool = False) -> DataFrame:
+    """All findings of a parsed collection; ``partial``: some notes couldn't be read."""
     notes, every = tables["notes"], files.select("path")
     public = notes.where(Q.allowed(F.col("path"), contract.withheld if contract.withheld is not None else []))
     names = R.cut(R.claims(notes.select("path", "aliases"), files.where("not is_md")))
@@ -76,7 +77,8 @@ def rules(spark: SparkSession, contract: Contract, files: DataFrame, tables: dic
     # collisions: withheld members leave before they are counted
     mine = R.claims(public.select("path", "aliases"), files.where("not is_md").where(Q.allowed(F.col("path"), contract.withheld or [])))
     aliased = R.alias_collisions(mine)
-    several = R.collisions(mine, links).join(aliased.select("key"), "key", "left_anti")
+    # a collection that lacks notes can't say that no link uses a name: then every shared name counts
+    several = R.collisions(mine, None if partial else links.join(public.select("path"), "path", "left_semi")).join(aliased.select("key"), "key", "left_anti")
     for rows, rule in ((aliased, "collision.alias"), (several, "collision.name")):
         out.append(_finding(rows, rule, Q.WARN, F.concat("key", F.lit(" names several files")), F.col("key"), members=F.col("members"), path=F.col("members")[0]))
     # provenance
@@ -90,14 +92,14 @@ def rules(spark: SparkSession, contract: Contract, files: DataFrame, tables: dic
     # schema
     notes = notes.where(~Q.below(F.col("path"), contract.templates))  # templates are no instances
     faults = S.frontmatter_faults(notes)
-    if contract.frontmatter_optional:
+    if not contract.requires_frontmatter:
         faults = faults.where("value <> 'missing'")
     out.append(_finding(faults, "schema.frontmatter", Q.ERROR, F.concat(F.lit("frontmatter is "), value), value))
     records = notes.where("has_fm and not bad_fm").select("path", "type", F.col("fm").alias("fields"))
     tabs = contract.tables(spark)
     enums = tabs["enums"]
     ruled = [
-        S.enum_violations(records, enums), S.unknown_keys(records, tabs["allowed"]), S.missing_required(records, tabs["required"]), S.bad_slugs(records, {k: t["slug_pattern"] for k, t in contract.types.items() if "slug_pattern" in t}),
+        S.enum_violations(records, enums), S.unknown_keys(records, tabs["allowed"]), S.missing_required(records, tabs["required"]), S.bad_slugs(records, {k: t["slug_pattern"] for k, t in contract.types.items() if t["slug_pattern"]}),
         S.bad_languages(records), S.bad_drafts(records), S.untyped_dependent(records, tabs["allowed"]),
     ]
     if contract.provenance:
@@ -149,14 +151,28 @@ def check(spark: SparkSession, root: str, contract: Contract, every: bool = Fals
     parsed = N.parsed(V.contents(spark, found), contract.gap_marks, contract.inline_marks).persist()
     tables = N.tables(parsed)
     unreadable = tables["unreadable"].unionByName(found.unreadable_frame(spark))
-    out = rules(spark, contract, found.frame(spark), tables, found.skipped_frame(spark))
-    out = Q.partial_corpus(out, F.lit(not unreadable.isEmpty()))
+    partial = not unreadable.isEmpty()
+    out = rules(spark, contract, found.frame(spark), tables, found.skipped_frame(spark), partial)
+    out = Q.partial_corpus(out, F.lit(partial))
     out = Q.egress(out, contract.withheld)
     if not every:
         inside = Q.knowledge(F.col("path"), contract.checked)
         out = out.where(inside | F.exists("members", lambda m: Q.knowledge(m, contract.checked)))
     if scopes:
         out = Q.in_scope(out, Q.scopes(list(scopes), contract.withheld, found.frame(spark)))
-    lost = _finding(unreadable, "scan.unreadable", Q.ERROR, F.concat(F.lit("can't be read: "), F.col("cause")), F.col("cause")).withColumn("rule_seq", F.lit(99)).withColumn("seq", F.lit(99))
-    lost = lost.withColumn("fingerprint", T.fingerprint_udf("rule_id", "print_path", "print_target")).drop("print_path", "print_target")
-    return Q.ordered(out.unionByName(lost))
+    # past the scope's filters: what couldn't be read or judged at all
+    lost = lost_files(unreadable, contract.withheld)
+    closed = Q.navigation_unavailable(contract.tables(spark)["types"].withColumn("collection", F.lit(K.PATH))).select(F.col("collection").alias("path"))
+    closed = _finding(closed, Q.NO_NAVIGATION, Q.ERROR, F.lit("a type's role can't be used, so no note is known as a course or a map and the rules about these did not run"))
+    last = lost.unionByName(closed).withColumns({"rule_seq": F.lit(99), "seq": F.lit(99)})
+    return Q.ordered(out.unionByName(last.withColumn("fingerprint", T.fingerprint_udf("rule_id", "print_path", "print_target")).drop("print_path", "print_target")))
+
+
+def lost_files(unreadable: DataFrame, withheld: list[str] | None) -> DataFrame:
+    """One finding for each unreadable file that may be named, and one without path or cause for all others together.
+
+    A cause is part of the message only: its wording differs between machines and must not move a baseline."""
+    named = unreadable.where(Q.allowed(F.col("path"), withheld))
+    rest = unreadable.where(~Q.allowed(F.col("path"), withheld)).limit(1).select(F.lit("").alias("path"))
+    shown = _finding(named, "scan.unreadable", Q.ERROR, F.concat(F.lit("can't be read, so nothing was judged from it: "), F.col("cause")))
+    return shown.unionByName(_finding(rest, "scan.unreadable", Q.ERROR, F.lit("a file in a withheld folder can't be read")))

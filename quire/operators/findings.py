@@ -158,10 +158,11 @@ def summary(findings: DataFrame) -> DataFrame:
     return findings.groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.count_distinct("path").alias("notes"))
 
 
-def navigation_unavailable(spark: SparkSession, reasons: list[str]) -> DataFrame:
-    """The findings of a contract whose navigation roles can't be told, one for each reason."""
-    rows = spark.createDataFrame([(r,) for r in reasons], "target string")
-    return rows.select(F.lit(NO_NAVIGATION).alias("rule_id"), F.lit(ERROR).alias("severity"), F.lit("").alias("path"), "target")
+def navigation_unavailable(types: DataFrame) -> DataFrame:
+    """Collections whose types (collection, type, role) can't be told by their roles: a role that there isn't, or a role of one type on several."""
+    held = types.where("role <> ''").groupBy("collection", "role").agg(F.count_distinct("type").alias("n"))
+    fault = ~F.col("role").isin("lesson", "course", "map", "thought") | (F.col("role").isin("lesson", "thought") & (F.col("n") > 1))
+    return held.where(fault).groupBy("collection").agg(F.count("*").alias("n_roles")).select(F.lit(NO_NAVIGATION).alias("rule_id"), F.lit(ERROR).alias("severity"), "collection", "n_roles")
 
 
 def not_boolean(value: Column) -> Column:

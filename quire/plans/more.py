@@ -24,10 +24,16 @@ def a26_summary(read):
     return Q.summary(findings(read))
 
 
-@query("r39_navigation_unavailable", "SELECT reason, 'schema.navigation_unavailable' AS rule_id, 2 AS severity FROM (VALUES ('no course'), ('two maps')) v(reason)")
+# collections: the brands, with a type for each kind and size of their parts; a role for some
+TYPES_SQL = "SELECT DISTINCT p_brand AS collection, p_type || ' ' || p_size AS type, CASE WHEN p_type = 'SMALL' AND p_size > 46 THEN 'lesson' WHEN p_type = 'PROMO' AND p_size < 3 THEN 'thought' WHEN p_type = 'LARGE' AND p_size = 2 THEN 'chapter' WHEN p_size = 7 THEN 'map' ELSE '' END AS role FROM part"
+
+
+@query("r39_navigation_unavailable", f"""WITH t AS ({TYPES_SQL}), h AS (SELECT collection, role, count(DISTINCT type) AS n FROM t WHERE role <> '' GROUP BY ALL)
+    SELECT collection, count(*) AS n_roles, 'schema.navigation_unavailable' AS rule_id, 2 AS severity FROM h WHERE role NOT IN ('lesson', 'course', 'map', 'thought') OR (role IN ('lesson', 'thought') AND n > 1) GROUP BY 1""")
 def r39_navigation(read):
-    spark = read("region").sparkSession
-    return Q.navigation_unavailable(spark, ["no course", "two maps"]).select(F.col("target").alias("reason"), "rule_id", "severity")
+    kind, size = F.col("p_type"), F.col("p_size")
+    role = F.when((kind == "SMALL") & (size > 46), "lesson").when((kind == "PROMO") & (size < 3), "thought").when((kind == "LARGE") & (size == 2), "chapter").when(size == 7, "map").otherwise("")
+    return Q.navigation_unavailable(read("part").select(F.col("p_brand").alias("collection"), F.concat_ws(" ", kind, size.cast("string")).alias("type"), role.alias("role")).distinct())
 
 
 @query("f9_draft_words", "SELECT l_orderkey, l_linenumber, l_returnflag = 'N' AS not_boolean FROM lineitem WHERE l_returnflag IN ('N', 'R')")
@@ -68,22 +74,24 @@ def o16_panel(read):
     return S.folder_panel(docs(read).select("path"), ["s"], 4)
 
 
-@query("p19_first_sentences", r"""SELECT doc_id, CASE WHEN first = '' THEN '' WHEN regexp_matches(first, '[.!?]+([」』）)”’"'']*)( |\t|$)') THEN regexp_extract(first, '^(.*?[.!?])( |\t|$)', 1) ELSE CASE WHEN length(first) > 120 THEN trim(substr(first, 1, 120)) || '…' ELSE first END END AS sentence
-    FROM (SELECT doc_id, trim(split_part(text, chr(10), 1)) AS first FROM documents) WHERE NOT regexp_matches(first, '[。！？．」』）)”’"'']')""")
+# the first end of a sentence: a full-width stop with what closes after it, or other stops with closers before white space or the line's end
+STOP = r"[。！？．][」』）)”’\"']*|[.!?](?:[ \t]|$)"
+
+
+@query("p19_first_sentences", r"""SELECT doc_id, CASE WHEN first = '' THEN '' WHEN regexp_matches(first, '@') THEN rtrim(regexp_extract(first, '^(?s:.*?)(?:@)')) WHEN length(first) > 120 THEN rtrim(substr(first, 1, 120)) || '…' ELSE first END AS sentence
+    FROM (SELECT doc_id, trim(split_part(text, chr(10), 1)) AS first FROM documents)""".replace("@", STOP.replace("'", "''")))
 def p19_sentences(read):
-    first = F.trim(F.split_part("text", F.lit("\n"), F.lit(1)))
-    rows = read("documents").select("doc_id", first.alias("first")).where(~F.col("first").rlike("[。！？．」』）)”’\"']"))
-    return rows.select("doc_id", T.first_sentence(F.col("first"), 120).alias("sentence"))
+    return read("documents").select("doc_id", T.first_sentence(F.trim(F.split_part("text", F.lit("\n"), F.lit(1))), 120).alias("sentence"))
 
 
 # maps: the orders of a customer as headings of three levels, their lines as links
-MAP_SQL = """h AS (SELECT o_custkey AS path, o_orderkey * 10 AS line, (2 + o_orderkey % 3)::INTEGER AS level, 'o' || o_orderkey AS heading FROM orders), l AS (SELECT o_custkey AS path, l_orderkey * 10 + l_linenumber AS line, l_partkey AS target FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity > 30)"""
+MAP_SQL = """h AS (SELECT o_custkey AS path, o_orderkey * 10 AS line, (2 + o_orderkey % 3)::INTEGER AS level, 'o' || o_orderkey AS heading FROM orders), l AS (SELECT o_custkey AS path, l_orderkey * 10 + l_linenumber AS line, l_partkey AS target FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""
 
 
 def map_rows(read):
     orders = read("orders").select("o_custkey", "o_orderkey")
     headings = orders.select(F.col("o_custkey").alias("path"), (F.col("o_orderkey") * 10).alias("line"), (F.col("o_orderkey") % 3 + 2).cast("int").alias("level"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("heading"))
-    lines = read("lineitem").where("l_quantity > 30").join(orders.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
+    lines = read("lineitem").join(orders.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
     return headings, lines.select(F.col("o_custkey").alias("path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), F.col("l_partkey").alias("target")).distinct()
 
 

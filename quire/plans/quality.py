@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from quire.operators import check as C
 from quire.operators import findings as Q
-from quire.plans.tables import FINDINGS_SQL, findings, query
+from quire.plans.tables import DOCS_SQL, FINDINGS_SQL, doc_notes, findings, query
 
 WITH = f"WITH f AS ({FINDINGS_SQL})"
 
@@ -117,7 +118,9 @@ def o9_order(read):
     return Q.scoreboard(findings(read)).orderBy(F.desc("errors"), "domain").limit(4).select("domain", "errors")
 
 
-@query("r40_r41_scan_problems", "SELECT source AS path, CASE WHEN n_chars > 20000 THEN 'scan.unreadable' ELSE 'scan.skipped' END AS rule_id, count(*) AS n FROM documents WHERE n_chars > 10000 GROUP BY ALL")
+@query("r40_r41_scan_problems", f"""WITH d AS ({DOCS_SQL}) SELECT path, 'scan.unreadable' AS rule_id, 'can''t be read, so nothing was judged from it: ' || n_chars || ' characters' AS message FROM d WHERE source <> 'src2'
+    UNION ALL SELECT '', 'scan.unreadable', 'a file in a withheld folder can''t be read' WHERE EXISTS (SELECT 1 FROM d WHERE source = 'src2')""")
 def scan_problems(read):
-    docs = read("documents").where("n_chars > 10000")
-    return docs.groupBy(F.col("source").alias("path"), F.when(F.col("n_chars") > 20000, "scan.unreadable").otherwise("scan.skipped").alias("rule_id")).agg(F.count("*").alias("n"))
+    """Every document as a file that can't be read; those of a withheld folder leave one row together."""
+    lost = C.lost_files(doc_notes(read).select("path", F.concat(F.col("n_chars").cast("string"), F.lit(" characters")).alias("cause")), ["Src2"])
+    return lost.select("path", "rule_id", "message")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import places
 from quire.operators import search as S
 from quire.plans.tables import DOCS_SQL, doc_notes, query
 
@@ -68,10 +69,10 @@ def a13_facets(read):
 WORDS = "w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z]+')) AS word FROM documents) GROUP BY 1)"
 
 
-@query("a14_title_words", f"WITH {WORDS} SELECT word, n FROM w WHERE n > 20")
+@query("a14_title_words", f"WITH {WORDS} SELECT word, n FROM w")
 def a14_words(read):
     words = doc_notes(read).select(F.explode(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n")).where("n > 20")
+    return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
 @query("q9_near_word", f"WITH {WORDS} SELECT word, n FROM w WHERE damerau_levenshtein(word, 'tthe') = 1 AND NOT EXISTS (SELECT 1 FROM w WHERE word = 'tthe') ORDER BY n DESC, word LIMIT 1")
@@ -79,9 +80,9 @@ def q9_near(read):
     return S.near_word(doc_notes(read), "tthe")
 
 
-@query("x14_one_edit", f"WITH {WORDS} SELECT a.word AS a, b.word AS b FROM w a, (VALUES ('hte'), ('an'), ('thhe'), ('adn')) b(word) WHERE damerau_levenshtein(a.word, b.word) = 1 AND a.n > 5")
+@query("x14_one_edit", f"WITH {WORDS} SELECT a.word AS a, b.word AS b FROM w a, (VALUES ('hte'), ('an'), ('thhe'), ('adn')) b(word) WHERE damerau_levenshtein(a.word, b.word) = 1")
 def x14_one_edit(read):
-    words = doc_notes(read).select(F.explode(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]+"), F.lit(0))).alias("a")).groupBy("a").agg(F.count("*").alias("n")).where("n > 5")
+    words = doc_notes(read).select(F.explode(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]+"), F.lit(0))).alias("a")).distinct()
     return words.select("a", F.explode(F.array(*map(F.lit, ("hte", "an", "thhe", "adn")))).alias("b")).where(T.one_edit(F.col("a"), F.col("b")))
 
 
@@ -152,3 +153,37 @@ def f14_title(read):
 @query("o5_recent", f"WITH {DOCS} SELECT doc_id, n_chars FROM d WHERE contains(plain_fold, 'the') ORDER BY n_chars DESC, path LIMIT 20")
 def o5_recent(read):
     return S.hits(docs(read), S.parse("the")).orderBy(F.desc("n_chars"), "path").limit(20).select("doc_id", "n_chars")
+
+
+# marks of every document: its sixth to eleventh word; the notes are as they were, edited at a word, cut, doubled, or the mark is of a section
+WHITE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+MARKS_SQL = f"""docs AS (SELECT doc_id, doc_id % 5 AS k, text, string_split(trim(regexp_replace(text, '{WHITE}', ' ', 'g')), ' ') AS w FROM documents),
+    marked AS (SELECT doc_id, CASE WHEN k = 4 THEN '' ELSE array_to_string(w[6:11], ' ') END AS quote, array_to_string(w[1:5], ' ') AS b, array_to_string(w[12:16], ' ') AS a, doc_id % 3 < 2 AS kept,
+        regexp_replace(CASE k WHEN 1 THEN array_to_string(w[1:8], ' ') || ' edited words ' || array_to_string(w[10:], ' ') WHEN 2 THEN array_to_string(w[18:], ' ') WHEN 3 THEN text || ' ' || text ELSE text END, '{WHITE}', ' ', 'g') AS s FROM docs),
+    places AS (SELECT doc_id, instr(s, quote) AS i FROM marked WHERE quote <> '' AND instr(s, quote) > 0
+        UNION ALL SELECT doc_id, i + instr(substr(s, i + 1), quote) FROM places JOIN marked USING (doc_id) WHERE instr(substr(s, i + 1), quote) > 0),
+    sides AS (SELECT doc_id, i, quote, hex(encode(rtrim(right(substr(s, 1, i - 1), length(b) + 1)))) AS l, hex(encode(b)) AS lb, hex(encode(ltrim(substr(s, i + length(quote), length(a) + 1)))) AS r, hex(encode(a)) AS ra FROM places JOIN marked USING (doc_id)),
+    scored AS (SELECT doc_id, i, list_max(list_filter(range(0, least(len(l), len(lb)) // 2 + 1), lambda n: right(l, 2 * n) = right(lb, 2 * n))) + list_max(list_filter(range(0, least(len(r), len(ra)) // 2 + 1), lambda n: left(r, 2 * n) = left(ra, 2 * n))) AS score FROM sides),
+    best AS (SELECT doc_id, count(*) AS n, min(i) AS i FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS top FROM scored) WHERE score = top GROUP BY 1),
+    steps AS (SELECT doc_id, s, octet_length(encode(quote)) * 3 + 128 AS reach, step, ltrim(right(b, list_max(list_filter(range(0, length(b) + 1), lambda n: octet_length(encode(right(b, n))) <= step)))) AS b,
+        rtrim(left(a, list_max(list_filter(range(0, length(a) + 1), lambda n: octet_length(encode(left(a, n))) <= step)))) AS a FROM marked, (VALUES (512), (96), (32)) v(step) WHERE quote <> '' AND b <> '' AND a <> '' AND doc_id NOT IN (SELECT doc_id FROM best)),
+    befores AS (SELECT doc_id, step, instr(s, b) AS i FROM steps WHERE instr(s, b) > 0 UNION ALL SELECT doc_id, step, i + instr(substr(s, i + 1), b) FROM befores JOIN steps USING (doc_id, step) WHERE instr(substr(s, i + 1), b) > 0),
+    gaps AS (SELECT doc_id, step, i + length(b) AS i, left(substr(s, i + length(b)), greatest(instr(substr(s, i + length(b)), a) - 1, 0)) AS gap, reach FROM befores JOIN steps USING (doc_id, step)),
+    spans AS (SELECT doc_id, arg_max(i, step) AS i, arg_max(gap, step) AS gap FROM (SELECT doc_id, step, any_value(i) AS i, any_value(gap) AS gap FROM gaps WHERE trim(gap) <> '' AND octet_length(encode(gap)) <= reach GROUP BY ALL HAVING count(*) = 1) GROUP BY 1),
+    answer AS (SELECT doc_id, kept, CASE WHEN quote = '' THEN CASE WHEN kept THEN 'section' ELSE 'changed' END WHEN best.n = 1 OR spans.i IS NOT NULL THEN 'found' ELSE 'changed' END AS status,
+        CASE WHEN best.n = 1 THEN true WHEN spans.i IS NOT NULL THEN false END AS exact, CASE WHEN best.n = 1 THEN quote ELSE trim(gap) END AS words, left(s, CASE WHEN best.n = 1 THEN best.i ELSE spans.i END - 1) AS ahead FROM marked LEFT JOIN best USING (doc_id) LEFT JOIN spans USING (doc_id))"""
+
+
+@query("q14_w11_mark_places", f"""WITH RECURSIVE {MARKS_SQL} SELECT doc_id, status, exact, kept AS section_kept, words, octet_length(encode(replace(ahead, ' ', ''))) AS ahead FROM answer""")
+def q14_mark_places(read):
+    k, white = F.col("doc_id") % 5, places.SPACE.pattern
+    words = F.split(F.trim(F.regexp_replace("text", white, " ")), " ")
+    said = lambda start, stop=None: F.array_join(F.slice(words, start, F.lit(stop - start + 1) if stop else F.size(words)), " ")
+    quote, before, after = places.words_around(F.col("text"), 6, 6, 5)
+    docs = read("documents").where("text is not null")
+    marks = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("part-"), (F.col("doc_id") % 3).cast("string")).alias("anchor"), F.when(k != 4, quote).alias("quote"), before.alias("before"), after.alias("after"))
+    edited = F.when(k == 1, F.concat_ws(" ", said(1, 8), F.lit("edited words"), said(10))).when(k == 2, said(18)).when(k == 3, F.concat_ws(" ", "text", "text")).otherwise(F.col("text"))
+    notes = docs.select(F.col("doc_id").cast("string").alias("path"), edited.alias("text"), F.array(F.lit("part-0"), F.lit("part-1")).alias("sections"))
+    # what lies ahead of the place, without its white space, is the same in the squeezed text
+    ahead = F.octet_length(F.regexp_replace(F.substring(F.encode("text", "utf-8"), F.lit(1), F.col("start").cast("int")).cast("string"), white, ""))
+    return places.located(marks, notes).join(notes.select("path", "text"), "path").select(F.col("path").cast("bigint").alias("doc_id"), "status", "exact", "section_kept", F.regexp_replace("words", white, " ").alias("words"), F.when(F.col("status") == "found", ahead.cast("bigint")).alias("ahead"))

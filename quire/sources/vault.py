@@ -84,7 +84,7 @@ class Scan:
 
 def outside(contract: Contract | None, path: str) -> bool:
     """Whether a folder is declared to lie outside the scan."""
-    return bool(contract) and any(re.fullmatch(glob_pattern(p), path) for p in contract.skipped_dirs)
+    return bool(contract) and any(re.fullmatch(glob_pattern(p), path) for p in contract.ignored)
 
 
 def scan(root: str, contract: Contract | None = None, complete: bool = True) -> Scan:

@@ -19,7 +19,7 @@ checked = ["Ideas", "Courses", "Empty"]
 domain_from = ["Ideas"]
 frontmatter_optional = true
 skipped_files = ["README.md"]
-skipped_dirs = ["Old*"]
+ignored = ["Old*"]
 [enums]
 level = ["easy", "hard"]
 [fields]
@@ -37,8 +37,7 @@ role = "thought"
 fields = ["based_on"]
 [rules]
 concept_requires_provenance = ["based_on"]
-[planned]
-headings = ["To write"]
+planned_gap_marks = ["To write"]
 [privacy]
 never_egress_dirs = ["Secret"]
 """
@@ -173,3 +172,102 @@ def test_generations(spark, vault, tmp_path):
         g.tick(later + dt.timedelta(minutes=2 * k))
     assert g.state().degraded
     assert backoff(1).seconds == 2 and backoff(2).seconds == 4 and backoff(20).seconds == 60
+
+
+WHOLE = """
+schema_version = "2"
+[folders]
+checked = ["Ideas"]
+ignored = ["Old*", "a/b?"]
+templates = ["System/templates/"]
+journal = "Journal"
+domain_from = ["Ideas", "Courses/more"]
+skipped_files = ["README.md"]
+frontmatter_optional = false
+[enums]
+type = ["note", "map"]
+level = ["éasy", "hard"]
+domain = ["x"]
+[fields]
+common = ["aliases", "lang"]
+required = ["type"]
+[types.lesson]
+role = "lesson"
+fields = ["slug", "level"]
+required = ["slug"]
+slug_pattern = "^[a-z]+$"
+[types.map]
+role = "map"
+[types.concept]
+[rules]
+concept_requires_provenance = ["source_url"]
+[privacy]
+never_egress_dirs = ["Secret/", "A//B"]
+"""
+
+
+def test_contract(spark):
+    c = K.parse(WHOLE.encode())
+    assert [*c.types] == ["note", "map", "lesson", "concept"] and c.of_role("map") == ["map"] and c.types["note"] == {"role": "", "required": [], "fields": [], "slug_pattern": ""}
+    assert c.enums == {"domain": ["x"], "level": ["éasy", "hard"]} and c.withheld == ["Secret", "A/B"] and c.templates == ["System/templates"] and c.requires_frontmatter and not c.faults
+    assert c.gap_marks == [*K.GAP_MARKS] and c.inline_marks == [*K.INLINE_MARKS] and c.ignored == ["Old*", "a/b?"]
+    tables = {k: {tuple(r) for r in t.collect()} for k, t in c.tables(spark).items()}
+    assert {("concept", "source_url"), (None, "lang"), (None, "draft"), ("lesson", "level")} <= tables["allowed"] and ("type", "note") in tables["enums"]
+    assert tables["required"] == {(k, "type") for k in c.types} | {("lesson", "slug")}
+    # an empty list tracks nothing, letter case of keys is free, only the written flag asks for frontmatter
+    c = K.parse(b'schema_version = "2"\n[Rules]\nPlanned_Gap_Marks = []\n[privacy]\nnever_egress_dirs = []\n')
+    assert c.gap_marks == [] and c.inline_marks and c.withheld == [] and not c.requires_frontmatter and c.types == {}
+
+
+@pytest.mark.parametrize("old, new", [
+    ('"2"', '"1"'), ('schema_version = "2"', ""), ('"2"', "2"), ("[fields]", "[field]"), ("[fields]", "[unknown]\n[fields]"), ("role =", "colour ="), ("ignored =", "skipped_dirs ="), ("[types.concept]", "[types.concept]\nRole = 'map'\nrole = 'map'"),
+    ("[fields]", "[Folders]\n[fields]"), ('checked = ["Ideas"]', 'checked = "Ideas"'), ('checked = ["Ideas"]', 'checked = ["Ideas", "Ideas"]'), ('checked = ["Ideas"]', 'checked = ["a/b"]'), ('"Old*"', '"/Old"'), ('"Old*"', '"a/../b"'), ('"Old*"', '"[a"'), ('"Old*"', '""'),
+    ('"Courses/more"', '"Ideas/more"'), ('"Courses/more"', '"../x"'), ('"README.md"', '"a/README.md"'), ("frontmatter_optional = false", 'frontmatter_optional = "no"'), ('["note", "map"]', '["note", "note"]'), ('["note", "map"]', '["note", ""]'), ('"hard"]', '"éasy"]'),
+    ("level = [", "colour = ["), ('"aliases", "lang"', '"aliases", "colour"'), ('required = ["type"]', 'required = ["level"]'), ('"slug", "level"', '"slug", "colour"'), ('required = ["slug"]', 'required = ["created"]'), ('fields = ["slug", "level"]\nrequired = ["slug"]', ""),
+    ('"^[a-z]+$"', '"["'), ('["source_url"]', "[]"), ('["source_url"]', '["tags"]'), ('["source_url"]', '["status"]'), ("[types.concept]", "[types.thought]\nrole = 'thought'\n[types.concept]"), ("[types.concept]", '[types.concept]\n[types."é"]\n[types."é"]'),
+    ("[privacy]", "[enums.level]\n[privacy]"), ("[privacy]", "[" + ".".join(["types", *"a" * 40]) + "]\n[privacy]"), ('"README.md"', '"' + "x" * (1 << 18) + '"'), ("[folders]", "folders = 1\n[privacy2]"),
+])
+def test_contract_refusals(old, new):
+    assert old in WHOLE
+    with pytest.raises(K.ContractError):
+        K.parse(WHOLE.replace(old, new, 1).encode())
+
+
+def test_contract_parts():
+    """Faults of the withheld folders, templates, journal and roles close these parts only."""
+    private = '[privacy]\nnever_egress_dirs = ["Secret/", "A//B"]\n'
+    for new in ("", "[privacy]\n", "[privacy]\nnever_egress_dirs = 'Secret'\n", "[privacy]\nnever_egress_dirs = ['../x']\n", "[privacy]\nnever_egress_dirs = ['a\\\\b']\n", "[privacy]\nnever_egress_dirs = []\nmore = 1\n", "[privacy]\nnever_egress_dirs = [1]\n", "[privacy]\nnever_egress_dirs = ['']\n"):
+        c = K.parse(WHOLE.replace(private, new).encode())
+        assert c.withheld is None and [*c.faults] == ["privacy"], new
+    c = K.parse(WHOLE.replace('"System/templates/"', '"ok", "/x"').replace('journal = "Journal"', 'journal = ".."').encode())
+    assert c.templates == [] and c.journal == "" and {*c.faults} == {"templates", "journal"}
+    for old, new in (('role = "map"', 'role = "atlas"'), ('role = "map"', 'role = "lesson"\nfields = ["slug"]')):
+        c = K.parse(WHOLE.replace(old, new).encode())
+        assert [*c.faults] == ["roles"] and c.of_role("lesson") == []
+
+
+def test_withheld_roles_and_lost_notes(spark, tmp_path):
+    """Excluded folders, one row for withheld files that can't be read, refused roles, and shared names of a partial collection."""
+    for name in ("a/Same.md", "b/Same.md", "Old/x.md", "Courses/C.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("---\ntype: course\n---\n# C\n\n- [[Nothing]]\n")
+    contract = 'schema_version = "2"\n[folders]\nignored = ["Old"]\n[types.course]\nrole = "course"\n%s[privacy]\nnever_egress_dirs = ["Secret"]\n'
+    got = C.check(spark, str(tmp_path), K.parse((contract % "").encode())).collect()
+    assert not [r for r in got if r.rule_id in ("scan.unreadable", Q.NO_NAVIGATION, "collision.name")] and not any("Old" in r.path for r in got)
+    for name in ("Secret/one.md", "Secret/two.md", "open.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"\xff\xfe broken")
+    got = C.check(spark, str(tmp_path), K.parse((contract % "[types.x]\nrole = 'odd'\n").encode())).collect()
+    lost = [(r.path, r.target) for r in got if r.rule_id == "scan.unreadable"]
+    assert lost == [("", None), ("open.md", None)] and len({r.fingerprint for r in got if r.rule_id == "scan.unreadable"}) == 2
+    assert [(r.path, r.severity) for r in got if r.rule_id == Q.NO_NAVIGATION] == [(K.PATH, Q.ERROR)]
+    assert not any(r.rule_id.startswith("course.") for r in got) and not any("Secret" in r.message for r in got)
+
+
+def test_lost_notes_keep_shared_names(spark):
+    """A name that two files share counts where notes are missing, whether or not a link uses it."""
+    from quire.operators import resolve as R
+
+    names = spark.createDataFrame([("same", "a/Same.md", "name", None), ("same", "b/Same.md", "name", None)], "key string, path string, kind string, located boolean")
+    links = spark.createDataFrame([], "key string")
+    assert R.collisions(names, links).count() == 0 and R.collisions(names, None).count() == 1
