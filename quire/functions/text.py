@@ -227,15 +227,58 @@ def spells(text: str, directories: list[str]) -> bool:
     return False
 
 
+class Folded:
+    """The search fold of a text with the way back: where in the text each character of the fold came from.
+
+    Where folding moves nothing, no map is kept; else ``at`` has the places of the fold's characters and the text's length last."""
+
+    def __init__(self, source: str) -> None:
+        self.source, self.text, self.at = source, fold(source), None
+        if source.isascii() or (len(self.text) == len(source) and unicodedata.is_normalized("NFC", source)):
+            return
+        at: list[int] = []
+        dropped = {m.start() for m in SPACELESS.finditer(nfc(source))}
+        done = 0  # characters of the normal form so far
+        for m in regex.finditer(r"\X", source):
+            for k, c in enumerate(normal := nfc(m[0])):
+                if done + k not in dropped:
+                    at.append(m.start() + (k if len(normal) == len(m[0]) else 0))
+            done += len(normal)
+        self.at = np.array([*at, len(source)])
+
+    def start(self, place: int) -> int:
+        """The place in the text where the fold's character at ``place`` begins."""
+        return place if self.at is None else int(self.at[place])
+
+    def stop(self, place: int) -> int:
+        """The place in the text where what ends at ``place`` in the fold ends: with the character before it, and whatever folds into that."""
+        if self.at is None or place == 0:
+            return place
+        following = int(self.at[place])
+        last = int(self.at[place - 1])
+        return following if "\n" not in self.source[last:following] else last + len(self.source[last:following].split("\n")[0])
+
+
+def phrases(folded: str, token: str):
+    """The places of a token in a folded text, overlapping ones included; blanks of a token stand for any white space."""
+    if token.split() == [token]:
+        at = folded.find(token)
+        while at >= 0:
+            yield at, at + len(token)
+            at = folded.find(token, at + 1)
+        return
+    pattern = re.compile("(?=(" + r"\s+".join(map(re.escape, re.split(r"\s+", token))) + "))")
+    for m in pattern.finditer(folded):
+        yield m.span(1)
+
+
 def hit_runs(text: str, tokens: list[str]) -> list[tuple[str, bool]]:
-    """A text as runs, those that some token matches marked."""
-    folded = fold(text)
-    if len(folded) != len(text):
-        folded = text.lower() if len(text.lower()) == len(text) else text
+    """A text as runs, those that some token matches marked; what is found in the fold is marked in the text itself."""
+    folded = Folded(text)
     mark = np.zeros(len(text), bool)
-    for token in filter(None, tokens):
-        for m in re.finditer(re.escape(token), folded):
-            mark[m.start() : m.end()] = True
+    for token in filter(str.strip, tokens):
+        for i, j in phrases(folded.text, token):
+            mark[folded.start(i) : folded.stop(j)] = True
     cut = np.flatnonzero(np.diff(mark)) + 1
     return [(text[i:j], bool(mark[i])) for i, j in zip([0, *cut], [*cut, len(text)]) if i < j]
 

@@ -95,7 +95,7 @@ def rules(spark: SparkSession, contract: Contract, files: DataFrame, tables: dic
     if not contract.requires_frontmatter:
         faults = faults.where("value <> 'missing'")
     out.append(_finding(faults, "schema.frontmatter", Q.ERROR, F.concat(F.lit("frontmatter is "), value), value))
-    records = notes.where("has_fm and not bad_fm").select("path", "type", F.col("fm").alias("fields"))
+    records = notes.where("has_fm and not bad_fm").select("path", "type", F.col("fm").alias("fields"), "kinds")
     tabs = contract.tables(spark)
     enums = tabs["enums"]
     ruled = [
@@ -137,7 +137,7 @@ def rules(spark: SparkSession, contract: Contract, files: DataFrame, tables: dic
     place = F.split("path", "/")
     domain = F.col("fm")["domain"] if not domains else F.coalesce(F.col("fm")["domain"], F.when(place[0].isin(*domains) & (F.size(place) > 2), place[1]))
     paths = studies.select("path", domain.alias("domain"), F.col("sort_key").alias("ord"))
-    lessons = notes.where(F.col("type").isin(*contract.of_role("lesson"))).select("path", domain.alias("domain"), F.coalesce(F.col("fm")["draft"] == "true", F.lit(False)).alias("draft"))
+    lessons = notes.where(F.col("type").isin(*contract.of_role("lesson"))).select("path", domain.alias("domain"), F.coalesce((F.col("fm")["draft"] == "true") & (F.col("kinds")["draft"] == "bool"), F.lit(False)).alias("draft"))
     lists = units.where("resolution = 'unique'").select(F.col("path").alias("course"), F.col("paths")[0].alias("path"))
     out.append(_finding(CO.disk_unlisted(paths, lessons, lists), "course.disk_unlisted", Q.WARN, F.concat(F.lit("unit is on disk but not listed in course "), "course"), F.col("path"), printed=F.col("course")))
     every_rule = Q.merged(*out).withColumn("seq", F.col("rule_seq"))

@@ -165,9 +165,14 @@ def navigation_unavailable(types: DataFrame) -> DataFrame:
     return held.where(fault).groupBy("collection").agg(F.count("*").alias("n_roles")).select(F.lit(NO_NAVIGATION).alias("rule_id"), F.lit(ERROR).alias("severity"), "collection", "n_roles")
 
 
-def not_boolean(value: Column) -> Column:
-    """Whether a flag is written as anything but the booleans true and false."""
-    return ~value.isin("true", "false")
+def not_boolean(kind: Column) -> Column:
+    """Whether a flag is written as anything but a boolean (by the kind of its value; an absent or empty one isn't written)."""
+    return F.coalesce(~kind.isin("bool", "null"), F.lit(False))
+
+
+def not_text(kind: Column) -> Column:
+    """Whether a field is written as anything but text."""
+    return F.coalesce(~kind.isin("text", "null"), F.lit(False))
 
 
 def with_fingerprint(findings: DataFrame, target: Column) -> DataFrame:

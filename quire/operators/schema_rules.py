@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from quire.operators import findings as Q
+
 
 def fields(records: DataFrame) -> DataFrame:
     return records.select("path", "type", F.explode("fields").alias("field", "value"))
@@ -54,13 +56,15 @@ def bad_slugs(records: DataFrame, patterns: dict[str, str]) -> DataFrame:
 
 def bad_drafts(records: DataFrame) -> DataFrame:
     draft = F.col("fields")["draft"]
-    return records.where(draft.isNotNull() & ~draft.isin("true", "false")).select("path", F.lit("schema.draft").alias("rule_id"), F.lit("draft").alias("field"), draft.alias("value"))
+    fault = Q.not_boolean(F.col("kinds")["draft"]) | (F.col("kinds")["draft"] == "null") if "kinds" in records.columns else ~draft.isin("true", "false")
+    return records.where(draft.isNotNull() & fault).select("path", F.lit("schema.draft").alias("rule_id"), F.lit("draft").alias("field"), draft.alias("value"))
 
 
 def bad_languages(records: DataFrame) -> DataFrame:
     tag = F.col("fields")["lang"]
     shape = r"^([A-Za-z]{2,3}|[A-Za-z]{5,8})(-[A-Za-z]{4})?(-([A-Za-z]{2}|[0-9]{3}))?(-([A-Za-z0-9]{5,8}|[0-9][A-Za-z0-9]{3}))*$"
-    return records.where(tag.isNotNull() & ~tag.rlike(shape)).select("path", F.lit("schema.language").alias("rule_id"), F.lit("lang").alias("field"), tag.alias("value"))
+    text = F.col("kinds")["lang"] == "text" if "kinds" in records.columns else F.lit(True)
+    return records.where(tag.isNotNull() & ~(text & tag.rlike(shape))).select("path", F.lit("schema.language").alias("rule_id"), F.lit("lang").alias("field"), tag.alias("value"))
 
 
 def without_provenance(records: DataFrame, kind: str, any_of: list[str]) -> DataFrame:

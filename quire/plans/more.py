@@ -38,9 +38,18 @@ def r39_navigation(read):
 
 @query("f9_draft_words", "SELECT l_orderkey, l_linenumber, l_returnflag = 'N' AS not_boolean FROM lineitem WHERE l_returnflag IN ('N', 'R')")
 def f9_drafts(read):
-    word = F.when(F.col("l_returnflag") == "N", "True").when(F.col("l_returnflag") == "R", "true")
-    rows = read("lineitem").select("l_orderkey", "l_linenumber", F.map_filter(F.create_map(F.lit("draft"), word), lambda k, v: v.isNotNull()).alias("fields"))
-    return rows.where(F.col("fields")["draft"].isNotNull()).select("l_orderkey", "l_linenumber", Q.not_boolean(F.col("fields")["draft"]).alias("not_boolean"))
+    kind = F.when(F.col("l_returnflag") == "N", "text").when(F.col("l_returnflag") == "R", "bool")
+    rows = read("lineitem").select("l_orderkey", "l_linenumber", F.map_filter(F.create_map(F.lit("draft"), kind), lambda k, v: v.isNotNull()).alias("kinds"))
+    return rows.where(F.col("kinds")["draft"].isNotNull()).select("l_orderkey", "l_linenumber", Q.not_boolean(F.col("kinds")["draft"]).alias("not_boolean"))
+
+
+@query("f9_value_kinds", """SELECT l_orderkey, l_linenumber, l_linestatus = 'O' AND l_returnflag <> 'R' AS not_boolean, l_linestatus = 'O' AND l_returnflag <> 'N' AS not_text FROM lineitem""")
+def f9_kinds(read):
+    """Flags of the lines as values of a field: text, a boolean, a number; none where the line is no longer open."""
+    kind = F.create_map(F.lit("draft"), F.when(F.col("l_returnflag") == "N", "text").when(F.col("l_returnflag") == "R", "bool").otherwise("int"))
+    kinds = F.when(F.col("l_linestatus") == "O", kind).otherwise(F.create_map(F.lit("draft"), F.lit("null")))
+    own = read("lineitem").select("l_orderkey", "l_linenumber", kinds["draft"].alias("kind"))
+    return own.select("l_orderkey", "l_linenumber", Q.not_boolean(F.col("kind")).alias("not_boolean"), Q.not_text(F.col("kind")).alias("not_text"))
 
 
 @query("q5_answering_alias", f"WITH notes AS ({PARTS_SQL}) SELECT path, CASE WHEN contains(lower(alias), 'ed') AND contains(lower(alias), 'in') THEN alias WHEN contains(lower(alias2), 'ed') AND contains(lower(alias2), 'in') THEN alias2 END AS alias FROM notes")

@@ -1,9 +1,9 @@
 """Search, facets, suggestions, lookups and locating (Q, F4-F7, F14, O3-O6, A12-A14, W11)."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from quire.functions import text as T
-from quire.operators import places
+from quire.operators import leads, places
 from quire.operators import search as S
 from quire.plans.tables import DOCS_SQL, doc_notes, query
 
@@ -187,3 +187,40 @@ def q14_mark_places(read):
     # what lies ahead of the place, without its white space, is the same in the squeezed text
     ahead = F.octet_length(F.regexp_replace(F.substring(F.encode("text", "utf-8"), F.lit(1), F.col("start").cast("int")).cast("string"), white, ""))
     return places.located(marks, notes).join(notes.select("path", "text"), "path").select(F.col("path").cast("bigint").alias("doc_id"), "status", "exact", "section_kept", F.regexp_replace("words", white, " ").alias("words"), F.when(F.col("status") == "found", ahead.cast("bigint")).alias("ahead"))
+
+
+def _edge(text: str, at: str, on: str, back: str) -> str:
+    """SQL of a cut that falls between words: ``on`` and ``back`` are the lengths of the word after and before it."""
+    return f"CASE WHEN {at} > 0 AND {at} < length({text}) AND {on} > 0 AND {back} > 0 THEN %s ELSE {at} END"
+
+
+def _word_sql(text: str, at: str, start: bool) -> str:
+    on, back = f"length(regexp_extract(substr({text}, {at} + 1), '^[0-9A-Za-z_-]+'))", f"length(regexp_extract(left({text}, {at}), '[0-9A-Za-z_-]+$'))"
+    own = f"CASE WHEN {back} <= 24 THEN {at} - {back} ELSE {at} + {on} END" if start else f"CASE WHEN {on} <= 24 THEN {at} + {on} ELSE {at} - {back} END"
+    return _edge(text, at, on, back) % own
+
+
+LEADS_SQL = f"""lines AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE contains(lower(text), 'the')),
+    block AS (SELECT doc_id, arg_min(CASE WHEN i > 1 THEN chr(10) ELSE '' END || line, i) AS b FROM lines WHERE contains(lower(line), 'the') AND trim(regexp_replace(lower(line), '\\s+', ' ', 'g')) <> trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) GROUP BY 1),
+    hit AS (SELECT doc_id, b, instr(lower(b), 'the') - 1 AS off, length(b) AS n FROM block), seen AS (SELECT *, greatest(off - 120, 0) AS s, substr(b, greatest(off - 120, 0) + 1, least(off, 120)) AS before FROM hit),
+    stops AS (SELECT *, greatest(length(regexp_extract(before, '^(?s:.*)[。！？；!?;]')), length(regexp_extract(before, '^(?s:.*)[.] ')) - 1) AS stop FROM seen),
+    opened AS (SELECT *, CASE WHEN stop > 0 THEN s + stop + length(regexp_extract(substr(before, stop + 1), '^[ \\t\\n]*')) WHEN s = 0 THEN 0 ELSE least(off, {_word_sql("b", "s", True)}) END AS o FROM stops),
+    cuts AS (SELECT *, least(n, o + 240) AS e, least(n, least(off, {_word_sql("b", "greatest(off - 8, 0)", True)}) + 90) AS e2, least(off, {_word_sql("b", "greatest(off - 8, 0)", True)}) AS o2 FROM opened),
+    ends AS (SELECT *, least(n, greatest(off + 3, {_word_sql("b", "e", False)})) AS z, least(n, greatest(off + 3, {_word_sql("b", "e2", False)})) AS z2 FROM cuts)"""
+_SHOWN = "CASE WHEN {o} > 0 THEN '…' ELSE '' END || regexp_replace(trim(regexp_replace(substr(b, ({o} + 1)::BIGINT, ({z} - {o})::BIGINT), '\\s+', ' ', 'g')), '(?i)(the)', '«\\1»', 'g') || CASE WHEN {z} < n THEN '…' ELSE '' END"
+
+
+@query("x10_x12_leads", f"""WITH {LEADS_SQL}, d AS (SELECT doc_id FROM documents WHERE contains(lower(text), 'the')) SELECT d.doc_id, coalesce({_SHOWN.format(o="o", z="z")}, '') AS lead, CASE WHEN off - o > 22 THEN {_SHOWN.format(o="o2", z="z2")} ELSE '' END AS near FROM d LEFT JOIN ends USING (doc_id)""")
+def x12_leads(read):
+    """The leads of all documents that hold a word; their lines are the blocks, the first one the title."""
+    lines, newline = F.split("text", "\n"), F.lit("\n")
+    stop = F.transform(F.sequence(F.lit(1), F.size(lines)), lambda k: F.struct(F.char_length(F.array_join(F.slice(lines, 1, k), "\n")).alias("stop"), F.lit("paragraph").alias("kind"), F.lit(0).alias("level")))
+    short = F.size(lines) <= 64
+    found = read("documents").where(F.lower("text").contains("the"))
+    # where each line ends: the sum of the lengths up to it, by a window over the lines of longer documents
+    ends = found.where(~short).select("doc_id", F.posexplode(lines).alias("k", "line")).withColumn("stop", (F.sum(F.char_length("line") + 1).over(Window.partitionBy("doc_id").orderBy("k")) - 1).cast("int"))
+    long = ends.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("stop", F.lit("paragraph").alias("kind"), F.lit(0).alias("level")))).alias("plain_blocks"))
+    title = F.split_part("text", newline, F.lit(1)).alias("title")
+    both = found.where(short).select("doc_id", title, F.col("text").alias("plain"), stop.alias("plain_blocks")).unionByName(found.where(~short).join(long, "doc_id").select("doc_id", title, F.col("text").alias("plain"), "plain_blocks"))
+    said = lambda runs: F.array_join(F.transform(runs, lambda r: F.when(r["hit"], F.concat(F.lit("«"), r["text"], F.lit("»"))).otherwise(r["text"])), "")
+    return leads.excerpts(both, ["the"], "doc_id").select("doc_id", said(F.col("lead")).alias("lead"), said(F.col("near")).alias("near"))

@@ -1,9 +1,7 @@
 """Notes from their Markdown: frontmatter, title, links, headings, addresses, references.
 
 One pandas UDF parses a note to one struct; a note that can't be parsed gives an error instead of
-failing the task. A line-oriented scanner stands for the block structure (fences, indented code, HTML blocks,
-comments); it follows the CommonMark specification except for lazy continuation and nested
-containers deeper than quotes and list items.
+failing the task. What is code and where headings and blocks are follows from the block structure (``sources.blocks``).
 """
 
 from __future__ import annotations
@@ -16,10 +14,9 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, MapType, StringType, StructField, StructType
 
 from quire.functions import text as T
+from quire.sources import blocks as B
 
 LINK = re.compile(r"!?\[\[([^\[\]\n]+)\]\]")
-HEADING = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
-FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$")
 INLINE_CODE = re.compile(r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)
 COMMENT = re.compile(r"%%.*?%%|<!--.*?-->|%%.*\Z|<!--.*\Z", re.S)
 BLOCK_NAME = re.compile(r"(?:^|[ \t])(\^[A-Za-z0-9-]+)[ \t]*$")
@@ -29,12 +26,16 @@ MD_LINK = re.compile(r"(?<!!)\[[^\]]*\]\(\s*<?([^)\s>]+\.md(?:#[^)\s>]*)?)>?[^)]
 CODE_PATH = re.compile(r"`([^`\s]+\.md)`", re.I)
 DEFINITION = re.compile(r"^ {0,3}\[([^\]]+)\]:\s*(\S+)")
 USE = re.compile(r"\[([^\]\[]+)\](?!\(|:)")
-RUBY = re.compile(r"<ruby>(.*?)<rt>(.*?)</rt></ruby>", re.S)
+#: Plain scalars of YAML's core schema, by kind (fixed values); all others are text.
+KINDS = (("null", re.compile(r"~|null|Null|NULL|")), ("bool", re.compile(r"true|True|TRUE|false|False|FALSE")), ("int", re.compile(r"[-+]?[0-9]+|0o[0-7]+|0x[0-9a-fA-F]+")),
+         ("float", re.compile(r"[-+]?(?:\.[0-9]+|[0-9]+(?:\.[0-9]*)?)(?:[eE][-+]?[0-9]+)?|[-+]?\.(?:inf|Inf|INF)|\.(?:nan|NaN|NAN)")), ("date", re.compile(r"\d{4}-\d\d?-\d\d?(?:[Tt ][ \t]*\d\d?:\d\d:\d\d(?:\.\d*)?[ \t]*(?:Z|[-+]\d\d?(?::?\d\d)?)?)?")))
 
 NOTE = StructType([
     StructField("has_fm", BooleanType()), StructField("unclosed_fm", BooleanType()), StructField("bad_fm", BooleanType()), StructField("body_line", IntegerType()), StructField("body", StringType()),
-    StructField("fm", MapType(StringType(), StringType())), StructField("lists", MapType(StringType(), ArrayType(StringType()))), StructField("nested", ArrayType(StringType())),
+    StructField("fm", MapType(StringType(), StringType())), StructField("lists", MapType(StringType(), ArrayType(StringType()))), StructField("nested", ArrayType(StringType())), StructField("kinds", MapType(StringType(), StringType())),
     StructField("title", StringType()), StructField("plain", StringType()),
+    StructField("plain_blocks", ArrayType(StructType([StructField("stop", IntegerType()), StructField("kind", StringType()), StructField("level", IntegerType())]))),
+    *(StructField(n, ArrayType(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType())]))) for n in ("fences", "hidden", "deleted")),
     StructField("links", ArrayType(StructType([StructField(n, t) for n, t in (("offset", IntegerType()), ("line", IntegerType()), ("target", StringType()), ("display", StringType()), ("heading", StringType()), ("block", StringType()), ("embed", BooleanType()), ("under_gap", BooleanType()))]))),
     StructField("headings", ArrayType(StructType([StructField(n, t) for n, t in (("line", IntegerType()), ("level", IntegerType()), ("text", StringType()), ("section_id", StringType()), ("github_anchor", StringType()))]))),
     StructField("blocks", ArrayType(StructType([StructField("line", IntegerType()), StructField("id", StringType())]))),
@@ -58,52 +59,55 @@ def split_frontmatter(text: str) -> tuple[str | None, str, int, bool]:
     return None, text, 1, True
 
 
-def frontmatter(source: str) -> tuple[dict[str, str], dict[str, list[str]], list[str], bool]:
-    """Scalars and lists of strings by key, keys whose list nests a list, and whether the block is malformed."""
+RESOLVER = yaml.SafeLoader("")
+
+
+def scalar(node: yaml.ScalarNode) -> tuple[str, str]:
+    """Kind and text of a scalar: an unquoted one by the core schema (or its tag), with booleans in lower case, integers as decimals and nulls empty."""
+    tag, value = node.tag.removeprefix("tag:yaml.org,2002:"), node.value
+    if node.style is not None:
+        return "text", value
+    kind = next((k for k, p in KINDS if p.fullmatch(value)), "text")
+    if node.tag != RESOLVER.resolve(yaml.ScalarNode, value, (True, False)):  # a tag was written
+        kind = kind if {"timestamp": "date"}.get(tag, tag) == kind else "text"
+    if kind == "bool":
+        return kind, value.lower()
+    if kind == "int":
+        return kind, str(int(value, 0) if value[:2] in ("0o", "0x") else int(value))
+    return kind, "" if kind == "null" else value
+
+
+def frontmatter(source: str) -> tuple[dict[str, str], dict[str, list[str]], list[str], dict[str, str], bool]:
+    """Scalars and lists of strings by key, keys whose list nests a list, the kind of each value (text, bool, int, float, date, null, list, map), and whether the block is malformed."""
     try:
         node = yaml.compose(source, Loader=yaml.SafeLoader)
     except yaml.YAMLError:
-        return {}, {}, [], True
+        return {}, {}, [], {}, True
     if node is None:
-        return {}, {}, [], False
+        return {}, {}, [], {}, False
     if not isinstance(node, yaml.MappingNode) or len({k.value for k, _ in node.value if isinstance(k, yaml.ScalarNode)}) < len(node.value):
-        return {}, {}, [], True
-    scalars, lists, nested = {}, {}, []
+        return {}, {}, [], {}, True
+    scalars, lists, nested, kinds = {}, {}, [], {}
     for key, value in node.value:
+        name = key.value
         if isinstance(value, yaml.ScalarNode):
-            scalars[key.value] = value.value
-            if value.value:
-                lists[key.value] = [value.value]
+            kinds[name], scalars[name] = scalar(value)
+            if scalars[name]:
+                lists[name] = [scalars[name]]
         elif isinstance(value, yaml.SequenceNode):
-            lists[key.value] = [x.value for x in value.value if isinstance(x, yaml.ScalarNode)]
+            kinds[name], lists[name] = "list", [scalar(x)[1] for x in value.value if isinstance(x, yaml.ScalarNode)]
             if any(isinstance(x, yaml.SequenceNode) for x in value.value):
-                nested.append(key.value)
-            scalars[key.value] = ", ".join(lists[key.value])
+                nested.append(name)
+            scalars[name] = ", ".join(lists[name])
         else:
-            scalars[key.value] = ""
-    return scalars, lists, nested, False
+            kinds[name], scalars[name] = "map", ""
+    return scalars, lists, nested, kinds, False
 
 
 def shown(body: str) -> str:
     """The body with code and comments blanked, all places kept."""
-    lines = body.split("\n")
-    fence = ""
-    blank_before = True
-    for k, line in enumerate(lines):
-        m = FENCE.match(line)
-        if fence:
-            closes = m and m[1][0] == fence[0] and len(m[1]) >= len(fence) and not m[2].strip()
-            lines[k] = " " * len(line)
-            fence = "" if closes else fence
-            continue
-        if m and not (m[1][0] == "`" and "`" in m[2]):
-            fence = m[1]
-            lines[k] = " " * len(line)
-            continue
-        if blank_before and re.match(r"(?: {4}|\t)\s*\S", line):
-            lines[k] = " " * len(line)
-            continue
-        blank_before = not line.strip()
+    code = B.code_lines(B.scan(body))
+    lines = [" " * len(line) if k in code else line for k, line in enumerate(body.split("\n"))]
     blank = lambda m: re.sub(r"[^\n]", " ", m[0])
     return COMMENT.sub(blank, INLINE_CODE.sub(blank, "\n".join(lines)))
 
@@ -123,13 +127,14 @@ def wikilink(inner: str) -> dict:
     return {"target": name.strip(), "display": after.strip() if bar else inner.strip(), "heading": heading, "block": block}
 
 
-def headings_of(body: str, first: int) -> list[dict]:
-    out, lines = [], body.split("\n")
-    for k, line in enumerate(lines):
-        if m := HEADING.match(line):
-            out.append({"line": first + k, "level": len(m[1]), "text": (m[2] or "").strip(), "at": k})
-        elif k and re.match(r"^ {0,3}(=+|-+)\s*$", line) and lines[k - 1].strip() and not re.match(r"\s*([#>*+-]|\d+[.)])", lines[k - 1]):
-            out.append({"line": first + k - 1, "level": 1 if "=" in line else 2, "text": lines[k - 1].strip(), "at": k - 1})
+def headings_of(visible: str, first: int, body: str | None = None) -> list[dict]:
+    """The headings outside all containers, their texts as the body has them (``visible`` is the body without code and comments)."""
+    lines, out = (visible if body is None else body).split("\n"), []
+    for leaf in B.scan(visible):
+        if leaf.kind == "heading" and not leaf.depth:
+            own = [lines[leaf.first]] if leaf.first == leaf.last else lines[leaf.first : leaf.last]
+            text = B.heading_text(B.ATX.match(own[0].strip())) if leaf.first == leaf.last else " ".join(x.strip() for x in own)
+            out.append({"line": first + leaf.first, "level": leaf.level, "text": text.strip(), "at": leaf.first})
     ids, anchors = T.heading_ids([h["text"] for h in out]), T.github_anchors([h["text"] for h in out])
     return [h | {"section_id": i, "github_anchor": a} for h, i, a in zip(out, ids, anchors)]
 
@@ -146,20 +151,12 @@ def _without_parentheses(s: str) -> str:
     return "".join(out)
 
 
-def plain_text(body: str) -> str:
-    """Prose as it reads: links by target and display, ruby by base and reading, no marks."""
-    s = RUBY.sub(r"\1 \2", body)
-    s = LINK.sub(lambda m: " ".join(dict.fromkeys(x for x in (wikilink(m[1])["target"], wikilink(m[1])["display"]) if x)), s)
-    s = re.sub(r"!?\[([^\]]*)\]\([^)]*\)", r"\1", COMMENT.sub("", s))
-    s = re.sub(r"^[ \t]*(?:#{1,6}|>|[-*+]|\d+[.)])[ \t]+(?:\[[ xX]\][ \t]+)?", "", s, flags=re.M)
-    return re.sub(r"<[^>\n]+>|[*_`~]{1,3}(?=\S)|(?<=\S)[*_`~]{1,3}|^\s*(?:```|~~~).*$", "", s, flags=re.M).strip()
-
-
 def parse(text: str, stem: str, gap_marks: list[str], inline_marks: list[str]) -> dict:
     source, body, first, unclosed = split_frontmatter(text)
-    fm, lists, nested, bad = frontmatter(source) if source is not None else ({}, {}, [], False)
+    fm, lists, nested, kinds, bad = frontmatter(source) if source is not None else ({}, {}, [], {}, False)
     visible = shown(body)
-    headings = headings_of(visible, first)
+    headings = headings_of(visible, first, body)
+    plain = B.plain_blocks(body)
     starts = [0]
     for line in visible.split("\n"):
         starts.append(starts[-1] + len(line) + 1)
@@ -202,8 +199,8 @@ def parse(text: str, stem: str, gap_marks: list[str], inline_marks: list[str]) -
     h1 = next((h["text"] for h in headings if h["level"] == 1 and h["text"]), None)
     quoted = [(first + k, m) for k, line in enumerate(lines) if (m := CALLOUT.match(line)) and m[2].strip()]
     return {
-        "has_fm": source is not None, "unclosed_fm": unclosed, "bad_fm": bad, "body_line": first, "body": body, "fm": fm, "lists": lists, "nested": nested,
-        "title": h1 or fm.get("title") or stem, "plain": plain_text(body), "links": links, "headings": headings,
+        "has_fm": source is not None, "unclosed_fm": unclosed, "bad_fm": bad, "body_line": first, "body": body, "fm": fm, "lists": lists, "nested": nested, "kinds": kinds,
+        "title": h1 or fm.get("title") or stem, "plain": plain["plain"], "plain_blocks": plain["blocks"], **{k: plain[k] for k in ("fences", "hidden", "deleted")}, "links": links, "headings": headings,
         "blocks": [{"line": first + k, "id": m[1][1:].lower()} for k, line in enumerate(lines) if (m := BLOCK_NAME.search(line)) and not re.match(r"^[ \t>]*#{1,6}[ \t]*\^", line)],
         "path_refs": [{"line": line_of(m.start()), "destination": m[1], "code": False} for m in MD_LINK.finditer(visible)] + [{"line": first + body.count("\n", 0, m.start()), "destination": m[1], "code": True} for m in CODE_PATH.finditer(body)],
         "images": [{"line": line_of(m.start()), "destination": m[1]} for m in IMAGE.finditer(visible)],
@@ -233,7 +230,7 @@ def tables(notes: DataFrame) -> dict[str, DataFrame]:
     """The normalized tables of parsed notes; their columns stay pruned to what a rule reads."""
     ok = notes.where("note.error is null")
     of = lambda c: ok.select("path", F.inline(f"note.{c}"))
-    base = ok.select("path", "sort_key", "mtime", "identity", "note.title", "note.plain", F.col("note.fm")["type"].alias("type"), F.col("note.fm")["slug"].alias("slug"), "note.fm", "note.lists", "note.nested", "note.body", "note.body_line", "note.has_fm", "note.bad_fm", "note.unclosed_fm",
+    base = ok.select("path", "sort_key", "mtime", "identity", "note.title", "note.plain", F.col("note.fm")["type"].alias("type"), F.col("note.fm")["slug"].alias("slug"), "note.fm", "note.lists", "note.nested", "note.kinds", "note.plain_blocks", "note.fences", "note.hidden", "note.deleted", "note.body", "note.body_line", "note.has_fm", "note.bad_fm", "note.unclosed_fm",
                      F.coalesce(F.col("note.lists")["aliases"], F.array()).alias("aliases"), F.coalesce(F.col("note.lists")["tags"], F.array()).alias("tags"))
     refs = ok.select("path", F.explode(F.map_filter("note.lists", lambda k, v: k.isin("based_on", "related", "prerequisites"))).alias("field", "values")).select("path", "field", F.posexplode("values").alias("ord", "value"))
     target = F.trim(F.regexp_replace(F.regexp_replace("value", r"^\s*!?\[\[|\]\]\s*$", ""), r"[|#^].*$", ""))
