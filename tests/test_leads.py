@@ -72,7 +72,7 @@ def test_snippet_by_name():
     assert L.snippet("0Z" + "0" * 184, ["z"])[2] == "0Z…"  # a cut inside a long word never passes the hit
     long = "Before it. " + "word " * 20 + "the hit is here. " + "more " * 60
     start, stop, text = L.snippet(long, ["hit"])
-    assert long[start:stop].startswith("word word") and text.startswith("…word") and text.endswith("more…")
+    assert long[:start].endswith("wor") and text.startswith("…d word") and text.endswith("more…") and len(text) == 250  # from the sentence on, clipped to its budget
     plain, fences = "some prose\ncode hit here\nmore prose hit", [(11, 24)]
     assert L.snippet(plain, ["hit"], fences)[2] == "…more prose hit" and L.snippet(plain[:24], ["hit"], fences)[2] == "…code hit here"
     assert L.snippet("no match at all", ["zz"])[:2] == (0, 15)
