@@ -7,7 +7,7 @@ similarity s meet with probability s. A bucket of more than ``bucket`` sets is s
 again by further sampled shingles, three branches of them, and what is still larger once
 more (each time a pair of similarity s stays together in a branch with probability 1 - (1 - s)^3). A leaf that
 keeps most of its bucket's sets isn't split further: these are mostly near duplicates
-of each other, whose links have to be counted. What is still large is compared in blocks of pairs. The runs are repeated until the
+of each other, whose links have to be counted. What is still large is compared in pairs of blocks, of at most ``BLOCK`` sets and about ``BLOCK_BYTES``: a set of a leaf of n goes to n / BLOCK pairs. The runs are repeated until the
 chance to meet in one of them, splits included, reaches ``recall`` at the threshold.
 
 Leaves are compared by brute force on the whole sets, exactly. A pair that meets
@@ -40,6 +40,8 @@ from quire.llm.shared import written
 #: Branches of a split, and splits of a bucket at most.
 BRANCHES, DEPTH = 3, 2
 WIDE = BRANCHES**DEPTH
+#: Sets, and bytes of sets, of a block of a leaf that stays large.
+BLOCK, BLOCK_BYTES = 768, 32 << 20
 TEXT = 1 << 20
 
 
@@ -105,7 +107,11 @@ def jaccard(sets: list[np.ndarray]) -> np.ndarray:
             block = np.zeros((n, min(width, int(shared.sum()) - at)), np.float32)
             block[row[i:j], column[i:j] - at] = 1
             inter += block @ block.T
-    return inter / np.maximum(sizes[:, None] + sizes[None, :] - inter, 1)
+    union = sizes[:, None] + sizes[None, :]
+    union -= inter
+    np.maximum(union, 1, out=union)
+    inter /= union
+    return inter
 
 
 def _roots(linked: np.ndarray) -> np.ndarray:
@@ -130,6 +136,8 @@ def _compare(ids, copies, sets, leaves, index: int, side: np.ndarray, pair: bool
     if pair:
         linked &= side[:, None] != side[None, :]
     for k in range(index):
+        if not linked.any():
+            break
         linked &= ~((leaves[:, k][:, None] == leaves[:, k][None, :]) & (leaves[:, k] != 0)[:, None])
     some = linked.any(1)
     root = _roots(linked)
@@ -163,7 +171,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
                 yield pa.RecordBatch.from_arrays([ids, texts, pa.array(keys.view(np.int64)), pa.array(lengths.astype(np.int32)), lists], names=["doc_id", "text_key", "set_key", "size", "samples"])
 
     slim = written(own.mapInArrow(sign, SLIM))
-    sets = written(slim.groupBy("set_key").agg(F.min(row_key()).alias("row"), F.count("*").alias("copies"), F.first("samples").alias("samples")))
+    sets = written(slim.groupBy("set_key").agg(F.min(row_key()).alias("row"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("samples").alias("samples")))
 
     # buckets of a run, and the leaves of those that are split again
     width = 1 + BRANCHES
@@ -184,17 +192,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     members = written(done)
     lists = members.groupBy("set_key").agg(F.map_from_entries(F.collect_list(F.struct("idx", "leaf"))).alias("of"))
     lists = lists.select("set_key", F.transform(F.sequence(F.lit(0), F.lit(runs * WIDE - 1)), lambda k: F.coalesce(F.element_at("of", k), F.lit(0).cast("bigint"))).alias("leaves"))
+    lists = lists.join(sets.select("set_key", "row", "copies", "size"), "set_key")
     placed = members.join(lists, "set_key")
     # a leaf whose members all met in an earlier run adds no pair
     first = [F.element_at("leaves", r * WIDE + 1) for r in range(runs)]
     same = [((F.min(x) == F.max(x)) & (F.min(x) != 0)).alias(f"same{r}") for r, x in enumerate(first)]
-    found = placed.groupBy("leaf", "idx").agg(F.count("*").alias("n"), *same).where("n > 1")
+    found = placed.groupBy("leaf", "idx").agg(F.count("*").alias("n"), (F.sum("size") * 8).alias("bytes"), *same).where("n > 1")
     earlier = F.lit(False)
     for r in range(runs):
         earlier = earlier | (F.col(f"same{r}") & (F.col("idx") >= (r + 1) * WIDE))
-    found = found.where(~earlier).select("leaf", "idx", F.ceil(F.col("n") / bucket).cast("int").alias("blocks"))
+    blocks = F.greatest(F.when(F.col("n") > bucket, F.ceil(F.col("n") / min(BLOCK, 3 * bucket))).otherwise(1), F.ceil(F.col("bytes") / BLOCK_BYTES))
+    found = found.where(~earlier).select("leaf", "idx", blocks.cast("int").alias("blocks"))
     wanted = members.join(found, ["leaf", "idx"]).groupBy("set_key").agg(F.collect_list(F.struct("leaf", "idx", "blocks")).alias("wanted"))
-    wanted = wanted.join(lists, "set_key").join(sets.select("set_key", "row", "copies"), "set_key")
+    wanted = wanted.join(lists, "set_key")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
