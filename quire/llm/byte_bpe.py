@@ -39,7 +39,7 @@ from quire.llm.kernel import pieces, utf8
 #: Pieces kept between batches, pieces encoded at once, and bytes of text cut at once.
 CACHE, AT_ONCE, TEXT = 600_000, 32_768, 4 << 20
 #: Bytes of the windows of a long piece, and between their starts (a multiple of 64: runs of one character keep their phase).
-WINDOW, STEP = 192, 128
+WINDOW, STEP, MARGIN, LONG = 192, 128, 64, 1024
 
 ENCODE = """
 WITH RECURSIVE state(p, i, t, j, u, rank, live) AS (
@@ -129,6 +129,26 @@ def usual_pieces(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) ->
     return place[begin]
 
 
+def run_from(data: np.ndarray, borders: np.ndarray, margin: int) -> tuple[int, int, int] | None:
+    """From a window's token borders: one inside a run of some unit, ``margin`` from the window's end, the period of the tokens there, and where the run ends."""
+    inner = borders[borders <= borders[-1] - margin]
+    if len(inner) < 2:
+        return None
+    start = int(inner[-1])
+    known = data[start : int(borders[-1])]
+    unit = next((p for p in range(1, min(len(known) // 2, MARGIN) + 1) if (known[p:] == known[:-p]).all()), None)
+    if unit is None:
+        return None
+    alike = data[int(borders[0]) : start] == data[int(borders[0]) + unit : start + unit]
+    low = int(borders[0]) + int(np.append(0, np.flatnonzero(~alike) + 1)[-1])  # from here on the window is the run's
+    back = {start - int(b) for b in inner[inner >= low]}
+    period = next((d for d in sorted(back) if d and d % unit == 0 and (2 * d in back or start - 2 * d < low)), None)
+    if period is None:
+        return None
+    differs = np.flatnonzero(data[start + unit :] != data[start:-unit])
+    return start, period, start + unit + int(differs[0]) if len(differs) else len(data)
+
+
 class PieceCoder:
     """Encodes distinct pieces; one for each Python worker."""
 
@@ -202,13 +222,15 @@ class PieceCoder:
             starts = range(0, max(len(some[k]) - WINDOW + STEP, 1), STEP)
             parts += [some[k][a : a + WINDOW] for a in starts]
             owners += [(k, a) for a in starts]
-        values, lengths, raw, sizes = self.query(short + parts)
+        some_parts = {x: n for n, x in enumerate(dict.fromkeys(parts), len(short))}  # windows of a run are few different ones
+        values, lengths, raw, sizes = self.query(short + list(some_parts))
         ends, byte_ends = np.append(0, np.cumsum(lengths)), np.append(0, np.cumsum(sizes))
         out = {k: values[ends[n] : ends[n + 1]] for n, k in enumerate(k for k, x in enumerate(some) if len(x) <= WINDOW)}
         text = {k: raw[byte_ends[n] : byte_ends[n + 1]] for n, k in enumerate(out)}
         windows: dict[int, list] = {k: [] for k in long}
-        for n, (k, a) in enumerate(owners, len(short)):
-            windows[k].append((a, values[ends[n] : ends[n + 1]]))
+        for (k, a), x in zip(owners, parts):
+            n = some_parts[x]
+            windows[k].append((a, values[ends[n] : ends[n + 1]], False))
         for k in long:
             out[k] = self._joined(some[k], windows[k])
         self.db.register("given", pa.table({"p": np.repeat(np.arange(len(long)), [len(out[k]) for k in long]), "i": np.concatenate([np.arange(len(out[k])) for k in long]), "t": np.concatenate([out[k] for k in long])}))
@@ -220,36 +242,69 @@ class PieceCoder:
         return np.concatenate([out[k] for k in order]), np.array([len(out[k]) for k in order]), np.concatenate([text[k] for k in order]), np.array([len(text[k]) for k in order])
 
     def _joined(self, piece: bytes, windows: list[tuple[int, np.ndarray]]) -> np.ndarray:
-        """The ids of a piece from those of its overlapping windows (start, ids); neighbours without a common token are encoded again as one."""
+        """The ids of a piece from those of its overlapping windows (start, ids).
+
+        Neighbours without a common token stand, as a rule, in a run of some unit, whose tokens follow the phase of the run's start: they give way to windows
+        from a sure border on, those of the run at steps of the tokens' own period. Each pass sets the first window that is apart right, so the passes end."""
         while True:
-            places = [a + np.append(0, np.cumsum(self.size[ids])) for a, ids in windows]
-            cuts = []  # how many tokens of a window count, and from which on those of the next do
+            places = [a + np.append(0, np.cumsum(self.size[ids])) for a, ids, _ in windows]
+            cuts, low = [], [0]  # how many tokens of a window count, and from which on those of the next do; the place from which on a window counts
             apart = np.zeros(len(windows), bool)
+            wide = int(self.size.max()) + 1
             for n, (p, q) in enumerate(zip(places, places[1:])):
-                wide = int(self.size.max()) + 1
-                both = np.intersect1d(p[:-1] * wide + np.diff(p), q[:-1] * wide + np.diff(q))  # where a token starts, and its length
-                apart[n + 1] = not len(both)
-                at = both[len(both) // 2] // wide if len(both) else 0
-                cuts.append((int(np.searchsorted(p, at)), int(np.searchsorted(q, at))))
+                at = None
+                if windows[n + 1][2]:  # it was begun at a border of the one before
+                    at = int(q[0]) if q[0] >= low[-1] and p[np.searchsorted(p, q[0])] == q[0] else None
+                else:
+                    both = np.intersect1d(p[:-1] * wide + np.diff(p), q[:-1] * wide + np.diff(q))  # where a token starts, and its length
+                    both = both[both >= low[-1] * wide]
+                    at = int(both[len(both) // 2] // wide) if len(both) else None
+                apart[n + 1] = at is None
+                low.append(int(q[0]) if at is None else at)
+                cuts.append((int(np.searchsorted(p, low[-1])), int(np.searchsorted(q, low[-1]))))
             if not apart.any():
                 begin = [0, *(j for _, j in cuts)]
                 stop = [*(i for i, _ in cuts), len(windows[-1][1])]
-                return np.concatenate([ids[i:j] for (_, ids), i, j in zip(windows, begin, stop)])
-            # each window goes together with the one before it where they are apart, two by two
-            merged, n = [], 0
-            while n < len(windows):
-                if n + 1 < len(windows) and apart[n + 1]:
-                    merged.append((windows[n][0], int(places[n + 1][-1])))
-                    n += 2
-                else:
-                    merged.append((windows[n][0], windows[n][1]))
-                    n += 1
-            again = [k for k, (_, x) in enumerate(merged) if isinstance(x, int)]
-            values, lengths, _, _ = self.query([piece[merged[k][0] : merged[k][1]] for k in again])
-            ends = np.append(0, np.cumsum(lengths))
-            for m, k in enumerate(again):
-                merged[k] = (merged[k][0], values[ends[m] : ends[m + 1]])
-            windows = merged
+                return np.concatenate([ids[i:j] for (_, ids, _), i, j in zip(windows, begin, stop)])
+            windows = self._relaid(piece, windows, places, apart, low)
+
+    def _relaid(self, piece: bytes, windows: list, places: list[np.ndarray], apart: np.ndarray, low: list[int]) -> list:
+        """The windows, with a long one from a sure border on in the place of those that are apart, and behind it, if it shows a run, windows in the run's phase."""
+        data, sure = np.frombuffer(piece, np.uint8), {}
+        for n in np.flatnonzero(apart):
+            p = places[n - 1]
+            sure[int(n)] = max(int(p[p <= max(p[-1] - MARGIN, p[0])][-1]), low[n - 1])
+        long = dict(zip(sure, self._each([piece[x : x + LONG] for x in sure.values()])))
+        out, n, reach = [], 0, 0
+        while n < len(windows):
+            if n not in long or sure[n] < reach - LONG // 4:  # (what new windows cover already is looked at in the next pass)
+                out.append((*windows[n], None))
+                n += 1
+                continue
+            out.append((sure[n], long[n], True, None))
+            reach = min(sure[n] + LONG, len(piece))
+            run = run_from(data, sure[n] + np.append(0, np.cumsum(self.size[long[n]])), LONG // 4)
+            if run and run[2] > reach:  # it goes on past the long window
+                start, period, end = run
+                starts = range(start, end - WINDOW // 2, period * max(1, STEP // period))
+                out += [(x, None, True, piece[x : x + WINDOW]) for x in starts]
+                reach = min(starts[-1] + WINDOW, len(piece))
+            while n < len(windows) and places[n][-1] <= reach or n + 1 < len(windows) and windows[n + 1][0] <= reach - MARGIN:
+                n += 1
+            if n < len(windows):
+                out.append((windows[n][0], windows[n][1], False, None))
+                n += 1
+        laid = iter(self._each([x for *_, x in out if x is not None]))
+        return [(a, ids if x is None else next(laid), glued) for a, ids, glued, x in out]
+
+    def _each(self, some: list[bytes]) -> list[np.ndarray]:
+        """The ids of each; equal ones are asked for once."""
+        if not some:
+            return []
+        distinct = {x: k for k, x in enumerate(dict.fromkeys(some))}
+        values, lengths, _, _ = self.query(list(distinct))
+        ends = np.append(0, np.cumsum(lengths))
+        return [values[ends[distinct[x]] : ends[distinct[x] + 1]] for x in some]
 
     def code(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
         """The ids (as 32-bit numbers) and the decoded bytes of some texts, as binary columns."""

@@ -149,6 +149,16 @@ def test_long_pieces():
     ids, decoded = coder.code(pa.array(texts, pa.large_string()))
     assert [np.frombuffer(x.as_py(), np.int32).tolist() for x in ids] == [encoding.encode_ordinary(x) for x in texts]
     assert [x.as_py().decode() for x in decoded] == texts
+    # runs whose period is not that of the windows, between other words, several in a piece, and of a megabyte
+    odd = ["─" * 3000, "…" * 3000, "█" * 3000, "ÃÂ" * 2000, "-" * 10_001, "=-" * 5001, "abc" * 3001, "─│" * 1501, "x" + "─" * 1000 + "═" * 1000 + "-" * 500, "".join(c * n for c, n in zip("─═-=_~█…", (700, 311, 999, 64, 1281, 47, 803, 500)))]
+    odd += [letters("abcdefghij", 300) + u * 700 + letters("klmnopq", 200) for u in ("no", "ha", "ing", "ÃÂ", "é", "ab1", "漢")] + ["".join(u * int(n) for u, n in zip(rng.choice(["a", "ab", "─", "--", "==", "é", "xyz"], 12), rng.integers(1, 400, 12))) for _ in range(20)]
+    ids, decoded = coder.code(pa.array(odd, pa.large_string()))
+    assert [np.frombuffer(x.as_py(), np.int32).tolist() for x in ids] == [encoding.encode_ordinary(x) for x in odd]
+    for unit in ("─", "…", "█", "ÃÂ", "-", "mississippi", "━┅"):
+        began, long = time.time(), unit * ((1 << 20) // len(unit.encode()))
+        ids, decoded = coder.code(pa.array([long], pa.large_string()))
+        assert time.time() - began < 60 and decoded[0].as_py().decode() == long
+        assert np.frombuffer(ids[0].as_py(), np.int32).tolist() == encoding.encode_ordinary(long)
     began, long = time.time(), letters("abcdefghijklmnopqrstuvwxyz", 1 << 20)
     ids, _ = coder.code(pa.array([long], pa.large_string()))
     assert np.frombuffer(ids[0].as_py(), np.int32).tolist() == encoding.encode_ordinary(long) and time.time() - began < 300
