@@ -238,3 +238,22 @@ def test_pipeline_keeps_wide_ids(spark, tmp_path):
     spark.createDataFrame([(1, prose(30, 12))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, [*WIDE_IDS, 2**62 + 8, -9, None, 2**62 + 1]))
+
+
+def test_passages_in_any_order(spark):
+    """The order of rows and their partitions don't change what substring dedup finds."""
+    from quire.llm import compact_windows
+
+    rng, shared = np.random.default_rng(6), prose(60, 950).split()
+    rows = []
+    for k in range(14):
+        own = list(shared)
+        for at in rng.choice(60, k % 4, replace=False):
+            own[at] = f"other{k}"
+        rows.append((k, f"{prose(30, 960 + k)} {' '.join(own)} {prose(20 + k, 980 + k)} {prose(55, 990 + k // 2)}"))
+    found = []
+    for seed in (1, 2):
+        mixed = [rows[i] for i in np.random.default_rng(seed).permutation(len(rows))]
+        table = spark.createDataFrame(mixed, "doc_id bigint, text string").repartition(1 + 4 * (seed - 1))
+        found.append(sorted(map(repr, compact_windows.near_duplicate_passages(table, batch_bytes=3000).collect())))
+    assert found[0] == found[1] and any("n_passages=2" in x for x in found[0])
