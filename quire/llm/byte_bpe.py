@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 from quire.llm.kernel import pieces, utf8
 
 #: Pieces kept between batches, pieces encoded at once, and bytes of text cut at once.
-CACHE, AT_ONCE, TEXT = 600_000, 32_768, 4 << 20
+CACHE, AT_ONCE, TEXT = 600_000, 32_768, 2 << 20
 #: Bytes of the windows of a long piece, and between their starts (a multiple of 64: runs of one character keep their phase).
 WINDOW, STEP, MARGIN, LONG = 192, 128, 64, 1024
 
