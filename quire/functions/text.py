@@ -10,6 +10,8 @@ import posixpath
 import re
 import unicodedata
 import urllib.parse
+from collections import defaultdict
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -85,16 +87,13 @@ def github_slug(name: str) -> str:
 
 
 def github_anchors(names: list[str]) -> list[str]:
-    """Anchors of headings in order; one that is taken gets the next free number."""
-    used: dict[str, int] = {}
+    """Anchors of headings in order: the slug, or where that is taken the slug with the least number that is free."""
+    taken: set[str] = set()
     out = []
+    numbers = defaultdict(lambda: count(1))  # none below has become free again
     for base in map(github_slug, names):
-        slug = base
-        while slug in used:
-            used[base] += 1
-            slug = f"{base}-{used[base]}"
-        used[slug] = 0
-        out.append(fold_fragment(slug))
+        taken.add(free := next(x for x in chain([base], (f"{base}-{n}" for n in numbers[base])) if x not in taken))
+        out.append(fold_fragment(free))
     return out
 
 
@@ -123,16 +122,15 @@ NUMERAL = re.compile("[" + "".join([*DIGITS, *UNITS]) + "]+|[0-9]+")
 SEPARATORS, COUNTERS = frozenset("、.．-_ "), frozenset("章課節篇回話卷部期講")
 
 
+#: A unit with the digit before it, or the last digit.
+PLACES = re.compile(f"([{''.join(DIGITS)}]?)([{''.join(UNITS)}])|([{''.join(DIGITS)}])$")
+
+
 def numeral(s: str) -> int:
+    """The number of a numeral: its units by their digits (one without a digit counts once) and the last digit."""
     if s[0].isascii():
         return int(s[:13])
-    total = section = 0
-    for c in s:
-        if c in DIGITS:
-            section = DIGITS[c]
-        else:
-            total, section = total + (section or 1) * UNITS[c], 0
-    return total + section
+    return sum((DIGITS.get(m[1]) or 1) * UNITS[m[2]] if m[2] else DIGITS[m[3]] for m in PLACES.finditer(s))
 
 
 def _part_key(s: str) -> str:

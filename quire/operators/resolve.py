@@ -56,6 +56,22 @@ def resolve_with_suffixes(links: DataFrame, names: DataFrame, paths: DataFrame,
     return both.withColumn("paths", F.when(fallback, F.col("ends")).otherwise(F.col("paths"))).drop("ends").withColumn("resolution", outcome(F.col("paths")))
 
 
+def moved(before: DataFrame, names: DataFrame) -> DataFrame:
+    """Keys that other files claim than before, or claim otherwise (names: key, path, kind, located)."""
+    rows = lambda n: n.select("key", "path", "located").distinct()
+    a, b = rows(before), rows(names)
+    return a.join(b, ["key", "path", "located"], "left_anti").unionByName(b.join(a, ["key", "path", "located"], "left_anti")).select("key").distinct()
+
+
+def resolve_again(links: DataFrame, names: DataFrame, before: DataFrame, names_before: DataFrame, changed: DataFrame) -> DataFrame:
+    """``resolve`` of all links, from the resolution before: only links of changed notes (path: new, changed or gone) and links to moved keys are resolved."""
+    keys = moved(names_before, names)
+    kept = before.join(changed.select("path").distinct(), "path", "left_anti").join(keys, "key", "left_anti")
+    own = links.join(changed.select("path").distinct(), "path", "left_semi")
+    others = links.join(changed.select("path").distinct(), "path", "left_anti").join(keys, "key", "left_semi")
+    return kept.unionByName(resolve(own.unionByName(others), names).select(before.columns))
+
+
 def only_by_alias(names: DataFrame) -> DataFrame:
     """Keys with one claimant that has the name as an alias only."""
     return holders(names).where((F.size("paths") == 1) & ~F.col("located")).select("key", F.col("paths")[0].alias("path"))

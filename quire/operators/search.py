@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quire.functions import text as T
 
@@ -24,6 +24,8 @@ class Query:
     filters: list[tuple[str, str]] = field(default_factory=list)
     unknown: list[str] = field(default_factory=list)
     plain: list[str] = field(default_factory=list)  # bare terms as typed
+    words: list[str] = field(default_factory=list)  # these and the words of phrases, in order
+    phrased: bool = False  # whether a phrase was quoted
 
 
 def parse(text: str) -> Query:
@@ -37,6 +39,8 @@ def parse(text: str) -> Query:
         if text[at] in QUOTES and (end := text.find(QUOTES[text[at]], at + 1)) > 0:
             if phrase := text[at + 1 : end].strip():
                 out.tokens.append(T.fold(phrase))
+                out.words += phrase.split()
+                out.phrased = True
             at = end + 1
             continue
         m = re.compile(r'([A-Za-z]+):(?:"([^"]*)"|(\S*))').match(text, at)
@@ -51,6 +55,7 @@ def parse(text: str) -> Query:
         word = re.compile(r"\S+").match(text, at)[0]
         out.tokens.append(T.fold(word))
         out.plain.append(word)
+        out.words.append(word)
         at += len(word)
     return out
 
@@ -187,15 +192,29 @@ def near_word(titles: DataFrame, typed: str) -> DataFrame:
 STEPS = 4
 
 
-def step_backs(query: Query) -> list[Query]:
-    """Wider queries: without one filter, without one token, with letters and digits parted."""
-    out = [without_filter(query, k) for k, _ in query.filters]
-    if len(query.tokens) > 1:
-        out += [Query(query.tokens[:k] + query.tokens[k + 1 :], query.filters) for k in range(len(query.tokens))]
-    parted = [T.split_runs(t) or t for t in query.tokens]
-    if parted != query.tokens:
-        out.append(Query(" ".join(parted).split(), query.filters))
-    return [q for q in out if q.tokens or q.filters][:STEPS]
+def step_backs(text: str) -> list[str]:
+    """Wider queries of one without hits, in the order of offer: a phrase's words apart, letters and digits parted, each term alone; filters stay as they are.
+
+    A term that only looks like a filter is a term. The query itself and a lone OR are no offer."""
+    query = parse(text)
+    scope = [f"{k}:" + (f'"{v}"' if re.search(r"\s", v) else v) for k, v in query.filters]
+    joined = " ".join(query.words)
+    several = len(query.words) > 1
+    parted = " ".join(T.split_runs(w) or w for w in query.words)
+    wider = [joined] * (query.phrased and several) + [parted] * (parted != joined) + query.words * several
+    known = {"OR"} if query.phrased else {"OR", joined}
+    return [" ".join([*scope, w]) for w in dict.fromkeys(wider) if w not in known]
+
+
+def offered(docs: DataFrame, text: str) -> DataFrame:
+    """The first ``STEPS`` wider queries that have hits, with their number (query, n, rank): all are counted in one pass."""
+    wider = step_backs(text)
+    if not wider:
+        return docs.sparkSession.createDataFrame([], "query string, n bigint, rank int")
+    names = F.array(*map(F.lit, wider))
+    found = counts(docs, [parse(w) for w in wider]).where("n > 0").orderBy("query").limit(STEPS)
+    rank = F.row_number().over(Window.orderBy("query")).cast("int")  # over STEPS rows
+    return found.select(F.get(names, F.col("query")).alias("text"), "n", rank.alias("rank")).withColumnRenamed("text", "query")
 
 
 def counts(docs: DataFrame, queries: list[Query]) -> DataFrame:

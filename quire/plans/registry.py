@@ -6,7 +6,7 @@ tables in ``tables``; the operators themselves know nothing of these.
 
 from __future__ import annotations
 
-from quire.plans import graph, more, nav, quality, scalars, schema, search
+from quire.plans import changes, graph, more, nav, quality, scalars, schema, search
 from quire.plans.tables import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "graph", "more", "nav", "quality", "scalars", "schema", "search"]
+__all__ = ["ORACLES", "QUERIES", "changes", "graph", "more", "nav", "quality", "scalars", "schema", "search"]

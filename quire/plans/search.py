@@ -86,9 +86,15 @@ def x14_one_edit(read):
     return words.select("a", F.explode(F.array(*map(F.lit, ("hte", "an", "thhe", "adn")))).alias("b")).where(T.one_edit(F.col("a"), F.col("b")))
 
 
-@query("q10_step_backs", f"WITH {DOCS} SELECT 0 AS query, count(*) FILTER (contains(plain_fold, 'worthless') OR contains(title_fold, 'worthless')) AS n FROM d UNION ALL SELECT 1, count(*) FILTER ((contains(plain_fold, 'license') OR contains(title_fold, 'license'))) FROM d")
+STEPPED = 'domain:en "the license" worthless zz99 OR kind:tion'
+
+
+@query("q10_step_backs", f"""WITH {DOCS}, w(k, query, terms) AS (VALUES (0, 'the license worthless zz99 OR kind:tion', ['the', 'license', 'worthless', 'zz99', 'or', 'kind:tion']), (1, 'the license worthless zz 99 OR kind:tion', ['the', 'license', 'worthless', 'zz', '99', 'or', 'kind:tion']),
+        (2, 'the', ['the']), (3, 'license', ['license']), (4, 'worthless', ['worthless']), (5, 'zz99', ['zz99']), (6, 'kind:tion', ['kind:tion'])),
+    h AS (SELECT k, query, count(*) AS n FROM d, w WHERE domain = 'en' AND ((SELECT bool_and(contains(title_fold, t)) FROM (SELECT unnest(terms) AS t)) OR (SELECT bool_and(contains(plain_fold, t)) FROM (SELECT unnest(terms) AS t)) OR (SELECT bool_and(contains(lower(domain), t)) FROM (SELECT unnest(terms) AS t)) OR (SELECT bool_and(contains(path_fold, t)) FROM (SELECT unnest(terms) AS t))) GROUP BY ALL)
+    SELECT 'domain:en ' || query AS query, n, (row_number() OVER (ORDER BY k))::INTEGER AS rank FROM h ORDER BY k LIMIT 4""")
 def q10_step_backs(read):
-    return S.counts(docs(read), [S.parse("worthless"), S.parse("license")])
+    return S.offered(docs(read), STEPPED)
 
 
 @query("q11_q13_folders", f"WITH {DOCS}, f AS (SELECT source AS folder FROM d UNION ALL SELECT source || '/' || domain FROM d) SELECT folder, count(*) AS n FROM f WHERE contains(regexp_extract(folder, '[^/]*$'), 'src1') GROUP BY 1")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from quire.sources.pointer import Pointer
+
 VERSION = "v1:"
 FINDING = ("rule_id", "severity", "path", "line", "field", "message", "evidence", "suggested_action", "source_rule", "target", "resolved_to", "collision_members", "fingerprint")
 MARK = "id string, kind string, path string, anchor string, quote string, reason string, body string, at timestamp, resolved timestamp"
@@ -41,24 +42,21 @@ class MarkStore:
 
     def __init__(self, spark: SparkSession, root: str, limit: int = 5000):
         self.spark, self.root, self.limit = spark, root, limit
-        os.makedirs(root, exist_ok=True)
+        self.pointer = Pointer(spark, f"{root}/current")
 
     def _version(self) -> int:
-        path = os.path.join(self.root, "current")
-        return int(open(path).read()) if os.path.exists(path) else 0
+        return int(self.pointer.read() or 0)
 
     def read(self) -> DataFrame:
         n = self._version()
-        return read_marks(self.spark, os.path.join(self.root, f"v{n:06d}")) if n else self.spark.createDataFrame([], MARK)
+        return read_marks(self.spark, f"{self.root}/v{n:06d}") if n else self.spark.createDataFrame([], MARK)
 
     def write(self, marks: DataFrame) -> None:
         if (n := marks.count()) > self.limit:
             raise ValueError(f"a store holds {self.limit} marks at most, not {n}")
         version = self._version() + 1
-        marks.write.mode("overwrite").json(os.path.join(self.root, f"v{version:06d}"))
-        with open(os.path.join(self.root, "current.new"), "w") as f:
-            f.write(str(version))
-        os.replace(os.path.join(self.root, "current.new"), os.path.join(self.root, "current"))
+        marks.write.mode("overwrite").json(f"{self.root}/v{version:06d}")
+        self.pointer.write(str(version))
 
 
 def sealed(payload: str, contract: bytes, read_contract) -> str:
