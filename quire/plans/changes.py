@@ -1,8 +1,9 @@
-"""Transclusion, freshness and what changes from one generation to the next."""
+"""Transclusion, freshness, what changes from one generation to the next, and figures."""
 
 from pyspark.sql import Window, functions as F
 
 from quire.operators import embeds as E
+from quire.operators import figures as FG
 from quire.operators import resolve as R
 from quire.plans.graph import NAMES_SQL, links, names
 from quire.plans.tables import query
@@ -89,3 +90,27 @@ def t4_resolve_again(read):
     before = R.resolve(links_before, names_before)
     changed = every.where(order % 7 == 0).select("path").distinct()
     return R.resolve_again(every, now, before, names_before, changed).select("path", "line", "target", "resolution", F.coalesce(F.size("paths"), F.lit(0)).alias("candidates"))
+
+
+#: What stands before the pages in turn, with its verdict and detail.
+BEFORE = [
+    ("", "served", ""), ("<!-- <iframe> -->", "served", ""), ("<noscript><object></object></noscript>", "nested-frame", "<object>"), ("<meta http-equiv=Refresh content=0>", "loads-elsewhere", '<meta http-equiv="refresh">'),
+    ("<a ping=/p>x</a>", "loads-elsewhere", "ping"), ('<a href="Java\nscript:x">x</a>', "script-outside-text", "javascript:"), ("<script type=importmap>{}</script>", "script-outside-text", '<script type="importmap">'), ("<script>1 < 2</script>", "served", ""),
+]
+CASES_SQL = ", ".join(f"({k}, '{v}', '{d}')" for k, (_, v, d) in enumerate(BEFORE))
+
+
+@query("n12_figure_inspection", f"""WITH c(k, verdict, detail) AS (VALUES {CASES_SQL}),
+    p AS (SELECT page_id, page_id % 10 AS k, page_id % 97 = 10 AS large, to_base64(unhex(sha256(regexp_extract(html, '<script>(.*?)</script>', 1, 's')))) AS own, contains(html, '<script>') AS scripted FROM pages)
+    SELECT page_id, CASE WHEN large THEN 'too-large' WHEN k = 8 THEN 'not-text' WHEN k = 9 THEN 'utf-16' ELSE verdict END AS verdict, CASE WHEN large OR k > 7 THEN '' ELSE detail END AS detail,
+        CASE WHEN large OR k > 7 OR verdict <> 'served' THEN '' ELSE concat_ws(' ', CASE WHEN k = 7 THEN chr(39) || 'sha256-' || to_base64(unhex(sha256('1 < 2'))) || chr(39) END, CASE WHEN scripted THEN chr(39) || 'sha256-' || own || chr(39) END) END AS scripts
+    FROM p LEFT JOIN c USING (k)""")
+def n12_figure_inspection(read):
+    """All pages as figures, behind markup of each verdict in turn; the pages themselves have inline scripts and nothing that is refused."""
+    pages = read("pages").select("page_id", F.coalesce("html", F.lit("")).alias("html"))
+    k = F.col("page_id") % 10
+    front = F.coalesce(F.get(F.array(*(F.lit(b) for b, _, _ in BEFORE)), k.cast("int")), F.lit(""))
+    mark = F.when(k == 8, F.lit(b"\xff")).when(k == 9, F.lit(b"\xfe\xff")).otherwise(F.lit(b""))
+    more = F.when(F.col("page_id") % 97 == 10, F.lit(FG.LIMIT + 1)).otherwise(0)
+    data = F.concat(mark, F.encode(F.concat(front, "html", F.repeat(F.lit("a"), more)), "UTF-8"))
+    return FG.inspected(pages, data).select("page_id", "verdict", F.when(F.col("verdict") == "too-large", "").otherwise(F.col("detail")).alias("detail"), F.array_join("scripts", " ").alias("scripts"))
