@@ -197,13 +197,13 @@ def step_backs(text: str) -> list[str]:
 
     A term that only looks like a filter is a term. The query itself and a lone OR are no offer."""
     query = parse(text)
-    scope = [f"{k}:" + (f'"{v}"' if re.search(r"\s", v) else v) for k, v in query.filters]
+    scope = spelled(Query(filters=query.filters))
     joined = " ".join(query.words)
     several = len(query.words) > 1
     parted = " ".join(T.split_runs(w) or w for w in query.words)
     wider = [joined] * (query.phrased and several) + [parted] * (parted != joined) + query.words * several
     known = {"OR"} if query.phrased else {"OR", joined}
-    return [" ".join([*scope, w]) for w in dict.fromkeys(wider) if w not in known]
+    return [f"{scope} {w}".lstrip() for w in dict.fromkeys(wider) if w not in known]
 
 
 def offered(docs: DataFrame, text: str) -> DataFrame:
