@@ -50,7 +50,7 @@ def a6_unrouted(read):
 
 @query("jn1_resolution", f"WITH {NAMES_SQL} SELECT path, line, target, resolution, coalesce(len(paths), 0)::INTEGER AS candidates FROM resolved")
 def jn1_resolution(read):
-    return R.resolve(links(read), names(read)).select("path", "line", "target", "resolution", F.coalesce(F.size("paths"), F.lit(0)).alias("candidates"))
+    return R.resolve(links(read), names(read), whole=False).select("path", "line", "target", "resolution", "candidates")
 
 
 @query("jn2_suffix_resolution", f"""WITH {NAMES_SQL}, targets2 AS (SELECT p_partkey, lower(substr(p_brand, 3) || '/part-' || p_partkey) AS bad, lower(p_brand || '/part-' || p_partkey || '.md') AS good FROM part),

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quire.operators.resolve import meet
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -42,7 +44,7 @@ EDGES_SQL = "SELECT l_orderkey, l_partkey, l_linenumber, o_orderstatus = 'F' AS
 
 def edges(read) -> DataFrame:
     lines = read("lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
-    return lines.join(read("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus"), "l_orderkey").select("l_orderkey", "l_partkey", "l_linenumber", (F.col("o_orderstatus") == "F").alias("from_map"))
+    return meet(lines, read("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus"), "l_orderkey").select("l_orderkey", "l_partkey", "l_linenumber", (F.col("o_orderstatus") == "F").alias("from_map"))
 
 
 # notes: the documents, in folders of source and language, titled by their first line
