@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quire.functions import text as T
-from quire.operators.resolve import cut
+from quire.operators.resolve import cut, dealt
 
 
 def neighbours(items: DataFrame, group: list[str], order: list[str], item: str) -> DataFrame:
@@ -143,7 +143,7 @@ def placements(headings: DataFrame, links: DataFrame) -> DataFrame:
     rows = headings.select("path", "line", F.lit(None).cast(links.schema["target"].dataType).alias("target"), F.col("line").alias("at"), "heading")
     rows = rows.unionByName(links.select("path", "line", "target"), allowMissingColumns=True)
     line = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumns({"at": F.last("at", ignorenulls=True).over(line), "heading": F.last("heading", ignorenulls=True).over(line)})
+    placed = dealt(rows, "path").withColumns({"at": F.last("at", ignorenulls=True).over(line), "heading": F.last("heading", ignorenulls=True).over(line)})
     return placed.where("target is not null and at is not null")
 
 
