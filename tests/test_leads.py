@@ -106,3 +106,11 @@ def test_excerpts(spark):
     found = spark.createDataFrame(rows, "path string, title string, plain string, plain_blocks array<struct<stop: int, kind: string, level: int>>")
     got = {r.path: r for r in L.excerpts(found, ["WORD"]).collect()}
     assert got["a"].snippet == "Say the word. The end." and [(r.text, r.hit) for r in got["a"].lead] == [("Say the ", False), ("word", True), (". The end.", False)] and got["b"].lead == [] and got["c"].snippet == ""
+
+
+def test_hits_that_touch():
+    """Two hits side by side are two runs, hits that overlap are one."""
+    assert T.hit_runs("a theThe b", ["the"]) == [("a ", False), ("the", True), ("The", True), (" b", False)]
+    assert T.hit_runs("xabcx", ["ab", "bc"]) == [("x", False), ("abc", True), ("x", False)]
+    runs = L.lead("so anathetheaen", ["the"])["runs"]
+    assert [(r["text"], r["hit"]) for r in runs] == [("so ana", False), ("the", True), ("the", True), ("aen", False)]
