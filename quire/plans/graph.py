@@ -63,7 +63,7 @@ def jn2_suffix_resolution(read):
     bad = F.lower(F.concat(F.substring("domain", 3, 100), F.lit("/part-"), F.col("p_partkey").cast("string")))
     good = F.lower(F.concat("domain", F.lit("/part-"), F.col("p_partkey").cast("string"), F.lit(".md")))
     asked = notes.select("p_partkey", F.explode(F.array(bad, good)).alias("key"))
-    found = R.resolve_with_suffixes(asked, R.claims(notes, key=T.ascii_key), notes, key=T.ascii_key)
+    found = R.resolve_with_suffixes(asked, R.claims(notes, key=T.ascii_key), notes, key=T.ascii_key, whole=False)
     return found.select("p_partkey", "key", "resolution", F.col("paths")[0].alias("first"))
 
 
