@@ -86,7 +86,7 @@ def broken_links(read):
     asked = links(read).unionByName(more)
     titles = part.select(F.lower("p_type").alias("key"), F.concat(F.lit("t"), F.col("p_size").cast("string")).alias("path"))
     planned = part.where("p_partkey % 3 = 0").select(F.concat(F.lit("part-"), (F.col("p_partkey") + 1_000_000).cast("string")).alias("key"))
-    out = R.broken(R.resolve(asked, names(read)), titles, planned)
+    out = R.broken(R.resolve(asked, names(read), whole=False), titles, planned)
     return out.select("path", "line", "target", F.col("titled").isNotNull().alias("has_title"), "planned", "rule")
 
 
