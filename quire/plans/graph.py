@@ -102,7 +102,7 @@ def jn6_provenance(read):
 
 @query("jn7_backlinks", f"WITH {NAMES_SQL} SELECT DISTINCT paths[1] AS target, path AS source FROM resolved WHERE resolution = 'unique'")
 def jn7_backlinks(read):
-    return R.backlinks(R.resolve(links(read), names(read)))
+    return R.backlinks(R.resolve(links(read), names(read), whole=False))
 
 
 @query("jn8_declared_references", f"""WITH {NAMES_SQL} SELECT path, key, resolution, ord FROM (SELECT path, key, line AS ord, resolution, row_number() OVER (PARTITION BY path, key ORDER BY line) AS rn FROM resolved) WHERE rn = 1""")
