@@ -108,7 +108,7 @@ def jn7_backlinks(read):
 @query("jn8_declared_references", f"""WITH {NAMES_SQL} SELECT path, key, resolution, ord FROM (SELECT path, key, line AS ord, resolution, row_number() OVER (PARTITION BY path, key ORDER BY line) AS rn FROM resolved) WHERE rn = 1""")
 def jn8_declared(read):
     refs = links(read).select("path", F.col("line").alias("ord"), F.col("target").alias("value"), "key")
-    return R.declared(refs, names(read)).select("path", "key", "resolution", "ord")
+    return R.declared(refs, names(read), whole=False).select("path", "key", "resolution", "ord")
 
 
 FRAGMENT_SQL = """WITH anchors AS (SELECT DISTINCT conv_id, turn FROM conversations), asked AS (SELECT conv_id, turn + 1 AS turn FROM conversations),
