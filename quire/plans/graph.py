@@ -157,7 +157,7 @@ def jn12_unlisted(read):
 
 @query("r14_course_mismatch", f"WITH {NAMES_SQL} SELECT path, line, target, CASE WHEN line % 2 = 0 THEN 0 ELSE 1 END AS severity FROM resolved WHERE resolution = 'unresolved' OR (resolution = 'ambiguous' AND NOT located)")
 def r14_mismatch(read):
-    found = R.resolve(links(read), names(read)).select("path", "line", "target", "resolution", F.coalesce("located", F.lit(False)).alias("claimed"), (F.col("line") % 2 == 0).alias("under_gap"))
+    found = R.resolve(links(read), names(read), whole=False).select("path", "line", "target", "resolution", F.coalesce("located", F.lit(False)).alias("claimed"), (F.col("line") % 2 == 0).alias("under_gap"))
     return courses.disk_mismatch(found)
 
 
