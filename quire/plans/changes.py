@@ -87,9 +87,9 @@ def t4_resolve_again(read):
     other = (order % 7 == 0) & F.col("target").startswith("part-")
     links_before = every.withColumn("key", F.when(other, F.concat(F.lit("old-"), "key")).otherwise(F.col("key")))
     names_before = now.withColumn("key", F.when((part % 9 == 0) & (F.col("kind") == "alias"), F.concat(F.lit("old-"), "key")).otherwise(F.col("key")))
-    before = R.resolve(links_before, names_before)
+    before = R.resolve(links_before, names_before, whole=False)
     changed = every.where(order % 7 == 0).select("path").distinct()
-    return R.resolve_again(every, now, before, names_before, changed).select("path", "line", "target", "resolution", F.coalesce(F.size("paths"), F.lit(0)).alias("candidates"))
+    return R.resolve_again(every, now, before, names_before, changed, whole=False).select("path", "line", "target", "resolution", "candidates")
 
 
 #: What stands before the pages in turn, with its verdict and detail.
