@@ -45,3 +45,17 @@ def test_no_broadcast(tables, capsys, step):
     }[step]()
     assert "Broadcast" not in plan(made, capsys)
     assert made.count() == {"resolve_with_suffixes": 600, "broken": 200, "backlinks": 200, "declared": 600, "provenance": 200, "resolve_again": 600}[step]
+
+
+def test_expanded_edges(spark, tables, capsys):
+    """Every edge once, though keys share claimants in part, and no distinct over the edges."""
+    links, names = tables
+    more = [("c1", "x"), ("c1", "y"), ("c1", "z"), ("c2", "x"), ("c2", "x"), ("c3", "z"), ("c3", "k5"), ("c3", "shared")]
+    held = [("x", "n001"), ("x", "n002"), ("y", "n002"), ("y", "n003"), ("y", "n003"), ("z", "n002"), ("z", "n999")]
+    links = links.select("path", "key").union(spark.createDataFrame(more, "path string, key string"))
+    names = names.select("key", "path").union(spark.createDataFrame(held, "key string, path string"))
+    want = sorted(map(tuple, links.join(names.withColumnRenamed("path", "target"), "key").select("path", "target").distinct().collect()))
+    got = R.expanded(links, names)
+    assert sorted(map(tuple, got.collect())) == want
+    top = plan(got, capsys).split("SortMergeJoin")[0]
+    assert "Aggregate" not in top and "Exchange" not in top
