@@ -59,3 +59,11 @@ def test_expanded_edges(spark, tables, capsys):
     assert sorted(map(tuple, got.collect())) == want
     top = plan(got, capsys).split("SortMergeJoin")[0]
     assert "Aggregate" not in top and "Exchange" not in top
+
+
+def test_edges_stay_apart(spark, capsys):
+    """Orders and their lines meet sorted, in partitions that aren't merged by their size in bytes."""
+    from quire.plans.tables import edges
+
+    text = plan(edges(lambda t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")), capsys)
+    assert "SortMergeJoin" in text and "Broadcast" not in text and text.count("REPARTITION_BY_NUM") == 2
