@@ -3,10 +3,12 @@
 import hashlib
 import math
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import fill_middle, kd_clusters, secrets
 
@@ -257,3 +259,20 @@ def test_passages_in_any_order(spark):
         table = spark.createDataFrame(mixed, "doc_id bigint, text string").repartition(1 + 4 * (seed - 1))
         found.append(sorted(map(repr, compact_windows.near_duplicate_passages(table, batch_bytes=3000).collect())))
     assert found[0] == found[1] and any("n_passages=2" in x for x in found[0])
+
+
+def test_written_leaves_no_shuffle(spark):
+    """A table that is written takes its shuffles with it, without waiting for the driver's garbage collector, and the session's setting stays."""
+    from quire.llm import shared
+
+    def blocks():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(found.size()) if (name := found.apply(k).getName()).startswith("shuffle_")}
+
+    before, setting = blocks(), spark.conf.get(shared.CLEANUP)
+    table = shared.written(spark.range(5000).repartition(3, "id").groupBy((F.col("id") % 50).alias("k")).count())
+    end = time.time() + 20
+    while (left := blocks() - before) and time.time() < end:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(shared.CLEANUP) == setting
+    assert table.count() == 50
