@@ -15,6 +15,7 @@ from itertools import chain, count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType
@@ -298,7 +299,22 @@ def _udf(f, kind=StringType()):
     return run
 
 
-nfc_udf, key_udf, fold_udf, fragment_udf = map(_udf, (nfc, name_key, fold, fold_fragment))
+#: Rows of an Arrow batch that are Python strings at one time.
+SLICE = 64
+
+
+@F.arrow_udf(StringType())
+def nfc_udf(s: pa.Array) -> pa.Array:
+    """Whole texts: a batch stays in Arrow, only a slice of it is in Python strings, and what is in normal form already is not copied."""
+    done = []
+    for part in (s.slice(k, SLICE) for k in range(0, len(s), SLICE)):
+        texts = part.to_pylist()
+        new = [x if x is None else nfc(x) for x in texts]
+        done.append(part if new == texts else pa.array(new, s.type))
+    return pa.concat_arrays(done) if len(done) > 1 else done[0] if done else s
+
+
+key_udf, fold_udf, fragment_udf = map(_udf, (name_key, fold, fold_fragment))
 section_id_udf, slug_udf, sort_key_udf, language_udf, split_runs_udf = map(_udf, (section_id, github_slug, sort_key, language_tag, split_runs))
 github_anchors_udf, heading_ids_udf = (_udf(f, ArrayType(StringType())) for f in (github_anchors, heading_ids))
 

@@ -43,3 +43,25 @@ def test_disguises():
     assert T.split_runs("go1234") == "go 1234" and T.split_runs("a1") == "" and T.split_runs("abc") == ""
     assert T.hit_runs("One two one", ["one"]) == [("One", True), (" two ", False), ("one", True)]
     assert T.language_tag("zh-hant-tw") == "zh-Hant-TW" and T.language_tag("x_y") is None
+
+
+def test_nfc_of_whole_texts(spark):
+    """Batches of any texts, with nulls, over slices' ends; of a batch only a slice is in Python strings at one time."""
+    import tracemalloc
+    import unicodedata
+
+    import pyarrow as pa
+
+    texts = [None if k % 7 == 3 else ("plain " if k % 2 else "é Å ") * (k % 5) for k in range(300)]
+    want = [x if x is None else unicodedata.normalize("NFC", x) for x in texts]
+    table = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(1)
+    T.register(spark)
+    for got in (table.select("id", T.nfc_udf("text")), table.selectExpr("id", "note_nfc(text)")):
+        assert [r[1] for r in sorted(got.collect())] == want
+    assert T.nfc_udf.func(pa.array([], pa.string())).to_pylist() == []
+    long = pa.array(["é" * 10_000] * 2_000)
+    tracemalloc.start()
+    out = T.nfc_udf.func(long)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 2_000 and peak < 10e6 < long.nbytes
