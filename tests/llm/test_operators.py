@@ -394,6 +394,48 @@ def test_one_edit_anywhere():
                     assert j - i >= 46 and m - k >= 46 and jaccard(x[i:j], y[k:m]) >= 0.8, (n, at)
 
 
+def test_last_places():
+    """A token that the other text lacks has no place there."""
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        a, b, before = rng.integers(0, 9, 12), rng.integers(0, 9, 12), int(rng.integers(0, 2))
+        want = [max((k for k in range(12) if a[k] == b[i] and k <= i - before), default=-1) for i in range(12)]
+        assert compact_windows._last(a, b, before).tolist() == want
+
+
+def test_stretches_by_sets():
+    """Each stretch that is found on a diagonal by its sets is a near duplicate at some end, with repeated tokens and such that one text lacks."""
+    rng, found = np.random.default_rng(2), 0
+    for _ in range(60):
+        x = np.tile(rng.integers(0, 1 << 30, 30), 4).astype(np.uint32)
+        y = x.copy()
+        y[rng.choice(120, int(rng.integers(10, 60)), replace=False)] = rng.integers(0, 1 << 30)
+        hit, every = np.isin(x, y), np.ones(120, bool)
+        for i, j, k, m in compact_windows._by_sets(x, y, 0, every, every, hit, 46, 0.8):
+            found += 1
+            assert (i, j) == (k, m) and any(compact_windows._similar(x[f:e], y[f:e], 0.8) for f in range(i + 1) for e in range(max(j, f + 46), min(f + 92, 120) + 1))
+    assert found
+
+
+def test_pairs_side_by_side(monkeypatch):
+    """Pairs that are judged side by side have the passages that each has by itself."""
+    rng, xs, ys = np.random.default_rng(4), [], []
+    for k in range(200):
+        names = rng.integers(0, 1 << 32, 400, dtype=np.uint32)
+        x, y = names[: rng.integers(0, 180)], names[rng.integers(0, 60) : rng.integers(60, 240)].copy()
+        y[rng.random(len(y)) < k % 8 / 16] = 7 if k % 3 == 0 else k
+        if k % 5 == 0:
+            y = np.concatenate([y[20:70], names[300:320], y[90:], x[:50]])
+        xs.append(x), ys.append(y)
+    want = sorted((k, *map(int, r)) for k in range(200) for r in compact_windows.same_passages(xs[k], ys[k], 46, 0.8))
+    first = lambda z: np.append(0, np.cumsum([len(t) for t in z]))
+    for pairs, size in ((512, 1 << 18), (7, 1 << 18), (512, 100)):
+        monkeypatch.setattr(compact_windows, "PAIRS", pairs)
+        monkeypatch.setattr(compact_windows, "SLICE", size)
+        assert sorted(compact_windows.passages_of_pairs(np.concatenate(xs), first(xs), np.concatenate(ys), first(ys), 46, 0.8)) == want
+    assert len({k for k, *_ in want}) > 50
+
+
 def test_same_passages_by_brute_force():
     """Some stretch of one diagonal has the similarity, with edits and repeated words or without: then it is found, and what is found has it."""
     seen = [0, 0]
