@@ -81,3 +81,29 @@ def test_partitions_follow_the_input(spark, capsys, monkeypatch):
     text = plan(got, capsys)
     assert n > 4 and text.count(f", {n}), REPARTITION_BY_NUM") == 2 == text.count("Exchange")
     assert sorted(map(tuple, got.collect())) == want
+
+
+def shuffled(spark):
+    """Rows that all stages so far have written to shuffles."""
+    sc, jvm = spark.sparkContext, spark._jvm
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {(s := stages.apply(k)).stageId(): s.shuffleWriteRecords() for k in range(stages.size())}
+
+
+def test_expanded_edges_shuffle_no_products(spark):
+    """Of 3000 notes that cite a name of 12,000 files, no more is shuffled than some times the links and names, though there are 36 million edges."""
+    names = spark.range(12_000).select(F.lit("shared").alias("key"), F.concat(F.lit("n"), "id").alias("path"))
+    links = spark.range(3000).select(F.concat(F.lit("c"), "id").alias("path"), F.lit("shared").alias("key"))
+    before = shuffled(spark)
+    assert R.expanded(links, names).count() == 36_000_000
+    assert sum(n for k, n in shuffled(spark).items() if k not in before) < 10 * (3000 + 12_000)
+
+
+def test_expanded_edges_in_groups(spark, tables, monkeypatch):
+    """Names cut into blocks and notes dealt into groups give every edge once."""
+    monkeypatch.setattr(R, "HOLD", 7)
+    monkeypatch.setattr(R, "LEAST", 3)
+    links, names = tables[0].select("path", "key"), tables[1]
+    want = sorted(map(tuple, links.join(names.select("key", F.col("path").alias("target")), "key").select("path", "target").distinct().collect()))
+    assert sorted(map(tuple, R.expanded(links, names).collect())) == want
