@@ -7,6 +7,7 @@ from quire.operators import figures as FG
 from quire.operators import resolve as R
 from quire.plans.graph import NAMES_SQL, links, names
 from quire.plans.tables import query
+from quire.shared import remove, written
 from quire.streaming import generations as G
 
 FRAME = "lpad(hex(octet_length(encode({0}))::BIGINT), 16, '0') || hex({0})"
@@ -87,9 +88,11 @@ def t4_resolve_again(read):
     other = (order % 7 == 0) & F.col("target").startswith("part-")
     links_before = every.withColumn("key", F.when(other, F.concat(F.lit("old-"), "key")).otherwise(F.col("key")))
     names_before = now.withColumn("key", F.when((part % 9 == 0) & (F.col("kind") == "alias"), F.concat(F.lit("old-"), "key")).otherwise(F.col("key")))
-    before = R.resolve(links_before, names_before, whole=False)
+    before = written(R.resolve(links_before, names_before, whole=False).select("path", "line", "target", "key", "candidates", "resolution"))
     changed = every.where(order % 7 == 0).select("path").distinct()
-    return R.resolve_again(every, now, before, names_before, changed, whole=False).select("path", "line", "target", "resolution", "candidates")
+    again = R.resolve_again(every, now, before, names_before, changed, whole=False).select("path", "line", "target", "resolution", "candidates")
+    remove(before)
+    return again
 
 
 #: What stands before the pages in turn, with its verdict and detail.

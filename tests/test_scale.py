@@ -107,3 +107,16 @@ def test_expanded_edges_in_groups(spark, tables, monkeypatch):
     links, names = tables[0].select("path", "key"), tables[1]
     want = sorted(map(tuple, links.join(names.select("key", F.col("path").alias("target")), "key").select("path", "target").distinct().collect()))
     assert sorted(map(tuple, R.expanded(links, names).collect())) == want
+
+
+def test_resolve_again_shuffles(spark):
+    """The old links and the new ones are dealt by note once, what is left of both by key once, and no plan holds two of these."""
+    from quire.shared import written
+
+    names = spark.range(60).select(F.concat(F.lit("k"), "id").alias("key"), F.concat(F.lit("n"), "id").alias("path"), F.lit("alias").alias("kind"), F.lit(False).alias("located"))
+    links = spark.range(20_000).select(F.concat(F.lit("c"), F.col("id") % 4000).alias("path"), F.col("id").alias("line"), F.concat(F.lit("k"), F.col("id") % 70).alias("key"))
+    before, seen = written(R.resolve(links, names, whole=False)), shuffled(spark)
+    got = R.resolve_again(links, names.where("key <> 'k3'"), before, names, links.where("path < 'c2'").select("path"), whole=False)
+    lost = sum(k % 70 in (3, *range(60, 70)) for k in range(20_000))
+    assert dict(got.groupBy("resolution").count().collect()) == {"unresolved": lost, "unique": 20_000 - lost}
+    assert sum(n for k, n in shuffled(spark).items() if k not in seen) < 3.5 * 20_000
