@@ -276,3 +276,37 @@ def test_written_leaves_no_shuffle(spark):
         time.sleep(0.2)
     assert not left and spark.conf.get(shared.CLEANUP) == setting
     assert table.count() == 50
+
+
+def test_crowded_groups_link_once(spark, monkeypatch):
+    """Members that meet in many groups are judged once, and the filter of a block keeps what a comparison of all pairs keeps."""
+    from quire.llm import compact_windows as C
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**32, 200, dtype=np.uint64).astype(np.uint32)
+    text = []
+    for k in range(24):
+        x = rng.integers(0, 2**32, 200, dtype=np.uint64).astype(np.uint32)
+        n = (200, 90, 60, 44, 41, 38, 20, 0)[k % 8]  # so much of one text, some with repeated tokens
+        x[:n] = base[:n]
+        if k % 5 == 0:
+            x[150:] = x[150]
+        text.append(x)
+    kind = np.array([k // 2 for k in range(24)])
+    able, near = C._near(text, kind, 46, 0.8)
+    where = {int(k): n for n, k in enumerate(able)}
+    want = set()
+    for i in range(24):
+        for j in range(i + 1, 24):
+            found = [*C.same_passages(text[i], text[j], 46, 0.8)] if kind[i] != kind[j] and len(np.intersect1d(text[i], text[j])) >= 21 else []
+            if found:
+                assert near[where[i], where[j]]
+            want |= {(i, a, b + 4, j, c, d + 4) for a, b, c, d in found}
+    assert want and len(able) < 24
+
+    tokens = spark.createDataFrame([(k, 0, 200, bytearray(x.tobytes())) for k, x in enumerate(text)], C.TOKENS)
+    monkeypatch.setattr(C, "_tokens", lambda texts, spans: tokens)
+    rows = [(g, 24, int(kind[k]), k, 0, 0, 200) for g in range(12) for k in range(24) if g < 3 or k != g]
+    crowd = spark.createDataFrame(rows, "group bigint, n bigint, class bigint, doc bigint, batch int, from int, to int")
+    got = [tuple(r) for r in C._crowds(crowd, None, 46, 0.8).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
